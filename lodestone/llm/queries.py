@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import neighbours
+from lodestone.llm import neighbours, tokens
 from lodestone.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,3 +34,15 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
 def p2_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     """The five most similar chunk hashes of every chunk hash."""
     return neighbours.nearest(table(spark, folder, "doc_chunks").select("chunk_hash", "embedding"), "chunk_hash", "embedding")
+
+
+@query()
+def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """The ids of every document by byte_bpe_50k."""
+    return tokens.encode_corpus(table(spark, folder, "documents").select("doc_id", "text"))
+
+
+@query()
+def p6_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document as decoded from its ids."""
+    return tokens.decode_corpus(tokens.encode_corpus(table(spark, folder, "documents").select("doc_id", "text")))
