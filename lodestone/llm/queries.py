@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import neighbours, tokens
+from lodestone.llm import neighbours, splitting, tokens
 from lodestone.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -46,3 +46,15 @@ def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
 def p6_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     """Every document as decoded from its ids."""
     return tokens.decode_corpus(tokens.encode_corpus(table(spark, folder, "documents").select("doc_id", "text")))
+
+
+@query()
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The lines at which a piece of an oversized chunk may begin."""
+    return splitting.boundary_lines(table(spark, folder, "doc_chunks"))
+
+
+@query()
+def p3_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    """The pieces of every oversized chunk."""
+    return splitting.split_oversized(table(spark, folder, "doc_chunks"))
