@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import neighbours, splitting, tokens
+from lodestone.llm import leaks, neighbours, splitting, tokens
 from lodestone.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,3 +58,15 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
 def p3_pieces(spark: SparkSession, folder: str) -> DataFrame:
     """The pieces of every oversized chunk."""
     return splitting.split_oversized(table(spark, folder, "doc_chunks"))
+
+
+@query()
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that hold a test passage, with the item given away."""
+    return leaks.leaking_pairs(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
+
+
+@query()
+def p7_clean(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents without the leaking spans."""
+    return leaks.remove_leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
