@@ -71,51 +71,73 @@ def quantise(residual: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.stack(planes, axis=1), low[:, 0], step[:, 0]
 
 
-def search_block(base: dict[str, np.ndarray], queries: dict[str, np.ndarray], centre: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each query its k best others in this block: (query's id, their ids, their similarities)."""
-    dim = base["vec"].shape[1]
+def search_block(
+    base: dict[str, np.ndarray], queries: dict[str, np.ndarray], centre: np.ndarray, k: int, min_similarity: float = -2.0
+) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each query its k best others in this block of at least `min_similarity`: (query's id, their ids, their similarities).
+
+    The estimate of a similarity is a matrix of rank four plus the scaled level sums of the popcounts. The k-th best of
+    the estimates' column-group maxima picks a first few for exact scoring; after that, all whose upper bound reaches
+    the k-th best exact score are scored.
+    """
+    size, dim = base["vec"].shape
     ones = np.bitwise_count(base["bits"]).sum(1).astype(np.float32)
-    error = EPSILON * np.sqrt(np.maximum(1 / base["factor"] ** 2 - 1, 0) / (dim - 1))
-    for start in range(0, len(queries["id"]), 64):
-        vec, ids = queries["vec"][start : start + 64], queries["id"][start : start + 64]
+    error = EPSILON * np.sqrt(np.maximum(1 / base["factor"] ** 2 - 1, 0) / (dim - 1)) * base["length"]
+    gain = (base["length"] / base["factor"] / np.sqrt(dim)).astype(np.float32)
+    right = np.stack([1 - base["length"] ** 2 / 2, np.ones(size, np.float32), 2 * ones * gain, -gain]).astype(np.float32)
+    words = [np.ascontiguousarray(base["bits"][:, w]) for w in range(base["bits"].shape[1])]
+    groups = -(-size // 32)
+    step_rows = max(8, 131_072 // size)
+    for start in range(0, len(queries["id"]), step_rows):
+        vec, ids = queries["vec"][start : start + step_rows], queries["id"][start : start + step_rows]
         residual = vec - centre
         reach = np.linalg.norm(residual, axis=1)
         planes, low, step = quantise(residual)
-        level = np.zeros((len(ids), len(ones)), np.uint16)
+        level = np.zeros((len(ids), size), np.uint16)
+        meet, count = np.empty((len(ids), size), np.uint64), np.empty((len(ids), size), np.uint8)
         for j in range(LEVELS):
-            for word in range(base["bits"].shape[1]):
-                level += np.bitwise_count(planes[:, j, word, None] & base["bits"][None, :, word]).astype(np.uint16) << j
-        product = (2 * (low[:, None] * ones + step[:, None] * level) - residual.sum(1)[:, None]) / np.sqrt(dim)
-        scale = base["length"][None, :]
-        offset = 1 - (scale**2 + reach[:, None] ** 2) / 2
-        estimate = offset + product / base["factor"] * scale
-        upper = estimate + reach[:, None] * (error * base["length"])[None, :]
-        same = ids[:, None] == base["id"][None, :]
-        estimate[same] = -9
-        upper[same] = -9
-        first = min(2 * k, len(ones))
-        best = np.argpartition(-estimate, first - 1, axis=1)[:, :first]
-        exact = np.einsum("qd,qkd->qk", vec, base["vec"][best])
-        exact[np.take_along_axis(same, best, 1)] = -9
-        known = -np.partition(-exact, min(k, first) - 1, axis=1)[:, min(k, first) - 1]
-        row, col = np.nonzero(upper >= known[:, None])
-        score = np.empty(len(row), np.float32)
-        for s in range(0, len(row), 65_536):
-            score[s : s + 65_536] = np.einsum("nd,nd->n", vec[row[s : s + 65_536]], base["vec"][col[s : s + 65_536]])
-        row, col = np.concatenate([row, np.repeat(np.arange(len(ids)), first)]), np.concatenate([col, best.ravel()])
-        score = np.concatenate([score, exact.ravel()])
-        keep = score > -2
-        row, col, score = row[keep], col[keep], score[keep]
-        order = np.lexsort((base["id"][col], -score, row))
-        row, col, score = row[order], col[order], score[order]
-        fresh = np.ones(len(row), bool)
-        fresh[1:] = (row[1:] != row[:-1]) | (col[1:] != col[:-1])
-        row, col, score = row[fresh], col[fresh], score[fresh]
-        bound = np.searchsorted(row, np.arange(len(ids) + 1))
-        for i, key in enumerate(ids):
+            for w, word in enumerate(words):
+                np.bitwise_and(planes[:, j, w, None], word[None, :], out=meet)
+                np.bitwise_count(meet, out=count)
+                level += np.left_shift(count, j, dtype=np.uint16)
+        left = np.stack([np.ones(len(ids), np.float32), -(reach**2) / 2, low, residual.sum(1)], axis=1).astype(np.float32)
+        estimate = level.astype(np.float32)
+        estimate *= (2 * step)[:, None]
+        estimate *= gain
+        estimate += left @ right
+        tops = np.full((len(ids), groups * 32), -9, np.float32)
+        tops[:, :size] = estimate
+        tops = tops.reshape(len(ids), 32, groups).max(1)
+        place = min(k, groups) - 1
+        floor = -np.partition(-tops, place, axis=1)[:, place]
+        known = np.full(len(ids), min_similarity, np.float32)
+        for final in (False, True):
+            if not final and (size <= k or min_similarity > 0):
+                continue
+            if final:
+                estimate += np.outer(reach, error)
+                row, col = np.nonzero(estimate >= (known - 1e-4)[:, None])
+            else:
+                row, col = np.nonzero(estimate >= floor[:, None])
+            keep = ids[row] != base["id"][col]
+            row, col = row[keep], col[keep]
+            if len(row) > estimate.size / 24:  # so many that a matrix product costs less than gathering the chosen pairs
+                score = (vec @ base["vec"].T)[row, col]
+            else:
+                score = np.einsum("nd,nd->n", vec[row], base["vec"][col])
+            keep = score >= known[row]
+            row, col, score = row[keep], col[keep], score[keep]
+            order = np.lexsort((base["id"][col], -score, row))
+            row, col, score = row[order], col[order], score[order]
+            bound = np.searchsorted(row, np.arange(len(ids) + 1))
+            if not final:
+                full = np.diff(bound) >= k
+                known[full] = np.maximum(known[full], score[bound[:-1][full] + k - 1])
+        for i in np.flatnonzero(np.diff(bound)):
             s = slice(bound[i], min(bound[i + 1], bound[i] + k))
-            if s.start < s.stop:
-                yield int(key), base["id"][col[s]], score[s]
+            good = score[s] >= min_similarity
+            if good.any():
+                yield int(ids[i]), base["id"][col[s]][good], score[s][good]
 
 
 def unit_vectors(rows: DataFrame, key: str, vector: str) -> DataFrame:
@@ -215,10 +237,8 @@ def nearest(rows: DataFrame, key: str, vector: str, k: int = 5, probes: int = PR
                 "factor": group["factor"].to_numpy(np.float32)[is_base],
             }
             queries = {"id": ids[~is_base], "vec": half[~is_base]}
-            for key_, others, score in search_block(base, queries, centres[int(group["cell"].iloc[0])], k):
-                good = score >= min_similarity
-                if good.any():
-                    found.append((key_, others[good].astype("<i8").tobytes() + score[good].astype("<f4").tobytes()))
+            for key_, others, score in search_block(base, queries, centres[int(group["cell"].iloc[0])], k, min_similarity):
+                found.append((key_, others.astype("<i8").tobytes() + score.astype("<f4").tobytes()))
         return pd.DataFrame(found, columns=["id", "best"]).astype({"id": "int64"})
 
     def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
