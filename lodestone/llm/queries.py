@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import leaks, neighbours, splitting, tokens
+from lodestone.llm import credentials, leaks, neighbours, splitting, tokens
 from lodestone.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -70,3 +70,19 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
 def p7_clean(spark: SparkSession, folder: str) -> DataFrame:
     """All documents without the leaking spans."""
     return leaks.remove_leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
+
+
+def _texts(spark: SparkSession, folder: str) -> DataFrame:
+    return credentials.texts(table(spark, folder, "code_units"), table(spark, folder, "doc_chunks"))
+
+
+@query()
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The lines on which a credential begins."""
+    return credentials.credential_lines(_texts(spark, folder))
+
+
+@query()
+def p1_redacted(spark: SparkSession, folder: str) -> DataFrame:
+    """Every text with its credentials masked."""
+    return credentials.redact_credentials(_texts(spark, folder))
