@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lodestone.llm import credentials, leaks, neighbours, splitting, tokens
+from lodestone.llm import credentials, handwritten, leaks, neighbours, splitting, tokens
 from lodestone.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -86,3 +87,16 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
 def p1_redacted(spark: SparkSession, folder: str) -> DataFrame:
     """Every text with its credentials masked."""
     return credentials.redact_credentials(_texts(spark, folder))
+
+
+@query()
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Files that are generated, minified, third-party copies or data."""
+    return handwritten.not_handwritten(table(spark, folder, "code_units"))
+
+
+@query()
+def p5_reasons(spark: SparkSession, folder: str) -> DataFrame:
+    """How many files are left out for which reason, by project."""
+    found = handwritten.judge(table(spark, folder, "code_units"))
+    return found.groupBy("project_id", "reason").agg(F.countDistinct("path").alias("files"))
