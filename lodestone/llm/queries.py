@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import credentials, handwritten, leaks, neighbours, splitting, tokens
+from lodestone.llm import credentials, handwritten, leaks, neighbours, splitting, subjects, tokens
 from lodestone.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -100,3 +100,17 @@ def p5_reasons(spark: SparkSession, folder: str) -> DataFrame:
     """How many files are left out for which reason, by project."""
     found = handwritten.judge(table(spark, folder, "code_units"))
     return found.groupBy("project_id", "reason").agg(F.countDistinct("path").alias("files"))
+
+
+@query()
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents with the subjects they are about."""
+    found = subjects.subjects_of_documents(table(spark, folder, "documents"), table(spark, folder, "subjects"), table(spark, folder, "subject_labels"))
+    return found.select("doc_id", "subject")
+
+
+@query()
+def p8_composition(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents, and their shares added up, by subject."""
+    found = subjects.subjects_of_documents(table(spark, folder, "documents"), table(spark, folder, "subjects"), table(spark, folder, "subject_labels"))
+    return found.groupBy("subject").agg(F.count("*").alias("documents"), F.round(F.sum("share"), 3).alias("weight"))
