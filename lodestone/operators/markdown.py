@@ -222,11 +222,11 @@ def parse_markdown(documents: DataFrame, path: str = "path", text: str = "conten
             for row in batch.itertuples(index=False, name=None):
                 head = dict(zip(names, row[:-1]))
                 try:
-                    out += [head | chunk for chunk in document_chunks(row[-1] or "")]
+                    out += [head | chunk | {"error": None} for chunk in document_chunks(row[-1] or "")]
                 except ValueError as e:
                     out.append(head | {"error": str(e)})
             columns = [*names, "heading", "start_line", "end_line", "content", "tags", "links", "aliases", "error"]
-            frame = pd.DataFrame(out, columns=columns)
+            frame = pd.DataFrame(out, columns=columns, dtype=object)
             yield frame.astype({"start_line": "Int64", "end_line": "Int64"})
 
     parsed = given.mapInPandas(run, f"{types}, {_SCHEMA}")
