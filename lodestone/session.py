@@ -51,3 +51,25 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Write `df` to the shared folder and read it from there, so that a lost executor costs no recomputation."""
     _shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors once an application, for sessions that weren't started with it on their path."""
+    import zipfile
+
+    application = spark.sparkContext.applicationId
+    if application in _shipped:
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp")), "lodestone.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for folder, _, names in os.walk(here):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    whole = os.path.join(folder, name)
+                    out.write(whole, os.path.join("lodestone", os.path.relpath(whole, here)))
+    spark.sparkContext.addPyFile(archive)
+    _shipped.add(application)
