@@ -149,7 +149,7 @@ def latest_run(spark: SparkSession, folder: str) -> DataFrame:
         SELECT *, (epoch_us(finished_at) - epoch_us(started_at)) // 1000 AS ms, row_number() OVER (PARTITION BY project_id, run_id ORDER BY updated_at DESC, finished_at DESC NULLS LAST, started_at DESC NULLS LAST, mode DESC) AS r FROM index_runs
     ) WHERE r = 1 AND ms IS NOT NULL GROUP BY project_id, mode"""
 )
-def p95_run_duration(spark: SparkSession, folder: str) -> DataFrame:
+def run_duration_p95(spark: SparkSession, folder: str) -> DataFrame:
     """Nearest-rank 95th percentile of run durations."""
     runs = visibility.run_snapshots(table(spark, folder, "index_runs"), "finished_at", "started_at", "mode")
     ms = F.floor((F.unix_micros("finished_at") - F.unix_micros("started_at")) / 1000)
