@@ -216,16 +216,17 @@ def parse_markdown(documents: DataFrame, path: str = "path", text: str = "conten
     given = documents.select(*keys, F.col(path).alias("path"), F.col(text).alias("_text"))
     types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in given.schema.fields if f.name != "_text")
 
+    columns = [*names, "heading", "start_line", "end_line", "content", "tags", "links", "aliases", "error"]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for row in batch.itertuples(index=False, name=None):
-                head = dict(zip(names, row[:-1]))
+                head = dict.fromkeys(columns) | dict(zip(names, row[:-1]))
                 try:
-                    out += [head | chunk | {"error": None} for chunk in document_chunks(row[-1] or "")]
+                    out += [head | chunk for chunk in document_chunks(row[-1] or "")]
                 except ValueError as e:
                     out.append(head | {"error": str(e)})
-            columns = [*names, "heading", "start_line", "end_line", "content", "tags", "links", "aliases", "error"]
             frame = pd.DataFrame(out, columns=columns, dtype=object)
             yield frame.astype({"start_line": "Int64", "end_line": "Int64"})
 
