@@ -11,6 +11,8 @@ from __future__ import annotations
 import base64
 import binascii
 import re
+from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -39,13 +41,14 @@ _DEAD = re.compile(
     r"|(?i:^(?:change[_-]?me|change[_-]?it|your[_-].*|my[_-]?(?:password|secret|token)|example.*|.*example|placeholder.*|dummy.*|redacted.*|.*redacted.*|todo.*|none|null|nil|true|false|undefined|secret|password|token|string|test)$)"
 )
 _LABEL = re.compile(r"[a-z]+(?:[ _.-][a-z]+)*|[A-Z]+(?:_[A-Z]+)*|(?:[A-Z][a-z]*)(?:-[A-Z][a-z]*)*|[a-z]+(?:[A-Z][a-z]+)+")
-_NAME_PARTS = re.compile(r"[A-Z]+(?![a-zà-ÿ])|[A-Z]?[a-zà-ÿ]+|\d+")
+_NAME_PARTS = re.compile(r"[A-ZÀ-Þ]+(?![a-zà-ÿ])|[A-ZÀ-Þ]?[a-zà-ÿ]+|\d+")
 
 _QUOTED = r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`"
 _ASSIGN = re.compile(rf"""(?P<key>[A-Za-z_$][\w$.-]*)["'\]]?\s*(?::=|=>|=(?!=)|:(?!:))\s*\(?\s*(?P<value>{_QUOTED})""")
 _PIECE = re.compile(rf"[ \t]*\+?[ \t]*\n?[ \t]*\+?[ \t]*({_QUOTED})")
 _BARE = re.compile(r"^(?P<indent>[ \t]*(?:-[ \t]+)?)(?:export[ \t]+)?(?P<key>[A-Za-z_][\w.-]*)[ \t]*(?P<sep>[:=])[ \t]*(?P<value>[^\s\"'`#][^\s]*)[ \t]*(?:#.*)?\r?$")
-_YAML_PARENT = re.compile(r"^(?P<indent>[ ]*)(?:- )?(?P<key>[\w.-]+):[ \t]*\r?$")
+_YAML_PARENT = re.compile(r"^(?P<quote>[\"']?)(?P<key>[\w.-]+)(?P=quote)[ \t]*:(?:[ \t]+[&!]\S+)*[ \t]*(?:[ \t]#.*)?\r?$")
+_YAML_LINE = re.compile(r"(?P<indent>[ \t]*(?:-[ \t]+)*)(?P<rest>.*)", re.S)
 _FALLBACK = re.compile(rf"""(?:env(?:iron)?[.\[][\w"'\]]+|[Gg]etenv\([^)\n]*\)|environ\.get\([^)\n]*\))\s*(?:\|\||\?\?|or)\s*(?P<value>{_QUOTED})|(?:getenv|environ\.get)\(\s*(?:{_QUOTED})\s*,\s*(?P<second>{_QUOTED})""")
 _XML = re.compile(r"<(?P<key>[A-Za-z][\w.-]*)>(?P<value>[^<>\s]+)</(?P=key)>")
 _ROW = re.compile(r"^\s*\|\s*`?(?P<key>[A-Za-z_][\w.-]*)`?\s*\|\s*`?(?P<value>[^\s|`]+)`?\s*\|")
@@ -61,8 +64,20 @@ _COMMENT = re.compile(r"^\s*(?://+|#+|--|\*|/\*|<!--)\s*(?P<text>.*?)\s*(?:\*/|-
 _SPOKEN = re.compile(r"(?i)\b(?:passwor[dt]s?|passwd|passphrase|pwd|contrase[ñn]a|clave|credentials?|log ?in|logs? in|old key|api key|secret|token|zugangsdaten|kennwort|schlüssel)\b|密码|口令|密钥")
 _DIGEST = re.compile(r"(?i)\b(?:sha-?\d*|md5|commit|digest|checksum|integrity|etag|revision|fingerprint|sourceMappingURL|pinned|hash|public|uuid|trace)\b")
 _WORD = re.compile(r"[^\s\"'`,;:()<>\[\]{}|（），。；：、“”\u3400-\u9fff]+")
-#: A text without any of these has no credential that the readers know.
-_TRIGGER = re.compile("pass|pw|secret|token|bearer|credential|contrase|clave|log ?in|密码|口令|密钥|authorization|private key|old key|still valid|rollout|kennwort|zugangsdaten|schlüssel|gh[pousr]_|github_pat_|glpat-|k_(?:live|test)_|xox|a[ks]ia|aiza|npm_|sg\\.|eyj|wv1\\.|api[_-]?key|svc_?key|sign(?:ing)?_?key|(?:access|private|client|master|deploy)_?key|auth|key :?= |getenv|environ|process\\.env|://[^/\\s]*@|\\bcurl\\b|mysql|mariadb|(?m:^[ \\t]+key: )")
+#: Words that a line needs, in small letters, for any reader to find something on it: name parts that make a name sensitive (each holds a word of
+#: SECRET or `key`), words that _SPOKEN and comments go by, issuers' prefixes, and the marks of the other readers.
+_NAME_WORDS = sorted({w for w in SECRET if not any(o != w and o in w for o in SECRET)} | {"key"})
+COMMENT_WORDS = ["valid", "rollout", "works with", "staging"]
+_TRIGGER = re.compile(
+    "|".join([*_NAME_WORDS, *COMMENT_WORDS])
+    + "|contrasena|clave|logs? ?in|密码|口令|密钥|kennwort|zugangsdaten|schlüssel|authorization|gh[pousr]_|github_pat_|glpat-|k_(?:live|test)_|xox|a[ks]ia|aiza|npm_|sg\\.|eyj|wv1\\."
+    + "|env(?:iron)?[.\\[]|getenv|://[^/\\s]*@|\\bcurl\\b|mysql|mariadb"
+)
+_TOLD = re.compile(rf"(?i){'|'.join(COMMENT_WORDS)}|\bkey\b")
+_FENCE = re.compile(r"^[ \t]*(?:```|~~~)")
+_SECTION = re.compile(r"^[ \t]*\[{1,2}[ \t]*(?P<name>[\w.\"' :-]+?)[ \t]*\]{1,2}[ \t]*(?:[#;].*)?\r?$")
+_BRACES = re.compile(rf"""(?:"(?P<quoted>[\w.-]+)"|'(?P<single>[\w.-]+)'|(?<![\w$.-])(?P<word>[A-Za-z_$][\w$.-]*))\s*(?::=|=>|=|:)\s*(?P<open>[{{\[])|{_QUOTED}|(?P<bare>[{{\[])|(?P<close>[}}\]])|(?m:^[ \t]*(?P<fence>```|~~~))""")
+_TAGS = re.compile(r"<(?P<end>/)?(?P<name>[A-Za-z][\w.-]*)(?:\s[^<>]*?)?(?P<alone>/)?>")
 
 
 @dataclass(frozen=True)
@@ -116,10 +131,98 @@ def _unquote(literal: str) -> str:
     return literal[1:-1]
 
 
+class _Nesting:
+    """What the places of a text are nested in, read once from its start: braces (JSON and program text), indents (YAML), sections (TOML, INI) and elements (XML)."""
+
+    def __init__(self, text: str) -> None:
+        self.text = text
+        self.lines = self._lines()
+        self.braces = self._braces()
+        self.tags: tuple[list[int], list[tuple]] | None = None
+
+    def _lines(self) -> dict[int, tuple[str, list[tuple[int, str]]]]:
+        """By a line's start its section and the YAML keys, with their indents, that are open before it."""
+        out: dict[int, tuple[str, list[tuple[int, str]]]] = {}
+        section, stack, at = "", [], 0
+        for line in self.text.split("\n"):
+            out[at] = (section, stack)
+            at += len(line) + 1
+            if not line.strip() or line.lstrip().startswith("#"):
+                continue
+            if _FENCE.match(line):
+                section, stack = "", []
+                continue
+            m = _YAML_LINE.match(line)
+            indent = len(m["indent"])
+            if stack and stack[-1][0] >= indent:
+                stack = [x for x in stack if x[0] < indent]
+            if s := _SECTION.match(line):
+                section = re.sub(r"[\"' :]+", ".", s["name"]).strip(".")
+            elif k := _YAML_PARENT.match(m["rest"]):
+                stack = [*stack, (indent, k["key"])]
+        return out
+
+    def _braces(self) -> tuple[list[int], list[tuple]]:
+        """Ascending offsets, and the names whose braces are open from each on, as (names before, name)."""
+        at, open_, now = [], [], ()
+        for m in _BRACES.finditer(self.text):
+            if m["open"] or m["bare"]:
+                now = (now, m["quoted"] or m["single"] or m["word"] or "")
+            elif m["close"]:
+                now = now[0] if now else now
+            elif m["fence"]:
+                now = ()
+            else:
+                continue
+            at.append(m.end())
+            open_.append(now)
+        return at, open_
+
+    def _tags(self) -> tuple[list[int], list[tuple]]:
+        at, open_, now, depth = [], [], (), Counter()
+        for m in _TAGS.finditer(self.text):
+            if m["alone"]:
+                continue
+            if not m["end"]:
+                now = (now, m["name"])
+                depth[m["name"]] += 1
+            elif depth[m["name"]]:
+                while now[1] != m["name"]:
+                    depth[now[1]] -= 1
+                    now = now[0]
+                depth[now[1]] -= 1
+                now = now[0]
+            at.append(m.end())
+            open_.append(now)
+        return at, open_
+
+    @staticmethod
+    def _names(index: tuple[list[int], list[tuple]], place: int) -> str:
+        i, names = bisect_right(index[0], place) - 1, []
+        now = index[1][i] if i >= 0 else ()
+        while now:
+            if now[1]:
+                names.append(now[1])
+            now = now[0]
+        return "".join(f"{n}." for n in reversed(names))
+
+    def parents(self, begin: int, place: int, indent: int) -> str:
+        """Key path, with a dot behind each name, of what is at `place` on the line that starts at `begin`."""
+        section, stack = self.lines[begin]
+        inner = self._names(self.braces, place) or "".join(f"{k}." for i, k in stack if i < indent)
+        return (f"{section}." if section else "") + inner
+
+    def elements(self, place: int) -> str:
+        if self.tags is None:
+            self.tags = self._tags()
+        return self._names(self.tags, place)
+
+
 class _Reader:
     def __init__(self, text: str, code: bool) -> None:
         self.text, self.code = text, code
         self.found: dict[int, tuple[int, str]] = {}
+        self.nested: _Nesting | None = None
 
     def add(self, path: str, begin: int, end: int) -> None:
         if begin not in self.found or self.found[begin][0] < end:
@@ -142,9 +245,7 @@ class _Reader:
 
     def _lines(self) -> Iterator[tuple[int, str]]:
         """Lines with a trigger."""
-        text, low, done = self.text, self.text.lower(), -1
-        if len(low) != len(text):  # a few capitals have longer lower forms
-            low = text
+        text, low, done = self.text, self.text.replace("\u0130", "i").lower(), -1  # the one capital whose small form is longer
         for m in _TRIGGER.finditer(low):
             if m.start() < done:
                 continue
@@ -173,22 +274,9 @@ class _Reader:
             areas.append((m.start(), area))
         return areas
 
-    def _parents(self, begin: int, indent: int) -> str:
-        """Key path of the YAML lines above that a line of this indent belongs to."""
-        path: list[str] = []
-        at = begin
-        for _ in range(40):
-            if not indent or at <= 0:
-                break
-            start = self.text.rfind("\n", 0, at - 1) + 1
-            line = self.text[start : at - 1]
-            at = start
-            if not line.strip():
-                break
-            if (m := _YAML_PARENT.match(line)) and len(m["indent"]) < indent:
-                path.insert(0, m["key"])
-                indent = len(m["indent"])
-        return "".join(f"{p}." for p in path)
+    def _nesting(self) -> _Nesting:
+        self.nested = self.nested or _Nesting(self.text)
+        return self.nested
 
     def _line(self, begin: int, line: str) -> None:
         text, known = self.text, len(self.found)
@@ -218,27 +306,30 @@ class _Reader:
             strength = sensitive(m["key"])
             if not strength:
                 continue
-            if strength == "weak":
-                strength = "strong" if sensitive(self._parents(begin, len(line) - len(line.lstrip())) + m["key"]) == "strong" else "weak"
+            name = self._nesting().parents(begin, m.start(), len(line) - len(line.lstrip())) + m["key"]
+            strength = sensitive(name)
             value, end = _unquote(m["value"]), m.end("value")
             while piece := _PIECE.match(text, end):
                 if not piece[0].strip().startswith("+") and "\n" not in piece[0]:
                     break
                 value, end = value + _unquote(piece[1]), piece.end()
             if live(value, strength):
-                self.add(m["key"], m.start("value") + 1, end - 1)
+                self.add(name, m.start("value") + 1, end - 1)
         for m in _FALLBACK.finditer(line):
             part = "value" if m["value"] else "second"
             if live(_unquote(m[part]), "word"):
                 self.add("fallback", begin + m.start(part) + 1, begin + m.end(part) - 1)
         for m in _XML.finditer(line):
-            if sensitive(m["key"]) == "strong" and live(m["value"]):
-                self.add(m["key"], begin + m.start("value"), begin + m.end("value"))
+            if not sensitive(m["key"]):
+                continue
+            name = self._nesting().elements(begin + m.start()) + m["key"]
+            if live(m["value"], sensitive(name)):
+                self.add(name, begin + m.start("value"), begin + m.end("value"))
         if m := _ROW.match(line):
             if sensitive(m["key"]) == "strong" and live(m["value"]):
                 self.add(m["key"], begin + m.start("value"), begin + m.end("value"))
         if m := _BARE.match(line):
-            name = self._parents(begin, len(m["indent"])) + m["key"]
+            name = (self._nesting().parents(begin, begin + m.start("key"), len(m["indent"])) if sensitive(m["key"]) else "") + m["key"]
             if (strength := sensitive(name)) and live(m["value"].rstrip(",;"), strength) and not re.search(r"[()\[\]]|^\w+(?:\.\w+)+$", m["value"]):
                 self.add(name, begin + m.start("value"), begin + m.start("value") + len(m["value"].rstrip(",;")))
         if len(self.found) > known:
@@ -248,7 +339,7 @@ class _Reader:
             return
         spoken = _SPOKEN.search(line)
         words = [w for w in _WORD.finditer(line, spoken.end() if spoken else 0)]
-        words = words if spoken else words[-1:] if comment and self.code and re.search(r"(?i)valid|rollout|\bkey\b|works with|staging", line) else []
+        words = words if spoken else words[-1:] if comment and self.code and _TOLD.search(line) else []
         for w in words:
             value = w[0].rstrip(".,!?") if w[0][-1:] in ".," else w[0]
             if live(value, "word") and not re.search(r"https?:|^\W|\.\w+\(|^[a-z]+-\d+$", value):

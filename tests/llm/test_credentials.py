@@ -66,3 +66,36 @@ def test_redaction_changes_nothing_else(spark):
             want, at = want + data[at:a] + credentials.MASK.encode(), b
         assert (r.text or "").encode() == want + data[at:]
     assert credentials.credential_lines(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    "line", ["ENCRYPTION_KEY=Zk29dkQ81mm20xPq7", "encryption_key: Zk29dkQ81mm20xPq7", '"encryptionKey": "Zk29dkQ81mm20xPq7"', "AccountKey=Zk29dkQ81mm20xPq7", "LICENSE_KEY=Zk29dkQ81mm20xPq7", "ADMIN_KEY=Zk29dkQ81mm20xPq7", "access-key: Zk29dkQ81mm20xPq7", "signing-key: Zk29dkQ81mm20xPq7"]
+)
+def test_every_sensitive_name_is_read(line):
+    assert [f.line for f in credentials.find_in_text(f"a\n{line}\n")] == [2]
+
+
+def test_every_word_the_readers_go_by_is_read():
+    for words in (credentials.KEY_KINDS, credentials.SECRET):
+        for w in words:
+            for name in (f"{w}_key", f"{w}-key", f"{w}Key", f"{w.upper()}_KEY"):
+                assert credentials.sensitive(name) == "strong" and len(credentials.find_in_text(f"x\n{name}: Zk29dkQ81mm20xPq7\n")) == 1, name
+    for comment in ("// works with 250d3bce2a7992dd8f02fab2fc4d1f9c", "# staging: 250d3bce2a7992dd8f02fab2fc4d1f9c"):
+        assert len(credentials.find_in_text(f"a\n{comment}\n", code=True)) == 1
+    assert len(credentials.find_in_text("She logs in with wPK-lNG8rLXSGMf9Y until then.")) == 1
+    assert len(credentials.find_in_text('a = import.meta.env.A || "xgsagHhc368yqIMxzcqKtQmAIAwV"', code=True)) == 1
+    assert [f.line for f in credentials.find_in_text("İstanbul\nDB_PASSWORD=Maple!237cinder\n")] == [2]
+
+
+@pytest.mark.parametrize(
+    ("text", "path"),
+    [
+        ('{"encryption": {"note": "}",\n "key": "Zk29-dkQ81"}, "key": "list-2-user"}', "encryption.key"),
+        ("[auth.signing]\n\nkey = Zk29-dkQ81\n[list]\nkey = item-2-user\n", "auth.signing.key"),
+        ("<encryption><mode>x</mode>\n <key>Zk29-dkQ81</key></encryption><key>item-2-user</key>", "encryption.key"),
+        ("auth:\n" + "  a: 1\n\n" * 50 + "  key: Zk29-dkQ81\nlist:\n  key: item-2-user\n", "auth.key"),
+        ("auth: # of all\n- key: Zk29-dkQ81\n", "auth.key"),
+    ],
+)
+def test_key_paths(text, path):
+    assert [f.path for f in credentials.find_in_text(text)] == [path]
