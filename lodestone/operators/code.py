@@ -12,7 +12,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.scalars import base_name, canonical_path, dir_name, stable_id
@@ -213,6 +213,31 @@ def call_edges(facts: DataFrame) -> DataFrame:
     return joined.select("project_id", "path", "caller", "callee", "start_line", F.when(local, F.col("target")).alias("target"), F.when(local, "local").otherwise("unresolved").alias("resolution"), F.lit("name").alias("fidelity"))
 
 
+def heritage_edges(facts: DataFrame, imported: DataFrame) -> DataFrame:
+    """project_id, path, source_id, relation, name, target, resolution, start_line, end_line of embeds, extends and implements clauses.
+
+    A name without qualifier is looked for where calls are, then, as all others, in what the file imports (project_id, path,
+    specifier, target): for Go in the package whose path ends in the qualifier. The nearest place that has exactly one type of the name holds.
+    """
+    area = F.when(F.col("path").endswith(".go"), dir_name(F.col("path"))).otherwise(F.col("path"))
+    types = declared_units(facts).where("kind IN ('type', 'interface', 'class', 'component')").withColumn("area", area)
+    key = ["project_id", "path", "owner", "relation", "name", "qualifier", "start_line", "end_line"]
+    asked = facts.where("fact = 'heritage'").withColumn("qualifier", F.when(F.contains("target", F.lit(".")), F.substring_index("target", ".", 1)).otherwise("")).withColumnRenamed("kind", "relation").select(*key).distinct()
+    outside = imported.where("target IS NOT NULL").select("project_id", "path", F.element_at(F.split("specifier", "/"), -1).alias("last"), F.col("target").alias("area")).distinct()
+    told = ~F.col("path").endswith(".go") | (F.col("qualifier") == F.col("last"))
+    places = asked.where("qualifier = ''").select(*key, area.alias("area"), F.lit(0).alias("far")).unionByName(asked.join(outside, ["project_id", "path"]).where(told).select(*key, "area", F.lit(1).alias("far")))
+    held = types.select("project_id", "area", "name", F.col("id").alias("target")).distinct()
+    near = places.join(held, ["project_id", "area", "name"]).groupBy(*key, "far").agg(F.count_distinct("target").alias("n"), F.min("target").alias("target")).where("n = 1")
+    first = near.groupBy(*key).agg(F.min(F.struct("far", "target")).alias("s")).select(*key, F.col("s.target").alias("target"))
+    sources = types.select("project_id", "path", F.col("name").alias("owner"), F.col("id").alias("source_id")).distinct()
+    found = asked.join(first, key, "left").join(sources, ["project_id", "path", "owner"])
+    return found.select("project_id", "path", "source_id", "relation", "name", "target", F.when(F.col("target").isNotNull(), "local").otherwise("unresolved").alias("resolution"), "start_line", "end_line")
+
+
+def package_id(package: Column) -> Column:
+    return stable_id("go:", package, F.lit("package"), F.lit(""), package)
+
+
 def package_units(facts: DataFrame) -> DataFrame:
     """project_id, package (directory), name, path: the package unit of each Go directory, on its smallest path."""
     packages = facts.where("fact = 'package'")

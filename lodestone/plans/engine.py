@@ -21,14 +21,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.functions.scalars import token_estimate
+from lodestone.functions.scalars import dir_name, token_estimate
 from lodestone.operators import code, graph, markdown, ranking, search, visibility
 from lodestone.operators.evidence import evidence
 from lodestone.session import cut_lineage
 from lodestone.sources import project
 from lodestone.sources.suite import Question, Settings
 
-PARSER_VERSION = "1"
+PARSER_VERSION = "2"
 EMBED_BATCH = 16
 Embedder = Callable[[list[str]], list[list[float]]]
 
@@ -37,6 +37,7 @@ SCHEMAS = {
     "files": "project_id STRING, path STRING, kind STRING, language STRING, extension STRING, size BIGINT, mtime_ns BIGINT, file_hash STRING, parser_version STRING, generation BIGINT, weight DOUBLE, deleted BOOLEAN, activated_at TIMESTAMP",
     "code_units": "project_id STRING, id STRING, name STRING, qualified_name STRING, kind STRING, language STRING, extension STRING, path STRING, start_line BIGINT, end_line BIGINT, source STRING, search_text STRING, file_hash STRING, generation BIGINT, weight DOUBLE",
     "code_edges": "project_id STRING, source_id STRING, target_id STRING, relation STRING, path STRING, start_line BIGINT, end_line BIGINT, resolution STRING, file_hash STRING, generation BIGINT",
+    "code_facts": "project_id STRING, path STRING, fact STRING, kind STRING, owner STRING, name STRING, target STRING, exported BOOLEAN, start_line BIGINT, end_line BIGINT, file_hash STRING, generation BIGINT",
     "doc_chunks": "project_id STRING, id STRING, path STRING, extension STRING, heading STRING, start_line BIGINT, end_line BIGINT, content STRING, search_text STRING, tags ARRAY<STRING>, links ARRAY<STRING>, chunk_hash STRING, file_hash STRING, generation BIGINT, embedding ARRAY<FLOAT>",
     "index_runs": "project_id STRING, run_id STRING, mode STRING, state STRING, started_at TIMESTAMP, finished_at TIMESTAMP, changed BIGINT, deleted BIGINT, error STRING, start_generation BIGINT, target_generation BIGINT, pending ARRAY<STRING>, updated_at TIMESTAMP",
 }
@@ -87,7 +88,7 @@ class Engine:
 
     def _sync(self, mode: str) -> SyncResult:
         started, run_id = datetime.now(UTC), str(uuid.uuid4())
-        current = visibility.next_generation([*((self.read(t), "generation") for t in ("files", "code_units", "code_edges", "doc_chunks")), (self.read("index_runs"), "target_generation")]).first()
+        current = visibility.next_generation([*((self.read(t), "generation") for t in ("files", "code_units", "code_edges", "code_facts", "doc_chunks")), (self.read("index_runs"), "target_generation")]).first()
         generation = current["next_generation"] if current else 1
         try:
             changed, deleted = self._write(mode, generation)
@@ -107,8 +108,14 @@ class Engine:
             return 0, 0
         stamp = [F.lit(self.project_id).alias("project_id"), F.lit(generation).cast("bigint").alias("generation")]
         inputs = cut_lineage(found.where("reason IS NULL").join(plan.where("action = 'changed'"), "path", "left_semi").select("*", *stamp, F.decode("content", "UTF-8").alias("source")))
-        self._write_code(inputs)
+        kept = cut_lineage(self.manifest().join(plan, "path", "left_anti"))
+        facts = cut_lineage(self._facts(inputs, kept))
+        edges = cut_lineage(self._edges(facts, kept.select("project_id", "path").unionByName(inputs.select("project_id", "path"))))
+        affected = kept.join(self._affected(facts, edges, kept), "path", "left_semi").select("path", "file_hash")
+        again = found.where("reason IS NULL").join(affected, ["path", "file_hash"], "left_semi").select("*", *stamp, F.decode("content", "UTF-8").alias("source"))
         self._write_documents(inputs)
+        inputs = cut_lineage(inputs.unionByName(again.select(*inputs.columns)))
+        self._write_code(inputs, facts, edges)
         tombstones = plan.where("action = 'deleted'").select("path", F.lit(True).alias("deleted"))
         head = [F.lit(PARSER_VERSION).alias("parser_version"), F.lit(1.0).alias("weight"), F.current_timestamp().alias("activated_at")]
         live = inputs.select("project_id", "path", "kind", "language", "extension", "size", "mtime_ns", "file_hash", "generation", F.lit(False).alias("deleted"), *head)
@@ -116,11 +123,52 @@ class Engine:
         self.append("files", live.unionByName(gone, allowMissingColumns=True))  # always the last write
         return counts.get("changed", 0), counts.get("deleted", 0)
 
-    def _write_code(self, inputs: DataFrame) -> None:
+    def _facts(self, inputs: DataFrame, kept: DataFrame) -> DataFrame:
+        """Source facts of the whole tree: changed files are parsed, those of the kept ones are stored."""
+        columns = ["project_id", "path", *(c.split(" ")[0] for c in code.FACTS.split(", "))]
+        fresh = code.source_facts(inputs.where("kind = 'code'"))
+        return fresh.select(*columns).unionByName(visibility.visible(self.read("code_facts"), kept).select(*columns))
+
+    def _edges(self, facts: DataFrame, paths: DataFrame) -> DataFrame:
+        """All edges of the tree: calls, contains, imports, heritage and implemented interfaces, resolved over all of its facts."""
+        file_id = lambda path: F.concat(F.lit("file:"), F.sha2(path, 256))
+        columns = ["project_id", "source_id", "target_id", "relation", "path", "start_line", "end_line", "resolution"]
+        declared = code.declared_units(facts)
+        by_name = declared.select("project_id", "path", F.col("qualified_name").alias("caller"), F.col("id").alias("source_id")).dropDuplicates(["project_id", "path", "caller"])
+        calls = code.call_edges(facts).join(by_name, ["project_id", "path", "caller"]).select("project_id", "source_id", F.coalesce("target", F.concat(F.lit("name:"), "callee")).alias("target_id"), F.lit("calls").alias("relation"), "path", "start_line", F.col("start_line").alias("end_line"), "resolution")
+        contains = declared.select("project_id", file_id(F.col("path")).alias("source_id"), F.col("id").alias("target_id"), F.lit("contains").alias("relation"), "path", "start_line", "end_line", F.lit("local").alias("resolution"))
+        found, go, known = facts.where("fact = 'import'"), F.col("path").endswith(".go"), paths.distinct()
+        modules, packages = code.module_targets(found.where(~go), known), code.package_targets(found.where(go), known)
+        outside, first = F.concat(F.lit("external:"), "specifier"), F.lit(1).cast("bigint")
+        imports = modules.withColumn("target_id", file_id(F.col("target"))).unionByName(packages.withColumn("target_id", code.package_id(F.col("target"))))
+        imports = imports.select("project_id", file_id(F.col("path")).alias("source_id"), F.when(F.col("target").isNotNull(), F.col("target_id")).otherwise(outside).alias("target_id"), F.lit("imports").alias("relation"), "path", first.alias("start_line"), first.alias("end_line"), "resolution")
+        heritage = code.heritage_edges(facts, modules.unionByName(packages)).withColumn("target_id", F.coalesce("target", F.concat(F.lit("name:"), "name"))).select(*columns)
+        types = declared.where(go & F.col("kind").isin("type", "interface")).select("project_id", "id", "path", "start_line", "end_line", F.concat_ws("#", dir_name(F.col("path")), "name").alias("_name"))
+        met = code.implements(facts).join(types.withColumnRenamed("_name", "type").withColumnRenamed("id", "source_id"), ["project_id", "type"])
+        wanted = types.select("project_id", F.col("id").alias("target_id"), F.col("_name").alias("interface")).distinct()
+        implemented = met.join(wanted, ["project_id", "interface"]).select("project_id", "source_id", "target_id", F.lit("implements").alias("relation"), "path", "start_line", "end_line", F.lit("local").alias("resolution"))
+        return reduce(DataFrame.unionByName, [x.select(*columns) for x in (calls, contains, imports, heritage, implemented)])
+
+    def _affected(self, facts: DataFrame, edges: DataFrame, kept: DataFrame) -> DataFrame:
+        """path: kept files whose edges or package unit are others than the stored ones, because files they depend on have changed."""
+        paths = kept.select("project_id", "path")
+        packages = code.package_units(facts).select("project_id", "path", code.package_id(F.col("package")).alias("id"), "name")
+        now = [edges.join(paths, ["project_id", "path"], "left_semi"), packages.join(paths, ["project_id", "path"], "left_semi")]
+        held = [visibility.visible(self.read("code_edges"), kept), visibility.visible(self.read("code_units").where("kind = 'package'"), kept)]
+        differ = []
+        for new, old in zip(now, held):
+            old = old.select(*new.columns)
+            differ += [new.subtract(old).select("path"), old.subtract(new).select("path")]
+        return cut_lineage(reduce(DataFrame.unionByName, differ).distinct())
+
+    def _write_code(self, inputs: DataFrame, facts: DataFrame, edges: DataFrame) -> None:
+        """Units, facts and edges of the input files, of the facts and edges of the whole tree."""
         files = inputs.where(F.col("language").isin("go", "typescript", "javascript") & (F.col("kind") == "code"))
-        facts = cut_lineage(code.source_facts(files))
         version = inputs.select("path", "file_hash", "generation", "language", "extension", F.col("source").alias("_text"))
-        units = code.declared_units(facts).join(version, "path")
+        columns = ["project_id", "id", "name", "qualified_name", "kind", "path", "start_line", "end_line"]
+        packages = code.package_units(facts).join(facts.where("fact = 'package'").select("project_id", "path", "start_line", "end_line"), ["project_id", "path"])
+        packages = packages.select("project_id", code.package_id(F.col("package")).alias("id"), "name", F.col("package").alias("qualified_name"), F.lit("package").alias("kind"), "path", "start_line", "end_line")
+        units = code.declared_units(facts).select(*columns).unionByName(packages).join(version, "path")
         lines = F.split("_text", "\n")
         part = F.array_join(F.slice(lines, F.col("start_line").cast("int"), (F.col("end_line") - F.col("start_line") + 1).cast("int")), "\n")
         whole = inputs.join(files.select("path"), "path", "left_semi").select(
@@ -130,18 +178,9 @@ class Engine:
         parts = units.select("project_id", "id", "name", "qualified_name", "kind", "language", "extension", "path", "start_line", "end_line", part.alias("source"), "file_hash", "generation")
         rows = whole.unionByName(parts).withColumn("weight", ranking.source_weight(F.col("path"), F.lit(0.0)))
         self.append("code_units", rows.withColumn("search_text", F.concat_ws(" ", "path", "name", "qualified_name", "source")))
-        declared = code.declared_units(facts)
-        by_name = declared.select("project_id", "path", F.col("qualified_name").alias("caller"), F.col("id").alias("source_id")).dropDuplicates(["project_id", "path", "caller"])
-        calls = code.call_edges(facts).join(by_name, ["project_id", "path", "caller"]).select("project_id", "source_id", F.coalesce("target", F.concat(F.lit("name:"), "callee")).alias("target_id"), F.lit("calls").alias("relation"), "path", "start_line", F.col("start_line").alias("end_line"), "resolution")
-        contains = declared.select("project_id", F.concat(F.lit("file:"), F.sha2("path", 256)).alias("source_id"), F.col("id").alias("target_id"), F.lit("contains").alias("relation"), "path", "start_line", "end_line", F.lit("local").alias("resolution"))
-        known = self.manifest().select("project_id", "path").unionByName(inputs.select("project_id", "path")).distinct()
-        targets = code.module_targets(facts.where((F.col("fact") == "import") & ~F.col("path").endswith(".go")), known)
-        imports = targets.select(
-            "project_id", F.concat(F.lit("file:"), F.sha2("path", 256)).alias("source_id"), F.when(F.col("target").isNotNull(), F.concat(F.lit("file:"), F.sha2("target", 256))).otherwise(F.concat(F.lit("external:"), "specifier")).alias("target_id"),
-            F.lit("imports").alias("relation"), "path", F.lit(1).cast("bigint").alias("start_line"), F.lit(1).cast("bigint").alias("end_line"), "resolution",
-        )
-        edges = reduce(DataFrame.unionByName, [calls, contains, imports]).join(version.select("path", "file_hash", "generation"), "path")
-        self.append("code_edges", edges)
+        stamps = version.select("path", "file_hash", "generation")
+        self.append("code_facts", facts.join(stamps, "path"))
+        self.append("code_edges", edges.join(stamps, "path"))
 
     def _write_documents(self, inputs: DataFrame) -> None:
         docs = inputs.where("language = 'markdown'")
@@ -161,7 +200,7 @@ class Engine:
     def cleanup(self) -> None:
         """Rewrite the derived relations of this project without obsolete rows, each into a new folder that then takes the place."""
         manifest = self.manifest()
-        for name in ("code_units", "code_edges", "doc_chunks"):
+        for name in ("code_units", "code_edges", "code_facts", "doc_chunks"):
             kept = cut_lineage(visibility.visible(self.read(name), manifest))
             columns = [c.split(" ")[0] for c in SCHEMAS[name].split(", ")]
             kept.select(*columns).drop("project_id").write.mode("overwrite").parquet(f"{self.store}/{name}/project_id={self.project_id}")

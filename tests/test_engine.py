@@ -50,3 +50,39 @@ def test_announcements_as_a_stream(spark, tmp_path):
             spark.createDataFrame(extra, schema).write.mode("append").parquet(source)
         activate(spark.readStream.schema(schema).parquet(source), log, str(tmp_path / "cp")).awaitTermination(60)
     assert [(r.path, r.generation) for r in current(spark.read.parquet(log)).collect()] == [("a", 2)]
+
+
+def test_delta_gives_the_edges_of_a_full_refresh(spark, tmp_path):
+    from lodestone.operators import visibility
+
+    root, store = tmp_path / "tree", tmp_path / "store"
+    (root / "pkg").mkdir(parents=True)
+    (root / "app").mkdir()
+    a, b = root / "pkg" / "a.go", root / "pkg" / "b.go"
+    a.write_text("package pkg\n\ntype Saver interface {\n\tSave(n string) error\n}\n\nfunc Open() error { return helper() }\n")
+    b.write_text("package pkg\n\nfunc helper() error { return nil }\n")
+    (root / "app" / "m.go").write_text('package app\n\nimport "x.org/m/pkg"\n\ntype Disk struct {\n\tpkg.Base\n}\n\nfunc (d *Disk) Save(n string) error { return nil }\n')
+    (root / "app" / "v.ts").write_text('import { Base } from "./base";\nexport class View extends Base {\n}\n')
+    engine = Engine(spark, str(root), str(store))
+    engine.sync("full")
+
+    def edges(e):
+        names = {r.id: r.qualified_name for r in visibility.visible(e.read("code_units"), e.manifest()).collect()}
+        rows = visibility.visible(e.read("code_edges"), e.manifest()).where("relation <> 'contains'").collect()
+        return sorted((names.get(r.source_id), r.relation, names.get(r.target_id, r.target_id), r.path, r.resolution) for r in rows)
+
+    first = edges(engine)
+    assert ("app/m.go", "imports", "pkg", "app/m.go", "local") in first and ("Disk", "implements", "Saver", "app/m.go", "local") in first
+    assert ("Disk", "embeds", "name:Base", "app/m.go", "unresolved") in first and ("View", "extends", "name:Base", "app/v.ts", "unresolved") in first
+    a.write_text(a.read_text() + "\ntype Base struct {\n\tn int\n}\n")  # the call from a.go to b.go stays, the embedded type of m.go is new
+    (root / "app" / "base.ts").write_text("export class Base {\n}\n")
+    assert engine.sync().changed == 2
+    assert [r.symbol for r in engine.impact(symbol="Open", direction="downstream").collect()] == ["helper"]
+    again = edges(engine)
+    assert ("Disk", "embeds", "Base", "app/m.go", "local") in again and ("View", "extends", "Base", "app/v.ts", "local") in again
+    for n, change in enumerate((lambda: b.write_text("package pkg\n\nfunc other() error { return nil }\n"), a.unlink)):
+        change()
+        engine.sync()
+        whole = Engine(spark, str(root), str(tmp_path / f"whole{n}"))
+        whole.sync("full")
+        assert edges(engine) == edges(whole)
