@@ -31,8 +31,11 @@ from lodestone.session import cut_lineage
 
 SHARE = 0.25
 #: Topics of each language's models (a fit may merge two subjects in a topic, another of other size won't), terms of its
-#: vocabulary, and the documents (least number, greatest share) a term is in.
+#: vocabulary, the least documents a term is in, and the share of them above which it must fall unevenly over the subjects.
 TOPICS, VOCABULARY, LEAST_DOCS, MOST_SHARE = (30, 60), 6_000, 4, 0.14
+#: A term falls unevenly if it is so many times as frequent in one subject's labelled documents as in the others, by so many standard errors,
+#: or if it is so many times as frequent in all documents as in labelled ones (it is then of a subject nobody has labelled).
+UNEVEN_TIMES, UNEVEN_ERRORS = 2.0, 3.0
 #: Online variational fitting: rounds, and the share of documents in each, but at least BATCH of them.
 ROUNDS, BATCH_SHARE, BATCH = 25, 0.02, 1500
 #: Documents of a partition of the models' input: each round is a job, so small languages shouldn't be many tasks.
@@ -124,14 +127,52 @@ def document_frequencies(documents: DataFrame) -> DataFrame:
     return counted.groupBy("language", "term").agg(F.sum("n").alias("n"))
 
 
-def vocabularies(frequencies: DataFrame) -> dict[str, list[str]]:
-    """The terms of each language that are in neither too few nor too many of its documents, the commonest VOCABULARY of them."""
+def uneven_terms(documents: DataFrame, labels: DataFrame, common: dict[str, dict[str, float]]) -> dict[str, set[str]]:
+    """Of the common terms (with their shares of all documents) of each language those that fall unevenly over the subjects of `labels` (doc_id, subject)."""
+    names = {language: frozenset(terms) for language, terms in common.items()}
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total: Counter = Counter()
+        for batch in batches:
+            for text, given in zip(batch["text"], batch["given"]):
+                language = language_of(text)
+                held = {t for _, terms in sentence_terms(text) for t in terms} & names.get(language, frozenset())
+                total.update((language, t, s) for t in ("", *held) for s in ("", *given))
+        yield pd.DataFrame([(*k, n) for k, n in total.items()], columns=["language", "term", "subject", "n"])
+
+    marked = labels.groupBy("doc_id").agg(F.collect_set("subject").alias("given"))
+    counted = documents.where("trim(text) <> ''").join(marked, "doc_id").select("text", "given").mapInPandas(count, "language string, term string, subject string, n bigint")
+    n: dict[tuple[str, str], Counter] = defaultdict(Counter)
+    for r in counted.groupBy("language", "term", "subject").agg(F.sum("n").alias("n")).collect():  # common terms x subjects
+        n[r["language"], r["term"]][r["subject"]] = r["n"]
+    return {language: {t for t, share in terms.items() if _uneven(n[language, t], n[language, ""], share)} for language, terms in common.items()}
+
+
+def _uneven(held: Counter, whole: Counter, share: float) -> bool:
+    """Whether a term that is in `held` of the `whole` labelled documents, by subject ("" for all), falls unevenly."""
+    for subject, size in whole.items():
+        rest = whole[""] - size
+        if not subject or rest <= 0:
+            continue
+        inside, outside, mean = held[subject] / size, (held[""] - held[subject] + 0.5) / (rest + 1), (held[""] + 0.5) / (whole[""] + 1)
+        if inside >= UNEVEN_TIMES * outside and inside - outside >= UNEVEN_ERRORS * np.sqrt(mean * (1 - min(mean, 0.99)) * (1 / size + 1 / rest)):
+            return True
+    expected = share * whole[""]
+    return UNEVEN_TIMES * held[""] <= expected and expected - held[""] >= UNEVEN_ERRORS * np.sqrt(expected)
+
+
+def vocabularies(frequencies: DataFrame, documents: DataFrame | None = None, labels: DataFrame | None = None) -> dict[str, list[str]]:
+    """The terms of each language that are in enough of its documents, the commonest VOCABULARY of them, without common ones that fall evenly over the subjects."""
     frequencies = cut_lineage(frequencies.where((F.col("n") >= LEAST_DOCS) | (F.col("term") == "")))
     totals = {r["language"]: r["n"] for r in frequencies.where("term = ''").collect()}  # a row a language
+    most = {language: max(2 * LEAST_DOCS, MOST_SHARE * total) for language, total in totals.items()}
+    of_language = {language: frequencies.where((F.col("language") == language) & (F.col("term") != "") & (F.col("n") >= LEAST_DOCS)) for language in totals}
+    common = {language: {r["term"]: r["n"] / totals[language] for r in x.where(F.col("n") > most[language]).collect()} for language, x in of_language.items()}  # a document's terms / MOST_SHARE
+    good = uneven_terms(documents, labels, common) if documents is not None and labels is not None else {}
     out = {}
-    for language, total in totals.items():
-        least, most = LEAST_DOCS, max(2 * LEAST_DOCS, MOST_SHARE * total)
-        kept = frequencies.where((F.col("language") == language) & (F.col("term") != "") & (F.col("n") >= least) & (F.col("n") <= most))
+    for language, x in of_language.items():
+        even = sorted(set(common[language]) - good.get(language, set()))
+        kept = x.join(x.sparkSession.createDataFrame([(t,) for t in even], "term string"), "term", "left_anti") if even else x
         out[language] = [r["term"] for r in kept.orderBy(F.desc("n"), "term").limit(VOCABULARY).collect()]
     return out
 
@@ -350,12 +391,12 @@ def subjects_of_documents(documents: DataFrame, subjects: DataFrame, labels: Dat
     spark = documents.sparkSession
     names = sorted({r["subject"] for r in subjects.where("trim(subject) <> ''").select("subject").distinct().limit(1000).collect()})
     empty = spark.createDataFrame([], "doc_id bigint, subject string, share double")
-    vocabulary = {k: v for k, v in vocabularies(document_frequencies(documents)).items() if v}
+    plain = subjects.select(F.lower(F.trim("subject")).alias("l"), F.col("subject").alias("name")).distinct()
+    given = labels.select("doc_id", F.lower(F.trim("subject")).alias("l")).join(plain, "l").select("doc_id", F.col("name").alias("subject")).distinct()
+    vocabulary = {k: v for k, v in vocabularies(document_frequencies(documents), documents, given).items() if v}
     if not names or not vocabulary:
         return empty
     encoded = cut_lineage(encode(documents, vocabulary))
-    plain = subjects.select(F.lower(F.trim("subject")).alias("l"), F.col("subject").alias("name")).distinct()
-    given = labels.select("doc_id", F.lower(F.trim("subject")).alias("l")).join(plain, "l").select("doc_id", F.col("name").alias("subject")).distinct()
     sizes = {language: len(terms) for language, terms in vocabulary.items()}
 
     def fit(language: str) -> np.ndarray:

@@ -41,6 +41,19 @@ def test_held_out_documents(spark, monkeypatch):
     assert right >= 0.9 * (len(docs) - 60) and not {900, 901, 902, 903} & set(got)
 
 
+def test_subject_with_a_third_of_all_documents(spark, monkeypatch):
+    monkeypatch.setattr(subjects, "TOPICS", (8, 12))  # the document share stays as in production
+    docs, truth = corpus()
+    df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(2)
+    labels = spark.createDataFrame([(i, s) for i in range(60) for s in truth[i]], "doc_id bigint, subject string")
+    kept = set(subjects.vocabularies(subjects.document_frequencies(df), df, labels)["en"])
+    assert {t for terms in TERMS.values() for t in terms} <= kept and not {"checked", "the", "nothing", "questions"} & kept
+    got = {}
+    for r in subjects.subjects_of_documents(df, spark.createDataFrame([(s, None) for s in TERMS], "subject string, description string"), labels).collect():
+        got.setdefault(r.doc_id, set()).add(r.subject)
+    assert sum(got.get(i, set()) == truth[i] for i in range(60, len(docs))) >= 0.9 * (len(docs) - 60)
+
+
 def test_nothing_to_go_by(spark):
     docs, names, labels = spark.createDataFrame([], "doc_id bigint, text string"), spark.createDataFrame([("law", "")], "subject string, description string"), spark.createDataFrame([], "doc_id bigint, subject string")
     assert subjects.subjects_of_documents(docs, names, labels).count() == 0
