@@ -1,6 +1,6 @@
 """Subject areas of documents by latent Dirichlet topic models.
 
-For each language a topic model is fitted on all its documents, in which the hand labels take part as
+For each language topic models are fitted on draws from all its documents (each is drawn twice in the mean), in which the hand labels take part as
 words of their documents. A topic's top terms therefore show its subject: the label that stands out
 among them; topics without such a label are background. The topics give every term a distribution over
 subjects, in which the labelled documents that hold the term weigh in (fits may merge two subjects in a
@@ -36,8 +36,8 @@ TOPICS, VOCABULARY, LEAST_DOCS, MOST_SHARE = (30, 60), 6_000, 4, 0.14
 #: A term falls unevenly if it is so many times as frequent in one subject's labelled documents as in the others, by so many standard errors,
 #: or if it is so many times as frequent in all documents as in labelled ones (it is then of a subject nobody has labelled).
 UNEVEN_TIMES, UNEVEN_ERRORS = 2.0, 3.0
-#: Online variational fitting: rounds, and the share of documents in each, but at least BATCH of them.
-ROUNDS, BATCH_SHARE, BATCH = 25, 0.02, 1500
+#: Online variational fitting: rounds, the times all of them together draw every document in the mean, and the least documents of a round.
+ROUNDS, PASSES, BATCH = 25, 2.0, 1500
 #: Documents of a partition of the models' input: each round is a job, so small languages shouldn't be many tasks.
 PART_DOCS = 2500
 #: Models fitted side by side; the rounds of one are too short to keep a cluster busy.
@@ -48,8 +48,9 @@ LABEL_TIMES, TOPIC_SHARE, TERM_SHARE = 6, 0.5, 0.6
 AGREE = 0.6
 #: Share with which a term starts before it is sharpened: documents of two subjects halve what their labels say.
 START_SHARE = 0.45
-#: Labelled documents that the topics' word on a term weighs as much as, and their silence on it.
-TOPIC_WEIGHT, SILENCE = 4, 2
+#: Labelled documents that the topics' word on a term weighs as much as, and their silence on it; the word weighs at least TOPIC_PART of the
+#: term's labelled documents, so that more labels don't drown it.
+TOPIC_WEIGHT, SILENCE, TOPIC_PART = 4, 2, 0.25
 #: Rounds of sharpening, and documents a term or sentence must be in to be judged by them.
 SHARPEN, LEAST_SEEN = 3, 4
 #: A recurring sentence whose documents are otherwise about its subject in less than this share is figurative.
@@ -201,6 +202,11 @@ def encode(documents: DataFrame, vocabulary: dict[str, list[str]]) -> DataFrame:
     )
 
 
+def batch_share(total: int) -> float:
+    """Share of the documents that a round draws: at every size all rounds together draw each document PASSES times in the mean, or more."""
+    return min(1.0, max(PASSES / ROUNDS, BATCH / max(1, total)))
+
+
 def fit_topics(encoded: DataFrame, labels: DataFrame, terms: list[str], subjects: list[str], numbers: tuple[int, ...] = TOPICS) -> np.ndarray:
     """Terms x subjects: the share of each term's weight that lies in topics of the subject, the greatest of several fits.
 
@@ -216,7 +222,7 @@ def fit_topics(encoded: DataFrame, labels: DataFrame, terms: list[str], subjects
     bags = encoded.join(marked, "doc_id", "left").select(F.concat(words, F.coalesce("marks", F.array().cast("array<string>"))).alias("words"))
     features = CountVectorizerModel.from_vocabulary(vocabulary, "words", "features").transform(bags).select("features")
     total = encoded.count()
-    share = min(1.0, max(BATCH_SHARE, BATCH / max(1, total)))
+    share = batch_share(total)
     features = cut_lineage(features.repartition(-(-max(1, total) // PART_DOCS))).persist()  # each round draws from all of it
 
     def fit(topics: int) -> np.ndarray:
@@ -277,7 +283,7 @@ def settle_topics(encoded: DataFrame, labels: DataFrame, topics: dict[str, np.nd
     counted = encoded.join(marked, "doc_id").select("language", "sentences", "given").mapInPandas(run, "language string, term int, subject int, n double")
     counts = {language: np.zeros((len(x), len(subjects) + 1)) for language, x in topics.items()}
     _add_up(counted, counts)
-    weight = {language: np.where(x.sum(1, keepdims=True) > 0, TOPIC_WEIGHT, SILENCE) for language, x in topics.items()}
+    weight = {language: np.where(x.sum(1, keepdims=True) > 0, np.maximum(TOPIC_WEIGHT, TOPIC_PART * counts[language][:, -1:]), SILENCE) for language, x in topics.items()}
     return {language: (counts[language][:, :-1] + weight[language] * x) / (counts[language][:, -1:] + weight[language]) for language, x in topics.items()}
 
 

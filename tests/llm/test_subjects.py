@@ -54,6 +54,10 @@ def test_subject_with_a_third_of_all_documents(spark, monkeypatch):
     assert sum(got.get(i, set()) == truth[i] for i in range(60, len(docs))) >= 0.9 * (len(docs) - 60)
 
 
+def test_rounds_draw_all_documents_at_every_size():
+    assert all(subjects.batch_share(n) * subjects.ROUNDS >= 1 for n in (0, 1, 5_000, 75_000, 10_000_000))
+
+
 def test_nothing_to_go_by(spark):
     docs, names, labels = spark.createDataFrame([], "doc_id bigint, text string"), spark.createDataFrame([("law", "")], "subject string, description string"), spark.createDataFrame([], "doc_id bigint, subject string")
     assert subjects.subjects_of_documents(docs, names, labels).count() == 0
