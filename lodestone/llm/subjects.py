@@ -30,9 +30,9 @@ from pyspark.sql import functions as F
 from lodestone.session import cut_lineage
 
 SHARE = 0.25
-#: Topics of each language's models (a fit may merge two subjects in a topic, another of other size won't), terms of its
-#: vocabulary, the least documents a term is in, and the share of them above which it must fall unevenly over the subjects.
-TOPICS, VOCABULARY, LEAST_DOCS, MOST_SHARE = (30, 60), 6_000, 4, 0.14
+#: Topics of each language's models (a fit may merge two subjects in a topic, another of other size won't), the
+#: least documents a term is in, and the share of them above which it must fall unevenly over the subjects.
+TOPICS, LEAST_DOCS, MOST_SHARE = (30, 60), 4, 0.14
 #: A term falls unevenly if it is so many times as frequent in one subject's labelled documents as in the others, by so many standard errors,
 #: or if it is so many times as frequent in all documents as in labelled ones (it is then of a subject nobody has labelled).
 UNEVEN_TIMES, UNEVEN_ERRORS = 2.0, 3.0
@@ -53,6 +53,8 @@ START_SHARE = 0.45
 TOPIC_WEIGHT, SILENCE, TOPIC_PART = 4, 2, 0.25
 #: Rounds of sharpening, and documents a term or sentence must be in to be judged by them.
 SHARPEN, LEAST_SEEN = 3, 4
+#: Counts a task holds before it gives them out.
+HELD_COUNTS = 400_000
 #: A recurring sentence whose documents are otherwise about its subject in less than this share is figurative.
 FIGURATIVE = 0.4
 #: Most figurative sentences sent to every task (8 bytes each).
@@ -163,7 +165,7 @@ def _uneven(held: Counter, whole: Counter, share: float) -> bool:
 
 
 def vocabularies(frequencies: DataFrame, documents: DataFrame | None = None, labels: DataFrame | None = None) -> dict[str, list[str]]:
-    """The terms of each language that are in enough of its documents, the commonest VOCABULARY of them, without common ones that fall evenly over the subjects."""
+    """The terms of each language that are in enough of its documents, the commonest first, without common ones that fall evenly over the subjects."""
     frequencies = cut_lineage(frequencies.where((F.col("n") >= LEAST_DOCS) | (F.col("term") == "")))
     totals = {r["language"]: r["n"] for r in frequencies.where("term = ''").collect()}  # a row a language
     most = {language: max(2 * LEAST_DOCS, MOST_SHARE * total) for language, total in totals.items()}
@@ -174,7 +176,7 @@ def vocabularies(frequencies: DataFrame, documents: DataFrame | None = None, lab
     for language, x in of_language.items():
         even = sorted(set(common[language]) - good.get(language, set()))
         kept = x.join(x.sparkSession.createDataFrame([(t,) for t in even], "term string"), "term", "left_anti") if even else x
-        out[language] = [r["term"] for r in kept.orderBy(F.desc("n"), "term").limit(VOCABULARY).collect()]
+        out[language] = kept.orderBy(F.desc("n"), "term").select("term").toArrow()["term"].to_pylist()
     return out
 
 
@@ -214,7 +216,7 @@ def fit_topics(encoded: DataFrame, labels: DataFrame, terms: list[str], subjects
 
     A term keeps its share only for a subject that holds AGREE of what all fits together give it to any subject.
     """
-    single = [i for i, t in enumerate(terms) if " " not in t]
+    single = [i for i, t in enumerate(terms) if " " not in t]  # Han text has no blanks: its pairs of characters stand for words
     size = len(single)
     vocabulary = [str(i) for i in single] + [f"={s}" for s in subjects]
     marked = labels.groupBy("doc_id").agg(F.flatten(F.collect_list(F.array_repeat(F.concat(F.lit("="), "subject"), LABEL_TIMES))).alias("marks"))
@@ -235,7 +237,7 @@ def fit_topics(encoded: DataFrame, labels: DataFrame, terms: list[str], subjects
     features.unpersist()
     total = sum(fits)
     agreed = total >= AGREE * np.maximum(total.sum(1, keepdims=True), 1e-9)
-    shares = np.zeros((len(terms), len(subjects)))
+    shares = np.zeros((len(terms), len(subjects)), np.float32)
     shares[single] = np.where(agreed, reduce(np.maximum, fits), 0.0)
     return shares
 
@@ -253,13 +255,11 @@ def subject_shares(weights: np.ndarray, size: int, subjects: int) -> np.ndarray:
 
 
 def _add_up(counted: DataFrame, into: dict[str, np.ndarray]) -> None:
-    """Add counts (language, term, subject, n) to the matrices; they come as Arrow columns, at most vocabulary x subjects rows."""
-    got = counted.groupBy("language", "term", "subject").agg(F.sum("n").alias("n")).toArrow()
-    languages = np.array(got["language"].to_pylist(), dtype=object)
-    term, subject, n = (got[c].to_numpy() for c in ("term", "subject", "n"))
+    """Add counts (language, term, subject, n) to the matrices; they come as Arrow columns, a language at a time, at most vocabulary x subjects rows."""
+    summed = cut_lineage(counted.groupBy("language", "term", "subject").agg(F.sum("n").alias("n")))
     for language, matrix in into.items():
-        some = languages == language
-        np.add.at(matrix, (term[some], subject[some]), n[some])
+        got = summed.where(F.col("language") == language).select("term", "subject", F.col("n").cast("float").alias("n")).toArrow()
+        matrix[got["term"].to_numpy(), got["subject"].to_numpy()] = got["n"].to_numpy()  # a row each
 
 
 def settle_topics(encoded: DataFrame, labels: DataFrame, topics: dict[str, np.ndarray], subjects: list[str]) -> dict[str, np.ndarray]:
@@ -277,11 +277,14 @@ def settle_topics(encoded: DataFrame, labels: DataFrame, topics: dict[str, np.nd
                     total[language, t, -1] += 1
                     for x in given:
                         total[language, t, number[x]] += 1 / len(given)
+                if len(total) > HELD_COUNTS:
+                    yield pd.DataFrame([(*k, n) for k, n in total.items()], columns=["language", "term", "subject", "n"])
+                    total.clear()
         yield pd.DataFrame([(*k, n) for k, n in total.items()], columns=["language", "term", "subject", "n"])
 
     marked = labels.groupBy("doc_id").agg(F.collect_set("subject").alias("given"))
     counted = encoded.join(marked, "doc_id").select("language", "sentences", "given").mapInPandas(run, "language string, term int, subject int, n double")
-    counts = {language: np.zeros((len(x), len(subjects) + 1)) for language, x in topics.items()}
+    counts = {language: np.zeros((len(x), len(subjects) + 1), np.float32) for language, x in topics.items()}
     _add_up(counted, counts)
     weight = {language: np.where(x.sum(1, keepdims=True) > 0, np.maximum(TOPIC_WEIGHT, TOPIC_PART * counts[language][:, -1:]), SILENCE) for language, x in topics.items()}
     return {language: (counts[language][:, :-1] + weight[language] * x) / (counts[language][:, -1:] + weight[language]) for language, x in topics.items()}
@@ -329,10 +332,13 @@ def sharpen(encoded: DataFrame, strong: dict[str, dict[int, tuple[int, float]]],
                         total[language, t, -1] += 1
                         for x, k in near:
                             total[language, t, x] += k
+                if len(total) > HELD_COUNTS:
+                    yield pd.DataFrame([(*k, n) for k, n in total.items()], columns=["language", "term", "subject", "n"])
+                    total.clear()
         yield pd.DataFrame([(*k, n) for k, n in total.items()], columns=["language", "term", "subject", "n"])
 
     counted = encoded.select("language", "sentences").mapInPandas(run, "language string, term int, subject int, n double")
-    shares = {language: np.zeros((size, subjects + 1)) for language, size in sizes.items()}
+    shares = {language: np.zeros((size, subjects + 1), np.float32) for language, size in sizes.items()}
     _add_up(counted, shares)
     return {language: x[:, :-1] / np.maximum(x[:, -1:], LEAST_SEEN) for language, x in shares.items()}
 

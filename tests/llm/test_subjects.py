@@ -54,6 +54,12 @@ def test_subject_with_a_third_of_all_documents(spark, monkeypatch):
     assert sum(got.get(i, set()) == truth[i] for i in range(60, len(docs))) >= 0.9 * (len(docs) - 60)
 
 
+def test_no_term_is_cut_off(spark):
+    rows = [("en", "", 90_000), ("en", "rare", 3)] + [("en", f"t{i}" if i % 2 else f"a t{i}", 4 + i) for i in range(7000)]
+    (terms,) = subjects.vocabularies(spark.createDataFrame(rows, "language string, term string, n bigint")).values()
+    assert sorted(terms) == sorted(t for _, t, n in rows if n >= 4 and t) and terms[0] == "t6999"
+
+
 def test_rounds_draw_all_documents_at_every_size():
     assert all(subjects.batch_share(n) * subjects.ROUNDS >= 1 for n in (0, 1, 5_000, 75_000, 10_000_000))
 
