@@ -161,9 +161,19 @@ def judge_path(path: str) -> str | None:
 
 
 def judge_head(text: str) -> str | None:
-    """What comments among the first lines say; strings and code that mention such things say nothing."""
-    for line in text.split("\n", HEAD_LINES)[:HEAD_LINES]:
-        if len(line) < 400 and _COMMENT_LINE.match(line) and not NOT_GENERATED.search(line):
+    """What comments among the first lines, or in the whole block of comments that the text begins with, say; strings and code that mention such things say nothing."""
+    at, n, leading, inside = 0, 0, True, False
+    while at <= len(text) and (n < HEAD_LINES or leading):
+        end = text.find("\n", at)
+        line = text[at : end if end >= 0 else len(text)]
+        at, n = (end if end >= 0 else len(text)) + 1, n + 1
+        comment = inside or _COMMENT_LINE.match(line)
+        leading = leading and bool(comment or not line.strip())
+        opened = inside or line.lstrip().startswith("/*")
+        inside = opened and "*/" not in line
+        if comment and len(line) >= 400 and opened:
+            line = line.split("*/")[0]  # code may follow
+        if comment and not NOT_GENERATED.search(line):
             if VENDORED_HEAD.search(line):
                 return "vendored"
             if GENERATED_HEAD.search(line):
@@ -183,8 +193,10 @@ def judge_names(text: str, language: str, models: Models) -> str | None:
         return "minified"
     if template_share(names) > TEMPLATE_SHARE:
         return "generated"
+    if language not in models.styles:  # nothing is known of what is usual in it
+        return None
     styles = Counter(s for n in counts if (s := style_of(n)))
-    usual = models.styles.get(language, {})
+    usual = models.styles[language]
     foreign = sum(n for s, n in styles.items() if usual.get(s, 0) < RARE_STYLE)
     if styles and sum(styles.values()) >= LEAST_NAMES and foreign > FOREIGN_SHARE * sum(styles.values()):
         return "vendored"

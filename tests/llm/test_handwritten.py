@@ -42,3 +42,13 @@ def test_each_kind(spark):
 
 def test_no_rows(spark):
     assert handwritten.not_handwritten(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_marks_below_a_long_licence_and_languages_without_a_model():
+    from lodestone.llm import handwritten as h
+
+    for licence in ("// Licence text.\n" * 25, "/*\n" + " Licence text.\n" * 25 + "*/\n", "// " + "Licence text. " * 40 + "\n"):
+        assert h.judge_head(licence + "\n// Code generated by stringer. DO NOT EDIT.\npackage a\n") == "generated"
+    assert h.judge_head("package a\n" * 25 + "// Code generated by stringer. DO NOT EDIT.\n") is None
+    names = "first_cat second_dog third_bird fourth_fish blue_sky green_leaf red_rose old_house new_road deep_lake tall_tree cold_wind warm_fire wide_field long_river soft_sand hard_rock dark_cave late_night early_dawn".split()
+    assert h.judge_names("\n".join(names), "cobol", h.Models([])) is None
