@@ -114,3 +114,9 @@ def p8_composition(spark: SparkSession, folder: str) -> DataFrame:
     """Documents, and their shares added up, by subject."""
     found = subjects.subjects_of_documents(table(spark, folder, "documents"), table(spark, folder, "subjects"), table(spark, folder, "subject_labels"))
     return found.groupBy("subject").agg(F.count("*").alias("documents"), F.round(F.sum("share"), 3).alias("weight"))
+
+
+@query()
+def p8_topics(spark: SparkSession, folder: str) -> DataFrame:
+    """The foremost terms of every topic and the subject it was taken for."""
+    return subjects.topic_terms(table(spark, folder, "documents"), table(spark, folder, "subjects"), table(spark, folder, "subject_labels"))

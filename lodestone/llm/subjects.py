@@ -1,13 +1,16 @@
 """Subject areas of documents by latent Dirichlet topic models.
 
-For each language topic models are fitted on draws from all its documents (each is drawn twice in the mean), in which the hand labels take part as
-words of their documents. A topic's top terms therefore show its subject: the label that stands out
-among them; topics without such a label are background. The topics give every term a distribution over
-subjects, in which the labelled documents that hold the term weigh in (fits may merge two subjects in a
-topic) and which the documents' own proportions then sharpen in a few rounds over the whole corpus.
-Sentences are about the subject their terms point to, a document about those that hold at least SHARE of
-its subject-bearing sentences. Sentences that recur in documents of all sorts of other subjects use their
-terms figuratively and don't count.
+Every word of a document, and every hand label it has, is a term; terms are numbered by a hash, so a
+model has a fixed size and no term is left out. A model per language (all kept in one table, since a
+term's number depends on its language) has a topic for each subject, which starts from what is unusually
+frequent in the documents with its label, and background topics, which start from all documents. It is
+then fitted by expectation maximisation over the whole corpus: tasks estimate each document's topic
+proportions and add up its terms by topic, the sums are the next model. After the fit the topics are
+inspected: a topic is the subject's whose label stands out among its terms, or background.
+
+A document's topic proportions, estimated from its text alone, divide its words among the topics. A
+sentence bears the subjects whose topics hold at least BEARING of its words (and nearly as many as the
+foremost), and a document is about the subjects of at least SHARE of its subject-bearing sentences.
 """
 
 from __future__ import annotations
@@ -16,410 +19,353 @@ import re
 import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from concurrent.futures import ThreadPoolExecutor
-from functools import reduce
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark import inheritable_thread_target
-from pyspark.ml.clustering import LDA
-from pyspark.ml.feature import CountVectorizerModel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.session import cut_lineage
 
+#: Share of a document's subject-bearing sentences that a subject needs.
 SHARE = 0.25
-#: Topics of each language's models (a fit may merge two subjects in a topic, another of other size won't), the
-#: least documents a term is in, and the share of them above which it must fall unevenly over the subjects.
-TOPICS, LEAST_DOCS, MOST_SHARE = (30, 60), 4, 0.14
-#: A term falls unevenly if it is so many times as frequent in one subject's labelled documents as in the others, by so many standard errors,
-#: or if it is so many times as frequent in all documents as in labelled ones (it is then of a subject nobody has labelled).
-UNEVEN_TIMES, UNEVEN_ERRORS = 2.0, 3.0
-#: Online variational fitting: rounds, the times all of them together draw every document in the mean, and the least documents of a round.
-ROUNDS, PASSES, BATCH = 25, 2.0, 1500
-#: Documents of a partition of the models' input: each round is a job, so small languages shouldn't be many tasks.
-PART_DOCS = 2500
-#: Models fitted side by side; the rounds of one are too short to keep a cluster busy.
-AT_ONCE = 4
-#: Times a label counts as a word of its document; share of a topic's label weight that makes it a subject's; share a term's subject has.
-LABEL_TIMES, TOPIC_SHARE, TERM_SHARE = 6, 0.5, 0.6
-#: Share of the subjects' weight of a term, over all fits, that its subject has.
-AGREE = 0.6
-#: Share with which a term starts before it is sharpened: documents of two subjects halve what their labels say.
-START_SHARE = 0.45
-#: Labelled documents that the topics' word on a term weighs as much as, and their silence on it; the word weighs at least TOPIC_PART of the
-#: term's labelled documents, so that more labels don't drown it.
-TOPIC_WEIGHT, SILENCE, TOPIC_PART = 4, 2, 0.25
-#: Rounds of sharpening, and documents a term or sentence must be in to be judged by them.
-SHARPEN, LEAST_SEEN = 3, 4
-#: Counts a task holds before it gives them out.
-HELD_COUNTS = 400_000
-#: A recurring sentence whose documents are otherwise about its subject in less than this share is figurative.
-FIGURATIVE = 0.4
-#: Most figurative sentences sent to every task (8 bytes each).
-MAX_FIGURATIVE = 500_000
+#: Numbers that terms are hashed to. With 12 subjects the table of a fit is at most 2 ** 18 x 20 numbers of 4 bytes (21 MB), whatever the corpus.
+SLOTS = 2**18
+#: Topics besides the subjects' own, passes over all documents, and rounds of estimating a document's proportions.
+BACKGROUND, PASSES, INNER = 8, 4, 5
+#: Priors of a document's proportions (subjects', background's) and of a topic's terms.
+PRIOR_SUBJECT, PRIOR_BACKGROUND, PRIOR_TERM = 0.02, 1.0, 0.01
+#: Times a label counts as a word of its document, and times the expected frequency that a subject's first terms must exceed.
+LABEL_TIMES, UNUSUAL = 6, 2.0
+#: Share of a topic's label words that makes it a subject's.
+TOPIC_SHARE = 0.5
+#: Words of a subject's topics that a sentence needs, and the part of the foremost subject's words that a second one needs.
+BEARING, NEARLY = 1.25, 0.6
+#: Numbers of a row of sums, documents reduced at a time, and terms a task remembers the numbers of.
+CHUNK, BLOCK_DOCS, CACHED_TERMS = 4096, 1000, 500_000
+LANGUAGES = ["en", "de", "es", "zh"]
 
 #: Fixed: frequent words of the languages, by which a text's language is told.
 STOPWORDS = {
-    "de": "der die das und nicht wird ist den mit diese dieser zu auf ein eine wenn fehlt von im für dem des werden sind sich bei nach".split(),
-    "es": "el la los las no se de que y en una un con para si antes este esta esta por del al cada su más como".split(),
-    "en": "the and of is a to in for this that not are be with it on by as was from or we".split(),
+    "de": set("der die das und nicht wird ist den mit diese dieser zu auf ein eine wenn fehlt von im für dem des werden sind sich bei nach".split()),
+    "es": set("el la los las no se de que y en una un con para si antes este esta esta por del al cada su más como".split()),
+    "en": set("the and of is a to in for this that not are be with it on by as was from or we".split()),
 }
-_HAN = re.compile(r"[㐀-鿿]")
-_SENTENCE = re.compile(r"(?<=[.!?])\s+|[\n\r ]+|(?<=[。！？；])")
 _CODE = re.compile(r"`[^`\n]*`|\w+://\S+|\[\[[^\]\n]*\]\]|<[^<>\n]{1,200}>|\b\w*[_\d]\w*\b|&\w+;")
-_WORD = re.compile(r"[^\W\d_]+")
+#: Words, and ends of sentences.
+_TOKEN = re.compile(r"[^\W\d_]+|[.!?](?=\s)|[\n\r]|[。！？；]")
+_HAN = re.compile(r"[㐀-鿿]")
 _HIDDEN = re.compile("[­​-‏⁠﻿\x00-\x08\x0b-\x1f]")
 
 
-def language_of(text: str) -> str:
-    """"zh" by script, else the language whose frequent words are most; English where none are."""
-    head = text
-    if len(_HAN.findall(head)) * 5 > len(re.sub(r"\s", "", head)):
-        return "zh"
-    words = Counter(re.findall(r"[^\W\d_]+", head.lower()))
-    return max(("en", "de", "es"), key=lambda x: sum(words[w] for w in STOPWORDS[x]))
-
-
-def sentence_terms(text: str) -> list[tuple[str, list[str]]]:
-    """Sentences in a normal form, without code, names and numbers, and their terms: words and pairs of words, of Han text pairs of characters."""
-    out = []
-    for raw in _SENTENCE.split(_HIDDEN.sub("", unicodedata.normalize("NFKC", text)).lower()):
-        words = _WORD.findall(_CODE.sub(" ", raw))
-        if not words:
-            continue
-        terms: list[str] = []
-        previous = ""
-        for word in words:
-            if _HAN.match(word):
-                terms += [word[i : i + 2] for i in range(len(word) - 1)]
-                previous = ""
-                continue
-            if len(word) > 2:
-                terms.append(word)
-            if previous:
-                terms.append(f"{previous} {word}")
-            previous = word
-        if terms:
-            out.append((" ".join(words), terms))
-    return out
+def sentences_of(text: str) -> tuple[str, list[list[str]]]:
+    """Language and sentences of words, without code, names with digits or underscores, and numbers; Han text gives its pairs of characters.
 
+    The language is "zh" by script, else the one whose frequent words are most; English where none are.
+    """
+    if not text.isascii():
+        text = unicodedata.normalize("NFKC", text)
+    tokens = _TOKEN.findall(_CODE.sub(" ", _HIDDEN.sub("", text).lower()))
+    han = 0 if text.isascii() else len(_HAN.findall(text))
+    if han * 5 > len(re.sub(r"\s", "", text)):
+        language = "zh"
+    else:
+        language = max(("en", "de", "es"), key=lambda x: sum(t in STOPWORDS[x] for t in tokens))
+    out: list[list[str]] = [[]]
+    for t in tokens:
+        if not t[0].isalpha():
+            out.append([])
+        elif han and _HAN.match(t):
+            out[-1] += [t[i : i + 2] for i in range(len(t) - 1)]
+        elif len(t) > 2:
+            out[-1].append(t)
+    return language, [s for s in out if s]
+
+
+class _Numbers:
+    """Numbers of terms, with those met lately remembered."""
+
+    def __init__(self) -> None:
+        self.known: dict[str, dict[str, int]] = defaultdict(dict)
+
+    def of(self, language: str, sentence: list[str]) -> list[int]:
+        import xxhash
 
-def document_frequencies(documents: DataFrame) -> DataFrame:
-    """language, term, n: documents that hold the term; the term "" counts all documents. Each task adds up before the shuffle."""
+        known = self.known[language]
+        if len(known) > CACHED_TERMS:
+            known.clear()
+        out = []
+        for term in sentence:
+            if (n := known.get(term)) is None:
+                n = known[term] = xxhash.xxh3_64_intdigest(f"{language} {term}") % SLOTS
+            out.append(n)
+        return out
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total: Counter = Counter()
 
-        def give() -> pd.DataFrame:
-            frame = pd.DataFrame([(*k, n) for k, n in total.items()], columns=["language", "term", "n"])
-            total.clear()
-            return frame
+def encode(documents: DataFrame, given: DataFrame, subjects: list[str]) -> DataFrame:
+    """doc_id, language (its number), terms (numbers, sentence by sentence), sizes (terms of each sentence), marks (subjects given by hand, from 0)."""
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        numbers = _Numbers()
         for batch in batches:
+            languages, terms, sizes = [], [], []
             for text in batch["text"]:
-                language = language_of(text)
-                total[language, ""] += 1
-                total.update((language, t) for t in {t for _, terms in sentence_terms(text) for t in terms})
-                if len(total) > 400_000:
-                    yield give()
-        yield give()
+                language, sentences = sentences_of(text)
+                languages.append(LANGUAGES.index(language))
+                terms.append([n for s in sentences for n in numbers.of(language, s)])
+                sizes.append([len(s) for s in sentences])
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "language": languages, "terms": terms, "sizes": sizes})
 
-    counted = documents.where("trim(text) <> ''").select("text").mapInPandas(count, "language string, term string, n bigint")
-    return counted.groupBy("language", "term").agg(F.sum("n").alias("n"))
+    place = F.array_position(F.array(*map(F.lit, subjects)), F.col("subject")).cast("int") - 1
+    marks = given.groupBy("doc_id").agg(F.sort_array(F.collect_set(place)).alias("marks"))
+    coded = documents.where("trim(text) <> ''").select("doc_id", "text").mapInPandas(run, "doc_id bigint, language int, terms array<int>, sizes array<int>")
+    return coded.where("size(terms) > 0").join(marks, "doc_id", "left")
 
 
-def uneven_terms(documents: DataFrame, labels: DataFrame, common: dict[str, dict[str, float]]) -> dict[str, set[str]]:
-    """Of the common terms (with their shares of all documents) of each language those that fall unevenly over the subjects of `labels` (doc_id, subject)."""
-    names = {language: frozenset(terms) for language, terms in common.items()}
+class _Sums:
+    """Sums of rows of numbers by term, given out in sparse chunks, so that tasks add up before the shuffle."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total: Counter = Counter()
-        for batch in batches:
-            for text, given in zip(batch["text"], batch["given"]):
-                language = language_of(text)
-                held = {t for _, terms in sentence_terms(text) for t in terms} & names.get(language, frozenset())
-                total.update((language, t, s) for t in ("", *held) for s in ("", *given))
-        yield pd.DataFrame([(*k, n) for k, n in total.items()], columns=["language", "term", "subject", "n"])
-
-    marked = labels.groupBy("doc_id").agg(F.collect_set("subject").alias("given"))
-    counted = documents.where("trim(text) <> ''").join(marked, "doc_id").select("text", "given").mapInPandas(count, "language string, term string, subject string, n bigint")
-    n: dict[tuple[str, str], Counter] = defaultdict(Counter)
-    for r in counted.groupBy("language", "term", "subject").agg(F.sum("n").alias("n")).collect():  # common terms x subjects
-        n[r["language"], r["term"]][r["subject"]] = r["n"]
-    return {language: {t for t, share in terms.items() if _uneven(n[language, t], n[language, ""], share)} for language, terms in common.items()}
-
-
-def _uneven(held: Counter, whole: Counter, share: float) -> bool:
-    """Whether a term that is in `held` of the `whole` labelled documents, by subject ("" for all), falls unevenly."""
-    for subject, size in whole.items():
-        rest = whole[""] - size
-        if not subject or rest <= 0:
-            continue
-        inside, outside, mean = held[subject] / size, (held[""] - held[subject] + 0.5) / (rest + 1), (held[""] + 0.5) / (whole[""] + 1)
-        if inside >= UNEVEN_TIMES * outside and inside - outside >= UNEVEN_ERRORS * np.sqrt(mean * (1 - min(mean, 0.99)) * (1 / size + 1 / rest)):
-            return True
-    expected = share * whole[""]
-    return UNEVEN_TIMES * held[""] <= expected and expected - held[""] >= UNEVEN_ERRORS * np.sqrt(expected)
-
-
-def vocabularies(frequencies: DataFrame, documents: DataFrame | None = None, labels: DataFrame | None = None) -> dict[str, list[str]]:
-    """The terms of each language that are in enough of its documents, the commonest first, without common ones that fall evenly over the subjects."""
-    frequencies = cut_lineage(frequencies.where((F.col("n") >= LEAST_DOCS) | (F.col("term") == "")))
-    totals = {r["language"]: r["n"] for r in frequencies.where("term = ''").collect()}  # a row a language
-    most = {language: max(2 * LEAST_DOCS, MOST_SHARE * total) for language, total in totals.items()}
-    of_language = {language: frequencies.where((F.col("language") == language) & (F.col("term") != "") & (F.col("n") >= LEAST_DOCS)) for language in totals}
-    common = {language: {r["term"]: r["n"] / totals[language] for r in x.where(F.col("n") > most[language]).collect()} for language, x in of_language.items()}  # a document's terms / MOST_SHARE
-    good = uneven_terms(documents, labels, common) if documents is not None and labels is not None else {}
-    out = {}
-    for language, x in of_language.items():
-        even = sorted(set(common[language]) - good.get(language, set()))
-        kept = x.join(x.sparkSession.createDataFrame([(t,) for t in even], "term string"), "term", "left_anti") if even else x
-        out[language] = kept.orderBy(F.desc("n"), "term").select("term").toArrow()["term"].to_pylist()
-    return out
+    def __init__(self, rows: int, width: int) -> None:
+        self.sums = np.zeros((rows, width), np.float32)
 
+    def add(self, terms: np.ndarray, values: np.ndarray) -> None:
+        order = np.argsort(terms, kind="stable")
+        some, first = np.unique(terms[order], return_index=True)
+        if len(some):
+            self.sums[some] += np.add.reduceat(values[order], first, axis=0)
 
-def encode(documents: DataFrame, vocabulary: dict[str, list[str]]) -> DataFrame:
-    """doc_id, language, hashes (of the sentences' normal forms), sentences (their terms as numbers in the language's vocabulary)."""
-    index = {language: {t: i for i, t in enumerate(terms)} for language, terms in vocabulary.items()}
+    def rows(self) -> pd.DataFrame:
+        out = []
+        for at in range(0, len(self.sums), CHUNK):
+            part = self.sums[at : at + CHUNK]
+            some = np.flatnonzero(part.any(1))
+            if len(some):
+                out.append((at // CHUNK, (at + some).astype("<i4").tobytes(), part[some].tobytes()))
+        return pd.DataFrame(out, columns=["chunk", "terms", "sums"])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import xxhash
 
+_CHUNKS = "chunk int, terms binary, sums binary"
+
+
+def _add_up(parts: DataFrame, rows: int, width: int) -> np.ndarray:
+    """All sums as one table. A task holds no more than the table while its parts stream through."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = _Sums(rows, width)
         for batch in batches:
-            languages, hashes, sentences = [], [], []
-            for text in batch["text"]:
-                language = language_of(text)
-                known = index.get(language, {})
-                some = [(xxhash.xxh3_64_intdigest(form) >> 1, [known[t] for t in terms if t in known]) for form, terms in sentence_terms(text)]
-                some = [(h, t) for h, t in some if t]
-                languages.append(language)
-                hashes.append([h for h, _ in some])
-                sentences.append([t for _, t in some])
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "language": languages, "hashes": hashes, "sentences": sentences})
+            for terms, sums in zip(batch["terms"], batch["sums"]):
+                total.sums[np.frombuffer(terms, "<i4")] += np.frombuffer(sums, np.float32).reshape(-1, width)
+        yield total.rows()
 
-    return documents.where("trim(text) <> ''").select("doc_id", "text").mapInPandas(
-        run, "doc_id bigint, language string, hashes array<bigint>, sentences array<array<int>>"
-    )
+    out = np.zeros((rows, width), np.float32)
+    for r in parts.repartition("chunk").mapInPandas(run, _CHUNKS).collect():  # rows x width numbers at most
+        out[np.frombuffer(r["terms"], "<i4")] = np.frombuffer(r["sums"], np.float32).reshape(-1, width)
+    return out
 
 
-def batch_share(total: int) -> float:
-    """Share of the documents that a round draws: at every size all rounds together draw each document PASSES times in the mean, or more."""
-    return min(1.0, max(PASSES / ROUNDS, BATCH / max(1, total)))
+@dataclass(frozen=True)
+class Model:
+    """Weights of the terms (SLOTS, then languages x subjects label words) in the topics (subjects' first, then background), and their sums by language."""
 
+    weights: np.ndarray
+    totals: np.ndarray
+    subjects: list[str]
 
-def fit_topics(encoded: DataFrame, labels: DataFrame, terms: list[str], subjects: list[str], numbers: tuple[int, ...] = TOPICS) -> np.ndarray:
-    """Terms x subjects: the share of each term's weight that lies in topics of the subject, the greatest of several fits.
+    def label_term(self, language: int, subject: int) -> int:
+        return SLOTS + language * len(self.subjects) + subject
 
-    The models are of single words; pairs of words, which say the same again, get their subjects by sharpening.
+    def prior(self) -> np.ndarray:
+        return np.r_[np.full(len(self.subjects), PRIOR_SUBJECT), np.full(BACKGROUND, PRIOR_BACKGROUND)].astype(np.float32)
 
-    A term keeps its share only for a subject that holds AGREE of what all fits together give it to any subject.
-    """
-    single = [i for i, t in enumerate(terms) if " " not in t]  # Han text has no blanks: its pairs of characters stand for words
-    size = len(single)
-    vocabulary = [str(i) for i in single] + [f"={s}" for s in subjects]
-    marked = labels.groupBy("doc_id").agg(F.flatten(F.collect_list(F.array_repeat(F.concat(F.lit("="), "subject"), LABEL_TIMES))).alias("marks"))
-    words = F.transform(F.flatten("sentences"), lambda i: i.cast("string"))
-    bags = encoded.join(marked, "doc_id", "left").select(F.concat(words, F.coalesce("marks", F.array().cast("array<string>"))).alias("words"))
-    features = CountVectorizerModel.from_vocabulary(vocabulary, "words", "features").transform(bags).select("features")
-    total = encoded.count()
-    share = batch_share(total)
-    features = cut_lineage(features.repartition(-(-max(1, total) // PART_DOCS))).persist()  # each round draws from all of it
-
-    def fit(topics: int) -> np.ndarray:
-        lda = LDA(k=topics, maxIter=ROUNDS, optimizer="online", subsamplingRate=share, learningOffset=32.0, learningDecay=0.6, optimizeDocConcentration=False,
-                  docConcentration=[0.1], topicConcentration=0.02, seed=11 + topics)
-        return subject_shares(lda.fit(features).topicsMatrix().toArray(), size, len(subjects))
-
-    with ThreadPoolExecutor(len(numbers)) as pool:
-        fits = list(pool.map(inheritable_thread_target(features.sparkSession)(fit), numbers))
-    features.unpersist()
-    total = sum(fits)
-    agreed = total >= AGREE * np.maximum(total.sum(1, keepdims=True), 1e-9)
-    shares = np.zeros((len(terms), len(subjects)), np.float32)
-    shares[single] = np.where(agreed, reduce(np.maximum, fits), 0.0)
-    return shares
-
-
-def subject_shares(weights: np.ndarray, size: int, subjects: int) -> np.ndarray:
-    """Terms x subjects of one model: topics whose label weight is mostly one subject's are the subject's, others background."""
-    mark = weights[size:]  # subjects x topics
-    mark = mark / np.maximum(mark.sum(1, keepdims=True), 1e-9)
-    best, standing = mark.argmax(0), mark.max(0) / np.maximum(mark.sum(0), 1e-9)
-    of_subject = np.zeros((weights.shape[1], subjects))
-    for t in np.flatnonzero((standing >= TOPIC_SHARE) & (weights[size:].sum(0) > 0)):
-        of_subject[t, best[t]] = 1
-    term = weights[:size]
-    return (term @ of_subject) / np.maximum(term.sum(1, keepdims=True), 1e-9)
-
-
-def _add_up(counted: DataFrame, into: dict[str, np.ndarray]) -> None:
-    """Add counts (language, term, subject, n) to the matrices; they come as Arrow columns, a language at a time, at most vocabulary x subjects rows."""
-    summed = cut_lineage(counted.groupBy("language", "term", "subject").agg(F.sum("n").alias("n")))
-    for language, matrix in into.items():
-        got = summed.where(F.col("language") == language).select("term", "subject", F.col("n").cast("float").alias("n")).toArrow()
-        matrix[got["term"].to_numpy(), got["subject"].to_numpy()] = got["n"].to_numpy()  # a row each
-
-
-def settle_topics(encoded: DataFrame, labels: DataFrame, topics: dict[str, np.ndarray], subjects: list[str]) -> dict[str, np.ndarray]:
-    """Terms x subjects: the topics' shares, with the labelled documents that hold a term weighing in.
-
-    So a topic in which two subjects were merged is told apart, and background that a topic took along is dropped.
-    """
-    number = {s: i for i, s in enumerate(subjects)}
+    def proportions(self, language: int, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Topic proportions of a document, and its terms' shares in the topics."""
+        prior = self.prior()
+        likely = self.weights[terms] / self.totals[language]
+        theta = prior / prior.sum()
+        for _ in range(INNER):
+            theta = prior + theta * ((1 / (likely @ theta)) @ likely)
+            theta /= theta.sum()
+        shares = likely * theta
+        return theta, shares / shares.sum(1, keepdims=True)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total: dict[tuple[str, int, int], float] = defaultdict(float)
-        for batch in batches:
-            for language, sentences, given in zip(batch["language"], batch["sentences"], batch["given"]):
-                for t in {t for s in sentences for t in s}:
-                    total[language, t, -1] += 1
-                    for x in given:
-                        total[language, t, number[x]] += 1 / len(given)
-                if len(total) > HELD_COUNTS:
-                    yield pd.DataFrame([(*k, n) for k, n in total.items()], columns=["language", "term", "subject", "n"])
-                    total.clear()
-        yield pd.DataFrame([(*k, n) for k, n in total.items()], columns=["language", "term", "subject", "n"])
-
-    marked = labels.groupBy("doc_id").agg(F.collect_set("subject").alias("given"))
-    counted = encoded.join(marked, "doc_id").select("language", "sentences", "given").mapInPandas(run, "language string, term int, subject int, n double")
-    counts = {language: np.zeros((len(x), len(subjects) + 1), np.float32) for language, x in topics.items()}
-    _add_up(counted, counts)
-    weight = {language: np.where(x.sum(1, keepdims=True) > 0, np.maximum(TOPIC_WEIGHT, TOPIC_PART * counts[language][:, -1:]), SILENCE) for language, x in topics.items()}
-    return {language: (counts[language][:, :-1] + weight[language] * x) / (counts[language][:, -1:] + weight[language]) for language, x in topics.items()}
-
-
-def _sentence_subjects(sentence: list[int], strong: dict[int, tuple[int, float]]) -> list[int]:
-    """The subjects that the sentence's terms point to most; all of them where two weigh alike."""
-    score: dict[int, float] = defaultdict(float)
-    for t in sentence:
-        if t in strong:
-            s, w = strong[t]
-            score[s] += w
-    if not score:
-        return []
-    top = max(score.values())
-    return sorted(s for s, w in score.items() if w > 0.75 * top)
-
-
-def _strong(shares: np.ndarray, least: float) -> dict[int, tuple[int, float]]:
-    best = shares.argmax(1)
-    top = shares[np.arange(len(shares)), best]
-    return {int(i): (int(best[i]), float(top[i])) for i in np.flatnonzero(top >= least)}
-
-
-def sharpen(encoded: DataFrame, strong: dict[str, dict[int, tuple[int, float]]], sizes: dict[str, int], subjects: int) -> dict[str, np.ndarray]:
-    """Terms x subjects again, from the proportions of all documents that hold the term: its own sentence's terms don't count.
-
-    Documents whose other sentences have no known subject count against all, so that the terms of a subject nobody has labelled don't fall to another.
-    """
+    def subject_of_topics(self) -> np.ndarray:
+        """Languages x topics x subjects, 1 where the subject's label stands out among the topic's terms; other topics are background."""
+        size = len(self.subjects)
+        out = np.zeros((len(LANGUAGES), self.weights.shape[1], size), np.float32)
+        for language in range(len(LANGUAGES)):
+            held = self.weights[[self.label_term(language, s) for s in range(size)]] - PRIOR_TERM
+            share = held / np.maximum(held.sum(1, keepdims=True), 1e-9)  # of the label, by topic
+            best, standing = share.argmax(0), share.max(0) / np.maximum(share.sum(0), 1e-9)
+            for t in np.flatnonzero((standing >= TOPIC_SHARE) & (held.sum(0) > 0.5)):
+                out[language, t, best[t]] = 1
+        return out
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total: dict[tuple[str, int, int], float] = defaultdict(float)
-        for batch in batches:
-            for language, sentences in zip(batch["language"], batch["sentences"]):
-                known = strong.get(language, {})
-                about = [_sentence_subjects(s, known) for s in sentences]
-                whole = Counter(x for a in about for x in a)
-                if len(sentences) < 2:
-                    continue
-                for sentence, own in zip(sentences, about):
-                    rest = whole - Counter(own)
-                    n = sum(rest.values())
-                    near = [(x, k / n) for x, k in rest.items() if k >= SHARE * n]
-                    for t in set(sentence):
-                        total[language, t, -1] += 1
-                        for x, k in near:
-                            total[language, t, x] += k
-                if len(total) > HELD_COUNTS:
-                    yield pd.DataFrame([(*k, n) for k, n in total.items()], columns=["language", "term", "subject", "n"])
-                    total.clear()
-        yield pd.DataFrame([(*k, n) for k, n in total.items()], columns=["language", "term", "subject", "n"])
-
-    counted = encoded.select("language", "sentences").mapInPandas(run, "language string, term int, subject int, n double")
-    shares = {language: np.zeros((size, subjects + 1), np.float32) for language, size in sizes.items()}
-    _add_up(counted, shares)
-    return {language: x[:, :-1] / np.maximum(x[:, -1:], LEAST_SEEN) for language, x in shares.items()}
-
-
-def figurative_sentences(encoded: DataFrame, strong: dict[str, dict[int, tuple[int, float]]]) -> DataFrame:
-    """hash: recurring sentences whose documents are mostly about other subjects than theirs."""
+
+def _model(sums: np.ndarray, language_of_term: np.ndarray, subjects: list[str]) -> Model:
+    """The model of sums of terms by topic; every term that the corpus has gets the prior's weight in each topic."""
+    weights = (sums + PRIOR_TERM).astype(np.float32)
+    totals = np.stack([weights[language_of_term == n].sum(0) for n in range(len(LANGUAGES))]) + np.float32(PRIOR_TERM)
+    return Model(weights, totals.astype(np.float32), subjects)
+
+
+def _labelled(encoded: DataFrame, subjects: list[str]) -> np.ndarray:
+    """Terms x (languages, then subjects): in how many documents of the language, and of those with the label, a term is, counted with repeats."""
+    size, width = len(subjects), len(LANGUAGES) + len(subjects)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total: dict[int, list[int]] = defaultdict(lambda: [0, 0])
+        total = _Sums(SLOTS, width)
         for batch in batches:
-            for language, hashes, sentences in zip(batch["language"], batch["hashes"], batch["sentences"]):
-                about = [_sentence_subjects(s, strong.get(language, {})) for s in sentences]
-                whole = Counter(x for a in about for x in a)
-                for h, own in zip(hashes, about):
-                    rest = whole - Counter(own)
-                    n = sum(rest.values())
-                    if own and n:
-                        total[h][0] += 1
-                        total[h][1] += any(rest[x] >= SHARE * n for x in own)
-                if len(total) > 400_000:
-                    yield pd.DataFrame([(h, *c) for h, c in total.items()], columns=["hash", "n", "agree"])
-                    total.clear()
-        yield pd.DataFrame([(h, *c) for h, c in total.items()], columns=["hash", "n", "agree"])
-
-    counted = encoded.select("language", "hashes", "sentences").mapInPandas(run, "hash bigint, n bigint, agree bigint")
-    return counted.groupBy("hash").agg(F.sum("n").alias("n"), F.sum("agree").alias("agree")).where((F.col("n") >= LEAST_SEEN) & (F.col("agree") < FIGURATIVE * F.col("n"))).select("hash")
-
-
-def assign(encoded: DataFrame, strong: dict[str, dict[int, tuple[int, float]]], subjects: list[str], figurative: DataFrame) -> DataFrame:
-    """doc_id, subject, share: subjects that hold at least SHARE of a document's subject-bearing sentences."""
-    hashes = {r["hash"] for r in figurative.limit(MAX_FIGURATIVE + 1).collect()}
-    if len(hashes) > MAX_FIGURATIVE:  # too many to send: their sentences are taken out by a join
-        listed = encoded.select("doc_id", "language", F.posexplode(F.arrays_zip("hashes", "sentences")).alias("at", "s"))
-        kept = listed.join(figurative.withColumnRenamed("hash", "h"), F.col("s.hashes") == F.col("h"), "left_anti")
-        encoded = kept.groupBy("doc_id", "language").agg(F.array_sort(F.collect_list(F.struct("at", "s"))).alias("x")).select(
-            "doc_id", "language", F.transform("x", lambda y: y["s"]["hashes"]).alias("hashes"), F.transform("x", lambda y: y["s"]["sentences"]).alias("sentences")
-        )
-        hashes = set()
+            for at in range(0, len(batch), BLOCK_DOCS):
+                part = batch.iloc[at : at + BLOCK_DOCS]
+                head = np.zeros((len(part), width), np.float32)
+                head[np.arange(len(part)), part["language"]] = 1
+                for i, marks in enumerate(part["marks"]):
+                    if marks is not None and len(marks):
+                        head[i, len(LANGUAGES) + np.asarray(marks)] = 1 / len(marks)
+                total.add(np.concatenate(list(part["terms"])), np.repeat(head, [len(t) for t in part["terms"]], axis=0))
+        yield total.rows()
+
+    found = _add_up(encoded.select("language", "terms", "marks").mapInPandas(run, _CHUNKS), SLOTS, width)
+    return found if size else found[:, : len(LANGUAGES)]
+
+
+def _first_model(encoded: DataFrame, subjects: list[str]) -> tuple[Model, np.ndarray]:
+    """The model that fitting starts from, and the language that each term is of (of two that share a number, the one that has it more often)."""
+    size, languages = len(subjects), len(LANGUAGES)
+    counts = _labelled(encoded, subjects)
+    everywhere, labelled = counts[:, :languages], counts[:, languages:]
+    language = np.where(everywhere.sum(1) > 0, everywhere.argmax(1), -1)
+    rows = SLOTS + languages * size
+    sums = np.zeros((rows, size + BACKGROUND), np.float32)
+    spread = np.random.default_rng(7).uniform(0.5, 1.5, (SLOTS, BACKGROUND))
+    sums[:SLOTS, size:] = everywhere.sum(1, keepdims=True) * spread
+    for n in range(languages):
+        own = language == n
+        here, common = labelled[own], everywhere[own, n]
+        expected = common[:, None] / max(common.sum(), 1) * here.sum(0)
+        sums[:SLOTS, :size][own] = np.maximum(here - UNUSUAL * expected, 0)
+        for s in range(size):
+            if here[:, s].any():
+                sums[SLOTS + n * size + s, s] = LABEL_TIMES
+    language = np.r_[language, np.repeat(np.arange(languages), size)]
+    return _model(sums, language, subjects), language
+
+
+def fit_topics(encoded: DataFrame, subjects: list[str], passes: int = PASSES) -> Model:
+    """Expectation maximisation over all documents, with their labels as words."""
+    spark = encoded.sparkSession
+    model, language_of_term = _first_model(encoded, subjects)
+    rows, width, size = *model.weights.shape, len(subjects)
+    for _ in range(passes):
+        sent = spark.sparkContext.broadcast((model.weights, model.totals))  # at most SLOTS and a few rows, see SLOTS
+
+        def run(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:  # noqa: ANN001
+            now, total = Model(*sent.value, subjects), _Sums(rows, width)
+            for batch in batches:
+                for at in range(0, len(batch), BLOCK_DOCS):
+                    part, terms, shares = batch.iloc[at : at + BLOCK_DOCS], [], []
+                    for language, words, marks in zip(part["language"], part["terms"], part["marks"]):
+                        if marks is not None and len(marks):
+                            words = np.r_[words, np.repeat([now.label_term(language, m) for m in marks], LABEL_TIMES)]
+                        terms.append(words)
+                        shares.append(now.proportions(language, words)[1])
+                    total.add(np.concatenate(terms), np.concatenate(shares))
+            yield total.rows()
+
+        sums = _add_up(encoded.select("language", "terms", "marks").mapInPandas(run, _CHUNKS), rows, width)
+        sent.destroy()
+        model = _model(sums, language_of_term, subjects)
+    return model
+
+
+def assign(encoded: DataFrame, model: Model) -> DataFrame:
+    """doc_id, subject, share: subjects that hold at least SHARE of a document's subject-bearing sentences, by its topic proportions."""
+    subjects = model.subjects
+    sent = encoded.sparkSession.sparkContext.broadcast((model.weights, model.totals, model.subject_of_topics()))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        weights, totals, meaning = sent.value
+        now = Model(weights, totals, subjects)
         for batch in batches:
             out = []
-            for key, language, marks, sentences in zip(batch["doc_id"], batch["language"], batch["hashes"], batch["sentences"]):
-                known = strong.get(language, {})
-                about = [_sentence_subjects(s, known) for h, s in zip(marks, sentences) if h not in hashes]
-                bearing = sum(1 for a in about if a)
-                for x, n in Counter(x for a in about for x in a).items():
-                    if n >= SHARE * bearing - 1e-9:
-                        out.append((key, subjects[x], n / bearing))
+            for key, language, terms, sizes in zip(batch["doc_id"], batch["language"], batch["terms"], batch["sizes"]):
+                shares = now.proportions(language, terms)[1] @ meaning[language]
+                held = np.add.reduceat(shares, np.cumsum(sizes) - sizes, axis=0)
+                about = (held >= BEARING) & (held >= NEARLY * held.max(1, keepdims=True))
+                bearing, count = int(about.any(1).sum()), about.sum(0)
+                out += [(key, subjects[s], count[s] / bearing) for s in np.flatnonzero((count > 0) & (count >= SHARE * bearing - 1e-9))]
             yield pd.DataFrame(out, columns=["doc_id", "subject", "share"])
 
-    return encoded.select("doc_id", "language", "hashes", "sentences").mapInPandas(run, "doc_id bigint, subject string, share double")
+    return encoded.select("doc_id", "language", "terms", "sizes").mapInPandas(run, "doc_id bigint, subject string, share double")
+
+
+def _subject_names(subjects: DataFrame) -> list[str]:
+    """The subjects; their number sets the size of the model, so more than it is made for are an error and not left out."""
+    rows = subjects.where("trim(subject) <> ''").select("subject").distinct().orderBy("subject").limit(MOST_SUBJECTS + 1).collect()
+    if len(rows) > MOST_SUBJECTS:
+        raise ValueError(f"more than {MOST_SUBJECTS} subjects; raise MOST_SUBJECTS if the drivers and tasks have room for the table of the fit")
+    return [r["subject"] for r in rows]
+
+
+#: Subjects a fit is made for: a table of 2 ** 18 x 264 numbers of 4 bytes is 277 MB.
+MOST_SUBJECTS = 256
+
+
+def _fitted(documents: DataFrame, subjects: DataFrame, labels: DataFrame) -> tuple[DataFrame, Model] | None:
+    names = _subject_names(subjects)
+    plain = subjects.select(F.lower(F.trim("subject")).alias("l"), F.col("subject").alias("name")).distinct()
+    given = labels.select("doc_id", F.lower(F.trim("subject")).alias("l")).join(plain, "l").select("doc_id", F.col("name").alias("subject")).distinct()
+    if not names or given.isEmpty():
+        return None
+    encoded = cut_lineage(encode(documents, given, names))
+    return encoded, fit_topics(encoded, names)
 
 
 def subjects_of_documents(documents: DataFrame, subjects: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, subject, share of every subject a document is about: none, one or more rows a document.
 
     Null, empty and blank texts have none. Labels are matched to subjects without regard to case and blanks, others are
-    left out; some may be wrong. Without documents, subjects or labels there are no rows. Rows of a repeated doc_id are
-    judged one by one and give a subject once.
+    left out; some may be wrong. Without documents, subjects or labels there are no rows, and a subject without a label in
+    a language has none there. Rows of a repeated doc_id are judged one by one and give a subject once.
     """
-    spark = documents.sparkSession
-    names = sorted({r["subject"] for r in subjects.where("trim(subject) <> ''").select("subject").distinct().limit(1000).collect()})
-    empty = spark.createDataFrame([], "doc_id bigint, subject string, share double")
-    plain = subjects.select(F.lower(F.trim("subject")).alias("l"), F.col("subject").alias("name")).distinct()
-    given = labels.select("doc_id", F.lower(F.trim("subject")).alias("l")).join(plain, "l").select("doc_id", F.col("name").alias("subject")).distinct()
-    vocabulary = {k: v for k, v in vocabularies(document_frequencies(documents), documents, given).items() if v}
-    if not names or not vocabulary:
-        return empty
-    encoded = cut_lineage(encode(documents, vocabulary))
-    sizes = {language: len(terms) for language, terms in vocabulary.items()}
-
-    def fit(language: str) -> np.ndarray:
-        return fit_topics(encoded.where(F.col("language") == language), given, vocabulary[language], names)
-
-    with ThreadPoolExecutor(max(1, AT_ONCE // len(TOPICS))) as pool:
-        topics = dict(zip(sizes, pool.map(inheritable_thread_target(spark)(fit), sizes)))
-    shares = settle_topics(encoded, given, topics, names)
-    strong = {language: _strong(shares[language], START_SHARE) for language in sizes}
-    for _ in range(SHARPEN):
-        shares = sharpen(encoded, strong, sizes, len(names))
-        strong = {language: _strong(shares[language], TERM_SHARE) for language in sizes}
-    found = assign(encoded, strong, names, figurative_sentences(encoded, strong))
-    return found.groupBy("doc_id", "subject").agg(F.max("share").alias("share"))
+    fitted = _fitted(documents, subjects, labels)
+    if fitted is None:
+        return documents.sparkSession.createDataFrame([], "doc_id bigint, subject string, share double")
+    return assign(*fitted).groupBy("doc_id", "subject").agg(F.max("share").alias("share"))
+
+
+def topic_terms(documents: DataFrame, subjects: DataFrame, labels: DataFrame, most: int = 12) -> DataFrame:
+    """language, topic (from 0), subject (null for background), place, term, weight: the terms of greatest weight of each topic, for inspection.
+
+    A number's term is the commonest of those that share it; numbers that no text has don't occur.
+    """
+    spark: SparkSession = documents.sparkSession
+    schema = "language string, topic int, subject string, place int, term string, weight double"
+    fitted = _fitted(documents, subjects, labels)
+    if fitted is None:
+        return spark.createDataFrame([], schema)
+    encoded, model = fitted
+    meaning, listed = model.subject_of_topics(), []
+    counts = _labelled(encoded, model.subjects)[:, : len(LANGUAGES)]
+    for n, language in enumerate(LANGUAGES):
+        own = np.flatnonzero((counts.argmax(1) == n) & (counts.sum(1) > 0))
+        for t in range(model.weights.shape[1]) if len(own) else ():
+            subject = model.subjects[int(meaning[n, t].argmax())] if meaning[n, t].any() else None
+            top = own[np.argsort(-model.weights[own, t], kind="stable")[:most]]
+            listed += [(language, t, subject, place, int(x), float(model.weights[x, t])) for place, x in enumerate(top, 1)]
+    wanted = {(r[0], r[4]) for r in listed}  # topics x most
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        numbers, total = _Numbers(), Counter()
+        for batch in batches:
+            for text in batch["text"]:
+                language, sentences = sentences_of(text)
+                for s in sentences:
+                    total.update((language, x, term) for x, term in zip(numbers.of(language, s), s) if (language, x) in wanted)
+        yield pd.DataFrame([(*k, n) for k, n in total.items()], columns=["language", "number", "term", "n"])
+
+    counted = documents.where("trim(text) <> ''").select("text").mapInPandas(count, "language string, number int, term string, n bigint")
+    named = counted.groupBy("language", "number", "term").agg(F.sum("n").alias("n")).groupBy("language", "number").agg(F.max(F.struct("n", "term")).alias("s"))
+    rows = spark.createDataFrame(listed, "language string, topic int, subject string, place int, number int, weight double")
+    return rows.join(named.select("language", "number", F.col("s.term").alias("term")), ["language", "number"]).select("language", "topic", "subject", "place", "term", "weight")
