@@ -34,8 +34,10 @@ PUBLIC = {"public", "pub", "fingerprint"}
 #: Fixed shapes of tokens that carry their issuer's prefix.
 ISSUED = re.compile(
     r"(?<![A-Za-z0-9_/+-])(?:gh[pousr]_[A-Za-z0-9]{30,}|github_pat_\w{50,}|glpat-[\w-]{18,}|[spr]k_(?:live|test)_[A-Za-z0-9]{16,}|xox[abeprs]-[A-Za-z0-9-]{16,}"
-    r"|A[KS]IA[A-Z0-9]{16}(?![A-Za-z0-9])|AIza[\w-]{30,}|npm_[A-Za-z0-9]{30,}|SG\.[\w-]{16,}\.[\w-]{16,}|eyJ[\w-]{10,}\.eyJ[\w-]{8,}\.[\w-]{8,}|wv1\.[\w-]{24,})"
+    r"|A[KS]IA[A-Z0-9]{16}(?![A-Za-z0-9])|AIza[\w-]{30,}|npm_[A-Za-z0-9]{30,}|SG\.[\w-]{16,}\.[\w-]{16,}|eyJ[\w-]{10,}\.eyJ[\w-]{8,}\.[\w-]{8,})"
 )
+#: Fixed shapes of addresses whose last part is a secret.
+_HOOK = re.compile(r"https?://(?:hooks\.slack\.com/(?:services|workflows|triggers)/[A-Z0-9]+/[A-Z0-9]+/|(?:\w+\.)?discord(?:app)?\.com/api/webhooks/\d+/|api\.telegram\.org/bot\d+:|[\w.-]+\.webhook\.office\.com/[\w@/-]+/)(?P<value>[\w-]{16,})")
 _DEAD = re.compile(
     r"\*{3}|x{6}|X{6}|^\W*$|^<.*>$|[$#]\{|\{\{|^\$|^%\w+%$|^@\w+@$|^[a-z]+://[^:@]*$|^(?:vault|ssm|env|file|op|secretsmanager|keychain|kms|sops|awskms|ref|arn):|^ENC[\[(]|ANSIBLE_VAULT|^sha(?:1|256|384|512)[:-]"
     r"|(?i:^(?:change[_-]?me|change[_-]?it|your[_-].*|my[_-]?(?:password|secret|token)|example.*|.*example|placeholder.*|dummy.*|redacted.*|.*redacted.*|todo.*|none|null|nil|true|false|undefined|secret|password|token|string|test)$)"
@@ -50,7 +52,27 @@ _BARE = re.compile(r"^(?P<indent>[ \t]*(?:-[ \t]+)?)(?:export[ \t]+)?(?P<key>[A-
 _YAML_PARENT = re.compile(r"^(?P<quote>[\"']?)(?P<key>[\w.-]+)(?P=quote)[ \t]*:(?:[ \t]+[&!]\S+)*[ \t]*(?:[ \t]#.*)?\r?$")
 _YAML_LINE = re.compile(r"(?P<indent>[ \t]*(?:-[ \t]+)*)(?P<rest>.*)", re.S)
 _FALLBACK = re.compile(rf"""(?:env(?:iron)?[.\[][\w"'\]]+|[Gg]etenv\([^)\n]*\)|environ\.get\([^)\n]*\))\s*(?:\|\||\?\?|or)\s*(?P<value>{_QUOTED})|(?:getenv|environ\.get)\(\s*(?:{_QUOTED})\s*,\s*(?P<second>{_QUOTED})""")
-_XML = re.compile(r"<(?P<key>[A-Za-z][\w.-]*)>(?P<value>[^<>\s]+)</(?P=key)>")
+_XML = re.compile(r"<(?P<key>[A-Za-z][\w.-]*)(?:\s[^<>]*)?>\s*(?:<!\[CDATA\[\s*)?(?P<value>[^<>\s\]]+)\s*(?:\]\]>)?\s*</(?P=key)>")
+#: A name and its value given apart: as attributes, members or lines, in either order, or as an attribute and the element's text.
+_NAMED = r"\b(?:name|key|id|Name|Key|Id)[\"']?\s*[:=]\s*(?P<q>[\"']?)(?P<key>[A-Za-z][\w.:-]*)(?P=q)"
+_VALUED = r"[\"']?\b(?:value|val|Value|Val)[\"']?\s*[:=]\s*"
+_PAIRS = [
+    re.compile(rf"""{_NAMED}\s*,?\s*{_VALUED}(?P<value>{_QUOTED}|[^\s"'`,;<>{{}}\[\]]+)"""),
+    re.compile(rf"""{_VALUED}(?P<value>{_QUOTED})\s*,?\s*["']?{_NAMED}"""),
+    re.compile(rf"""<\w[^<>]*{_NAMED}[^<>]*(?<!/)>\s*(?P<value>[^<>\s]+)\s*</"""),
+]
+#: What may hold values under its name: a YAML key without a value of its own (or with a block), a list, a member with a `value`, a multi-line string, a here-document.
+_HOLDER = re.compile(r"^(?P<indent>[ \t]*(?:-[ \t]+)*)[\"']?(?P<key>[\w.-]+)[\"']?[ \t]*:[ \t]*(?P<block>[|>][+-]?\d?)?[ \t]*(?:#.*)?\r?$")
+_LIST = re.compile(r"(?P<key>[A-Za-z_][\w.-]*)[\"']?\s*(?::=|[:=])\s*(?:\[\](?:string|byte))?[\[{(](?P<inner>(?:\s*(?:\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`)\s*,?)+)\s*[\])}]")
+_MEMBER = re.compile(rf"""(?P<key>[A-Za-z_][\w.-]*)["']?\s*(?::=|[:=])\s*{{[^{{}}]*?{_VALUED}(?P<value>{_QUOTED})""")
+_LONG = re.compile(r"(?P<key>[A-Za-z_][\w.-]*)[ \t]*=[ \t]*(?P<q>\"{3}|'{3})\s*(?P<value>[^\s\"']+)\s*(?P=q)|(?P<name>[A-Za-z_]\w*)=[\"']?\$\(cat <<-?[ \t]*[\"']?(?P<end>\w+)[\"']?[ \t]*\n[ \t]*(?P<held>\S+)[ \t]*\n[ \t]*(?P=end)\b")
+_ITEM = re.compile(r"^[ \t]*-[ \t]+(?P<q>[\"']?)(?P<value>[^\s\"'#]+)(?P=q)[ \t]*(?:#.*)?\r?$")
+_CHILD = re.compile(r"^[ \t]*[\"']?(?:value|val)[\"']?[ \t]*[:=][ \t]*(?P<q>[\"']?)(?P<value>[^\s\"'#]+)(?P=q)[ \t]*,?[ \t]*(?:[#;].*)?\r?$")
+_FIELD = re.compile(r"(?:^|[;,\"'`\s])(?P<key>[A-Za-z][A-Za-z_]*(?: [A-Za-z]+)?)[ ]?=[ ]?(?P<value>[^;\"'`\s]+)(?=[;\"'`\s]|$)")
+_FIELDS = re.compile(r"[A-Za-z][\w ]*=[^;\"'`\s]*(?:;[ ]?[A-Za-z][\w ]*=[^;\"'`\s]*)+")
+_FLOW = re.compile(r"[{,]\s*(?P<key>[A-Za-z_][\w.-]*)\s*:\s+(?P<value>[^\s,{}\[\]\"'`]+)\s*(?=[,}])")
+_ENV = re.compile(r"^[ \t]*(?:ENV|ARG|setx|SETENV|setenv)[ \t]+(?P<key>\w+)[ \t]+(?P<value>[^\s\"'=]+)[ \t]*\r?$")
+_BEHIND = re.compile(r"(?<=\s)(?://|#|--)\s+(?P<text>\S.*?)\s*$")
 _ROW = re.compile(r"^\s*\|\s*`?(?P<key>[A-Za-z_][\w.-]*)`?\s*\|\s*`?(?P<value>[^\s|`]+)`?\s*\|")
 _URL = re.compile(r"\b[A-Za-z][A-Za-z0-9+.-]*://[^\s:/@\"'`]*:(?P<value>[^\s/@\"'`]+)@[\w.\[-]")
 _AUTH = re.compile(r"(?i)authorization[\"']?\s*[:,=]\s*[\"'`]?\s*(?P<kind>bearer|token|basic)\s+(?P<value>[^\s\"'`]+)")
@@ -58,22 +80,22 @@ _USER = re.compile(r"\bcurl\b[^\n]*?\s(?:-u|--user)[ =]?[\"']?[^\s:\"']+:(?P<val
 _FLAG = re.compile(r"(?:^|\s)--(?P<key>[A-Za-z][\w-]*)[ =][\"']?(?P<value>[^\s\"'`]+)")
 _SHORT = re.compile(r"\b(?:mysql|mysqldump|mariadb)\b[^\n]*?\s-p(?P<value>[^\s\"'`]+)")
 _NETRC = re.compile(r"\blogin\s+\S+\s+password\s+(?P<value>\S+)")
-_PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----(?P<body>(?:\\n|\\r|\s)*[A-Za-z0-9+/=]{16,})")
+_PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----(?:(?:\\[nr]|[\s\"'+,>#*/|])*[A-Za-z0-9+/=]{16,})(?:(?:\\[nr]|[\s\"'+,])*(?<![A-Za-z0-9])[A-Za-z0-9+/=]{16,})*(?:(?:\\[nr]|[ \t\r\n])[A-Za-z0-9+/]{1,15}={0,2}(?=\s|\\[nr]|$))?")
 _SECRET_DOC = re.compile(r"^kind:[ \t]*Secret[ \t]*\r?$", re.M)
 _COMMENT = re.compile(r"^\s*(?://+|#+|--|\*|/\*|<!--)\s*(?P<text>.*?)\s*(?:\*/|-->)?\r?$")
 _SPOKEN = re.compile(r"(?i)\b(?:passwor[dt]s?|passwd|passphrase|pwd|contrase[ñn]a|clave|credentials?|log ?in|logs? in|old key|api key|secret|token|zugangsdaten|kennwort|schlüssel)\b|密码|口令|密钥")
 _DIGEST = re.compile(r"(?i)\b(?:sha-?\d*|md5|commit|digest|checksum|integrity|etag|revision|fingerprint|sourceMappingURL|pinned|hash|public|uuid|trace)\b")
 _WORD = re.compile(r"[^\s\"'`,;:()<>\[\]{}|（），。；：、“”\u3400-\u9fff]+")
 #: Words that a line needs, in small letters, for any reader to find something on it: name parts that make a name sensitive (each holds a word of
-#: SECRET or `key`), words that _SPOKEN and comments go by, issuers' prefixes, and the marks of the other readers.
+#: SECRET or `key`), words that _SPOKEN goes by, issuers' prefixes, and the marks of the other readers. Comments of code are read whatever they say.
 _NAME_WORDS = sorted({w for w in SECRET if not any(o != w and o in w for o in SECRET)} | {"key"})
-COMMENT_WORDS = ["valid", "rollout", "works with", "staging"]
 _TRIGGER = re.compile(
-    "|".join([*_NAME_WORDS, *COMMENT_WORDS])
-    + "|contrasena|clave|logs? ?in|密码|口令|密钥|kennwort|zugangsdaten|schlüssel|authorization|gh[pousr]_|github_pat_|glpat-|k_(?:live|test)_|xox|a[ks]ia|aiza|npm_|sg\\.|eyj|wv1\\."
-    + "|env(?:iron)?[.\\[]|getenv|://[^/\\s]*@|\\bcurl\\b|mysql|mariadb"
+    "|".join(_NAME_WORDS)
+    + "|contrasena|clave|logs? ?in|密码|口令|密钥|kennwort|zugangsdaten|schlüssel|authorization|gh[pousr]_|github_pat_|glpat-|k_(?:live|test)_|xox|a[ks]ia|aiza|npm_|sg\\.|eyj"
+    + "|env(?:iron)?[.\\[]|getenv|://[^/\\s]*@|\\bcurl\\b|mysql|mariadb|hooks\\.slack|webhook|api\\.telegram"
 )
-_TOLD = re.compile(rf"(?i){'|'.join(COMMENT_WORDS)}|\bkey\b")
+#: A comment of code that ends in a word of letters and digits.
+_TOLD = re.compile(r"(?m)^[ \t]*(?://+|#+|--|\*|/\*|<!--)[^\n]*?\s(?=[^\s\d]*\d)(?=[^\sA-Za-z]*[A-Za-z])[^\s/]{10,}[ \t]*(?:\*/|-->)?\r?$")
 _FENCE = re.compile(r"^[ \t]*(?:```|~~~)")
 _SECTION = re.compile(r"^[ \t]*\[{1,2}[ \t]*(?P<name>[\w.\"' :-]+?)[ \t]*\]{1,2}[ \t]*(?:[#;].*)?\r?$")
 _BRACES = re.compile(rf"""(?:"(?P<quoted>[\w.-]+)"|'(?P<single>[\w.-]+)'|(?<![\w$.-])(?P<word>[A-Za-z_$][\w$.-]*))\s*(?::=|=>|=|:)\s*(?P<open>[{{\[])|{_QUOTED}|(?P<bare>[{{\[])|(?P<close>[}}\]])|(?m:^[ \t]*(?P<fence>```|~~~))""")
@@ -92,6 +114,8 @@ def sensitive(path: str) -> str:
     """"strong", "weak" (a bare `key`) or "" for a key path."""
     names = path.split(".")
     parts = [p.lower() for p in _NAME_PARTS.findall(names[-1])]
+    if parts in (["value"], ["val"]) and names[:-1]:
+        return "strong" if holds(names[-2]) else ""
     if not parts or parts[-1] in ABOUT or PUBLIC & set(parts):
         return ""
     if SECRET & set(parts) or "".join(parts[-2:]) in ("apikey", "authtoken"):
@@ -104,6 +128,29 @@ def sensitive(path: str) -> str:
     return ""
 
 
+def holds(name: str) -> bool:
+    """Whether what is listed under the name is sensitive: a strong name or the plural of one."""
+    return sensitive(name) == "strong" or name.lower().endswith("s") and sensitive(name[:-1]) == "strong"
+
+
+def told(value: str) -> bool:
+    """Whether a word has the shape of a generated or chosen password by itself: letters and digits in turns, or with a sign among them."""
+    if not live(value, "word") or len(value) < 10 or re.search(r"[/=:\\]|\.\w+$|^\W", value):
+        return False
+    runs = re.findall(r"[A-Za-z]+|\d+", value)
+    return len(runs) >= 5 or len(runs) >= 2 and bool(re.search(r"[!#$%^&*+?@~]", value))
+
+
+def phrase(value: str, name: str) -> bool:
+    """Whether a value of several words is a passphrase: under a name that says so, of four words, or of three with a digit under any password's name."""
+    words = value.split(" ")
+    if len(words) < 3 or not all(re.fullmatch(r"[\w'!#$%&*+@-]{2,}", w) for w in words) or _DEAD.search(value):
+        return False
+    parts = {p.lower() for p in _NAME_PARTS.findall(name.split(".")[-1])}
+    digit = any(c.isdigit() for c in value)
+    return "passphrase" in parts and (digit or len(words) >= 4) or bool(parts & {"password", "passwd", "pwd"}) and digit
+
+
 def live(value: str, strength: str = "strong") -> bool:
     """Whether the value's shape is that of a literal credential and of no placeholder, reference, label or ciphertext."""
     if ISSUED.match(value):
@@ -231,9 +278,10 @@ class _Reader:
     def read(self) -> dict[int, tuple[int, str]]:
         text = self.text
         for m in _PEM.finditer(text):
-            end = text.find("-----END ", m.end())
-            stop = text.find("KEY-----", end) + 8 if end >= 0 else m.end()
-            self.add("private key", m.start(), stop)
+            end, other = text.find("-----END ", m.end()), text.find("-----BEGIN ", m.end())
+            closed = end >= 0 and not 0 <= other < end
+            stop = text.find("-----", end + 9) + 5 if closed else 0
+            self.add("private key", m.start(), stop if stop > 5 else m.end())  # a block without an end goes as far as its code does
         pem = [(b, e) for b, (e, _) in self.found.items()]
         secrets = self._secret_documents() if "kind: Secret" in text else []
         for hit in self._lines():
@@ -241,8 +289,91 @@ class _Reader:
             if any(b < begin < e for b, e in pem) or any(b <= begin < e for b, e in secrets):
                 continue
             self._line(begin, line)
+        if self.code:
+            for m in _TOLD.finditer(text):
+                begin = m.start() + len(m[0]) - len(m[0].lstrip())
+                inside = any(b < begin < e for b, e in pem)
+                if not inside and not any(m.start() <= b < m.end() for b in self.found) and not _DIGEST.search(m[0]):
+                    last = list(_WORD.finditer(m[0]))[-1]
+                    value = last[0].rstrip(".,!?") if last[0][-1] in ".," else last[0]
+                    if told(value):
+                        self.add("prose", m.start() + last.start(), m.start() + last.start() + len(value))
         return self.found
 
+    def _below(self, begin: int, line: str) -> Iterator[tuple[int, str]]:
+        """The lines after this one, with their offsets."""
+        at = begin + len(line) + 1
+        while at < len(self.text):
+            end = self.text.find("\n", at)
+            end = len(self.text) if end < 0 else end
+            yield at, self.text[at:end]
+            at = end + 1
+
+    def _held(self, begin: int, line: str) -> None:
+        """What stands under a sensitive name on this line: items, blocks, members and multi-line strings."""
+        text, end = self.text, begin + len(line)
+        strength = "word" if self.code else "strong"
+        if (m := _HOLDER.match(line)) and holds(m["key"]):
+            indent, name = len(m["indent"]), m["key"]
+            for at, below in self._below(begin, line):
+                bare = below.strip()
+                if not bare:
+                    continue
+                deep = len(below) - len(below.lstrip())
+                if deep < indent or deep == indent and (m["block"] or not bare.startswith("- ")) or _FENCE.match(below):
+                    break
+                if m["block"]:
+                    if live(bare, "strong"):
+                        self.add(name, at + deep, at + deep + len(bare))
+                elif (x := _ITEM.match(below) or _CHILD.match(below)) and live(x["value"], "word"):
+                    self.add(name, at + x.start("value"), at + x.end("value"))
+        elif (m := _SECTION.match(line)) and holds(m["name"].split(".")[-1]):
+            for at, below in self._below(begin, line):
+                if _SECTION.match(below) or _FENCE.match(below):
+                    break
+                if (x := _CHILD.match(below)) and live(x["value"], "strong"):
+                    self.add(f"{m['name']}.value", at + x.start("value"), at + x.end("value"))
+        for m in _LIST.finditer(text, begin):
+            if m.start() > end:
+                break
+            if holds(m["key"]):
+                for x in re.finditer(_QUOTED, m["inner"]):
+                    if live(_unquote(x[0]), "word"):
+                        self.add(m["key"], m.start("inner") + x.start() + 1, m.start("inner") + x.end() - 1)
+        for m in _MEMBER.finditer(text, begin):
+            if m.start() > end:
+                break
+            if holds(m["key"]) and live(_unquote(m["value"]), strength):
+                self.add(f"{m['key']}.value", m.start("value") + 1, m.end("value") - 1)
+        for m in _LONG.finditer(text, begin):
+            if m.start() > end:
+                break
+            key, part = (m["key"], "value") if m["key"] else (m["name"], "held")
+            if sensitive(key) == "strong" and live(m[part], "strong"):
+                self.add(key, m.start(part), m.end(part))
+
+    def _apart(self, begin: int, line: str) -> None:
+        """Values whose sensitive name is given as another attribute, member or line next to them."""
+        after = self.text.find("\n", begin + len(line) + 1)
+        for pattern in _PAIRS:
+            for m in pattern.finditer(self.text, begin, len(self.text) if after < 0 else after):
+                quoted = m["value"][0] in "\"'`"
+                value = _unquote(m["value"]) if quoted else m["value"]
+                if sensitive(m["key"]) == "strong" and live(value, "word" if self.code else "strong"):
+                    self.add(m["key"], m.start("value") + quoted, m.end("value") - quoted)
+
+    def _fields(self, begin: int, line: str) -> None:
+        """Values in connection strings: fields with semicolons between them, in a literal or in plain text."""
+        for area in [*(re.finditer(_QUOTED, line) if self.code else ()), *_FIELDS.finditer(line)]:
+            if ";" not in area[0]:
+                continue
+            quoted = area[0][0] in "\"'`"
+            for m in _FIELD.finditer(area[0]):
+                if self.code and not quoted and re.fullmatch(r"[A-Za-z_$][\w$.]*", m["value"]):
+                    continue  # statements
+                if sensitive(m["key"].replace(" ", "_")) == "strong" and live(m["value"]):
+                    self.add(m["key"], begin + area.start() + m.start("value"), begin + area.start() + m.end("value"))
+
     def _lines(self) -> Iterator[tuple[int, str]]:
         """Lines with a trigger."""
         text, low, done = self.text, self.text.replace("\u0130", "i").lower(), -1  # the one capital whose small form is longer
@@ -279,10 +410,12 @@ class _Reader:
         return self.nested
 
     def _line(self, begin: int, line: str) -> None:
-        text, known = self.text, len(self.found)
+        text, hidden = self.text, False
         for m in ISSUED.finditer(line):
             if not _DEAD.search(line[m.start() : m.end() + 8].split('"')[0].split("'")[0]):
                 self.add("token", begin + m.start(), begin + m.end())
+        for m in _HOOK.finditer(line):
+            self.add("webhook", begin + m.start("value"), begin + m.end("value"))
         for m in _URL.finditer(line):
             if live(m["value"], "url") or len(m["value"]) >= 6 and not _DEAD.search(m["value"]) and not re.search(r"[${}<>]", m["value"]):
                 self.add("url", begin + m.start("value"), begin + m.end("value"))
@@ -309,42 +442,70 @@ class _Reader:
             name = self._nesting().parents(begin, m.start(), len(line) - len(line.lstrip())) + m["key"]
             strength = sensitive(name)
             value, end = _unquote(m["value"]), m.end("value")
+            hidden = hidden or bool(_DEAD.search(value))
             while piece := _PIECE.match(text, end):
                 if not piece[0].strip().startswith("+") and "\n" not in piece[0]:
                     break
                 value, end = value + _unquote(piece[1]), piece.end()
-            if live(value, strength):
+            if live(value, strength) or phrase(value, name):
                 self.add(name, m.start("value") + 1, end - 1)
         for m in _FALLBACK.finditer(line):
             part = "value" if m["value"] else "second"
             if live(_unquote(m[part]), "word"):
                 self.add("fallback", begin + m.start(part) + 1, begin + m.end(part) - 1)
-        for m in _XML.finditer(line):
-            if not sensitive(m["key"]):
-                continue
-            name = self._nesting().elements(begin + m.start()) + m["key"]
-            if live(m["value"], sensitive(name)):
-                self.add(name, begin + m.start("value"), begin + m.end("value"))
+        if "<" in line:
+            for m in _XML.finditer(text, begin):
+                if m.start() > begin + len(line):
+                    break
+                if not sensitive(m["key"]):
+                    continue
+                name = self._nesting().elements(m.start()) + m["key"]
+                if live(m["value"], sensitive(name)):
+                    self.add(name, m.start("value"), m.end("value"))
+        self._held(begin, line)
+        self._apart(begin, line)
+        if ";" in line and "=" in line:
+            self._fields(begin, line)
+        if m := _ENV.match(line):
+            if sensitive(m["key"]) == "strong" and live(m["value"]):
+                self.add(m["key"], begin + m.start("value"), begin + m.end("value"))
+        for m in _FLOW.finditer(line) if not self.code and "{" in line else ():
+            if sensitive(m["key"]) == "strong" and live(m["value"]):
+                self.add(m["key"], begin + m.start("value"), begin + m.end("value"))
         if m := _ROW.match(line):
             if sensitive(m["key"]) == "strong" and live(m["value"]):
                 self.add(m["key"], begin + m.start("value"), begin + m.end("value"))
         if m := _BARE.match(line):
             name = (self._nesting().parents(begin, begin + m.start("key"), len(m["indent"])) if sensitive(m["key"]) else "") + m["key"]
-            if (strength := sensitive(name)) and live(m["value"].rstrip(",;"), strength) and not re.search(r"[()\[\]]|^\w+(?:\.\w+)+$", m["value"]):
+            if (strength := sensitive(name)) and live(m["value"].rstrip(",;"), strength) and not re.search(r"[()\[\]]|^(?!.*\w{24})\w+(?:\.\w+)+$", m["value"]):
                 self.add(name, begin + m.start("value"), begin + m.start("value") + len(m["value"].rstrip(",;")))
-        if len(self.found) > known:
-            return
-        comment = _COMMENT.match(line)
-        if self.code and not comment or _DIGEST.search(line):
+        self._spoken(begin, line, hidden)
+
+    def _spoken(self, begin: int, line: str, hidden: bool) -> None:
+        """Values told in prose or comments: after each word for a secret the first word of a value's shape. Behind a placeholder such a word needs no telling."""
+        taken = [(b - begin, self.found[b][0] - begin) for b in self.found if begin <= b < begin + len(line)]
+        at = max((e for _, e in taken), default=0)
+        if self.code and not _COMMENT.match(line):
+            behind = _BEHIND.search(line)
+            if not behind or line.count('"', 0, behind.start()) % 2 or line.count("'", 0, behind.start()) % 2:
+                return
+            at = max(at, behind.start("text"))
+            if hidden and not _DIGEST.search(behind["text"]):
+                for w in _WORD.finditer(line, at):
+                    if told(w[0].rstrip(".,!?")):
+                        self.add("prose", begin + w.start(), begin + w.start() + len(w[0].rstrip(".,!?")))
+        if _DIGEST.search(line):
             return
-        spoken = _SPOKEN.search(line)
-        words = [w for w in _WORD.finditer(line, spoken.end() if spoken else 0)]
-        words = words if spoken else words[-1:] if comment and self.code and _TOLD.search(line) else []
-        for w in words:
-            value = w[0].rstrip(".,!?") if w[0][-1:] in ".," else w[0]
-            if live(value, "word") and not re.search(r"https?:|^\W|\.\w+\(|^[a-z]+-\d+$", value):
-                self.add("prose", begin + w.start(), begin + w.start() + len(value))
-                break
+        while spoken := _SPOKEN.search(line, at):
+            at = spoken.end()
+            for w in _WORD.finditer(line, at):
+                value = w[0].rstrip(".,!?") if w[0][-1:] in ".," else w[0]
+                if live(value, "word") and not re.search(r"https?:|^\W|\.\w+\(|^[a-z]+-\d+$|^[A-Za-z_]\w*=[^=]", value):
+                    self.add("prose", begin + w.start(), begin + w.start() + len(value))
+                    at = w.end()
+                    break
+            else:
+                return
 
 
 def find_in_text(text: str | None, code: bool = False) -> list[Finding]:
