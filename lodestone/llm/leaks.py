@@ -1,7 +1,8 @@
 """Evaluation passages inside training documents.
 
-The hashed n-grams of all passages, a set whose size is checked, go to every task; documents are
-scanned window by window for them. Each hit is extended word by word in both directions, over single
+The normalised n-grams of the passages are hashed to 8-byte numbers; sorted, they go to every task as
+arrays whose size in bytes is checked, in as many blocks of items as that takes. Documents are scanned
+window by window; each hit is verified and extended word by word in both directions, over single
 changed, missing or added words, to a stretch. A document leaks an item if the one or two best stretches
 that keep the passage's order hold at least SHARE of the passage's words. A stretch inside a longer
 stretch of another item doesn't count: it is that item's text.
@@ -19,17 +20,22 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.session import cut_lineage
+
 #: Words of an n-gram, share of the passage a leak holds, and the fewest words of a stretch.
 NGRAM, SHARE, STRETCH = 3, 1 / 3, 5
-#: Passages of more n-grams than this aren't sent to every task (8 bytes each); documents then meet them by a join.
-BROADCAST_GRAMS = 2_000_000
+#: Bytes of a block of items in every task (words, n-grams and places, 28 bytes a word); more items are scanned for block after block.
+BLOCK_BYTES, WORD_BYTES = 64 << 20, 28
+#: Words a task remembers the numbers of.
+CACHED_WORDS = 200_000
 
 _MARKUP = re.compile(r"</?[A-Za-z][^<>]{0,200}>|&(?:[a-z]{2,8}|#\d{1,7});|[­​-‏⁠﻿]")
 _WORD = re.compile(r"[^\W_]+")
+_HAN = re.compile(r"[\u3400-\u9fff]|[^\u3400-\u9fff]+")
 
 
 def words_of(text: str | None) -> tuple[list[str], list[tuple[int, int]]]:
-    """Words in compatibility form and lower case, without markup and punctuation, and their places in the text."""
+    """Words in compatibility form and lower case, without markup and punctuation, and their places in the text. Each Han character is a word."""
     if not text:
         return [], []
     blank = _MARKUP.sub(lambda m: ("" if len(m[0]) == 1 else " ") + "\0" * (len(m[0]) - (len(m[0]) > 1)), text)
@@ -39,69 +45,150 @@ def words_of(text: str | None) -> tuple[list[str], list[tuple[int, int]]]:
             words.append(m[0].lower())
             places.append(m.span())
         return words, places
-    for m in re.finditer(r"[^\W_](?:\0*[^\W_])*", blank):
+    for m in re.finditer(r"[\u3400-\u9fff]|(?:(?![\u3400-\u9fff])[^\W_])(?:\0*(?![\u3400-\u9fff])[^\W_])*", blank):
         word = unicodedata.normalize("NFKC", m[0].replace("\0", "")).casefold()
-        parts = _WORD.findall(word)
+        parts = [x for part in _WORD.findall(word) for x in _HAN.findall(part)]
         words += parts
         places += [m.span()] * len(parts)
     return words, places
 
 
+def plain_words(text: str | None) -> list[str]:
+    """The words alone, which is quicker for plain text."""
+    if text and text.isascii():
+        return _WORD.findall(_MARKUP.sub(" ", text).lower())
+    return words_of(text)[0]
+
+
+class _Hashes:
+    """Numbers of words, with those met lately remembered."""
+
+    def __init__(self) -> None:
+        self.known: dict[str, int] = {}
+
+    def of(self, words: list[str]) -> np.ndarray:
+        import xxhash
+
+        known = self.known
+        if len(known) > CACHED_WORDS:
+            known.clear()
+        for w in set(words).difference(known):
+            known[w] = xxhash.xxh3_64_intdigest(w)
+        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+
+
+def _grams(numbers: np.ndarray) -> np.ndarray:
+    """A number for each window of NGRAM words."""
+    size = len(numbers) - NGRAM + 1
+    if size <= 0:
+        return np.empty(0, np.uint64)
+    out = np.zeros(size, np.uint64)
+    for i in range(NGRAM):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + numbers[i : i + size]
+    return out
+
+
+Stretch = tuple[int, int, int, int, int]
+
+
 class Passages:
-    """The n-grams of a set of passages, ready for scanning."""
+    """A block of passages, ready for scanning: item ids, where each begins among all words, the words, and the sorted n-grams with their places."""
 
     def __init__(self, items: list[tuple[int, str | None]]) -> None:
-        self.words = {key: words_of(text)[0] for key, text in items if key is not None}
-        self.grams: dict[tuple[str, ...], list[tuple[int, int]]] = defaultdict(list)
-        for key, words in self.words.items():
-            for i in range(len(words) - NGRAM + 1):
-                self.grams[tuple(words[i : i + NGRAM])].append((key, i))
-        self.vocabulary = {w for words in self.words.values() for w in words}
-
-    def stretches(self, words: list[str]) -> list[tuple[int, int, int, int, int]]:
-        """(item, begin and end in the passage, begin and end in the document) of all maximal stretches."""
-        known = [w in self.vocabulary for w in words]
-        found, covered = [], defaultdict(list)
-        for j in range(len(words) - NGRAM + 1):
-            if not (known[j] and known[j + NGRAM - 1]):
-                continue
-            for key, i in self.grams.get(tuple(words[j : j + NGRAM]), ()):
-                if any(a <= i < b and c <= j < d for a, b, c, d in covered[key]):
+        import xxhash
+
+        hashes = _Hashes()
+        numbers = [hashes.of(words_of(text)[0]) for _, text in items]
+        self.keys = np.array([k for k, _ in items], np.int64)
+        self.marks = [xxhash.xxh3_64_intdigest(f"{k} {text}") >> 1 for k, text in items]  # tells passages apart, whatever block they are in
+        self.begins = np.cumsum([0, *map(len, numbers)])
+        self.words = np.concatenate([np.empty(0, np.uint64), *numbers])
+        grams = np.concatenate([np.empty(0, np.uint64), *map(_grams, numbers)])
+        places = np.concatenate([np.empty(0, np.int32), *[b + np.arange(max(0, len(n) - NGRAM + 1), dtype=np.int32) for b, n in zip(self.begins, numbers)]]).astype(np.int32)
+        order = np.argsort(grams, kind="stable")
+        self.grams, self.places = grams[order], places[order]
+
+    def size(self, key_at: int) -> int:
+        return int(self.begins[key_at + 1] - self.begins[key_at])
+
+    def stretches(self, numbers: np.ndarray) -> list[Stretch]:
+        """(index of the item, begin and end in the passage, begin and end in the document) of all maximal stretches."""
+        grams = _grams(numbers)
+        low, high = np.searchsorted(self.grams, grams, "left"), np.searchsorted(self.grams, grams, "right")
+        hits = np.flatnonzero(high > low)
+        if not len(hits):
+            return []
+        words, found = numbers.tolist(), []
+        active: dict[int, list[tuple[int, int, int, int]]] = defaultdict(list)
+        texts: dict[int, list[int]] = {}
+        for j in hits.tolist():
+            for place in self.places[low[j] : high[j]].tolist():
+                item = int(np.searchsorted(self.begins, place, "right")) - 1
+                i = place - int(self.begins[item])
+                running = active[item] = [x for x in active[item] if x[3] > j]  # stretches that are past can't cover what follows
+                if any(a <= i < b and c <= j for a, b, c, _ in running):
+                    continue
+                if item not in texts:
+                    texts[item] = self.words[self.begins[item] : self.begins[item + 1]].tolist()
+                text = texts[item]
+                if text[i : i + NGRAM] != words[j : j + NGRAM]:
                     continue
-                text = self.words[key]
                 b, d = _extend(text, words, i + NGRAM, j + NGRAM, 1)
                 a, c = _extend(text, words, i - 1, j - 1, -1)
                 a, c = a + 1, c + 1
-                covered[key].append((a, b, c, d))
+                running.append((a, b, c, d))
                 if b - a >= STRETCH:
-                    found.append((key, a, b, c, d))
+                    found.append((item, a, b, c, d))
         return found
 
-    def leaks(self, words: list[str], share: float = SHARE) -> dict[int, list[tuple[int, int]]]:
-        """Items given away, with the ranges of the document's words that do."""
-        found = self.stretches(words)
-        if not found:
-            return {}
-        longest = sorted(found, key=lambda s: (s[3] - s[4], s[3], s[0]))
-        own: dict[int, list[tuple[int, int, int, int]]] = defaultdict(list)
-        for key, a, b, c, d in found:
-            if not any(k != key and e - c_ > d - c and c_ <= c and d <= e for k, _, _, c_, e in longest):
-                own[key].append((a, b, c, d))
-        out = {}
-        for key, parts in own.items():
-            need = share * len(self.words[key])
-            best, chosen = max(((b - a, [(c, d)]) for a, b, c, d in parts), key=lambda x: x[0])
-            for p in parts:
-                for q in parts:
-                    held = q[1] - max(p[1], q[0]) + p[1] - p[0]
-                    if p[0] < q[0] and p[3] <= q[2] and p[1] <= q[0] + 2 and held > best:
-                        best, chosen = held, [p[2:], q[2:]]
-            if best >= need - 1e-9:
-                out[key] = sorted(chosen)
-        return out
-
-
-def _extend(text: list[str], words: list[str], i: int, j: int, step: int) -> tuple[int, int]:
+
+def _outermost(found: list[Stretch]) -> list[Stretch]:
+    """Without stretches that lie in a longer one of another item; one pass in order of place, with the two furthest ends so far of different items."""
+    order = sorted(found, key=lambda s: (s[3], -s[4]))
+    kept, first, second, at = [], (-1, None), (-1, None), 0
+    while at < len(order):
+        same = at
+        while same < len(order) and order[same][3:] == order[at][3:]:
+            same += 1
+        group = order[at:same]
+        kept += [s for s in group if (second if first[1] == s[0] else first)[0] < s[4]]
+        for s in group:
+            if s[0] == first[1]:
+                first = max(first, (s[4], s[0]))
+            elif s[4] > first[0]:
+                first, second = (s[4], s[0]), first
+            elif s[4] > second[0]:
+                second = (s[4], s[0])
+        at = same
+    return kept
+
+
+def decide(found: list[Stretch], sizes: dict[int, int], share: float = SHARE) -> dict[int, list[tuple[int, int]]]:
+    """Items given away, of the stretches (item, ...) and the items' words, with the ranges of the document's words that do."""
+    own: dict[int, list[tuple[int, int, int, int]]] = defaultdict(list)
+    for item, *rest in _outermost(found):
+        own[item].append(tuple(rest))
+    out = {}
+    for item, parts in own.items():
+        need = share * sizes[item] - 1e-9
+        # of equal parts of the passage the first can be followed by most, the last can follow most
+        first, last = {}, {}
+        for p in sorted(parts, key=lambda p: p[3]):
+            first.setdefault(p[:2], p)
+        for p in sorted(parts, key=lambda p: p[2]):
+            last[p[:2]] = p
+        best, chosen = max(((p[1] - p[0], [p[2:]]) for p in first.values()), key=lambda x: x[0])
+        for p in first.values():
+            for q in last.values():
+                held = q[1] - max(p[1], q[0]) + p[1] - p[0]
+                if p[0] < q[0] and p[3] <= q[2] and p[1] <= q[0] + 2 and held > best:
+                    best, chosen = held, [p[2:], q[2:]]
+        if best >= need:
+            out[item] = sorted({*chosen, *(p[2:] for p in parts if p[1] - p[0] >= need)})
+    return out
+
+
+def _extend(text: list[int], words: list[int], i: int, j: int, step: int) -> tuple[int, int]:
     """First places, in the passage and in the document, that the stretch doesn't reach in direction `step`."""
 
     def same(x: int, y: int, n: int) -> bool:
@@ -122,69 +209,89 @@ def _extend(text: list[str], words: list[str], i: int, j: int, step: int) -> tup
             return i, j
 
 
-def _scan(passages: Passages, share: float) -> object:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for key, text in zip(batch["doc_id"], batch["text"]):
-                words, places = words_of(text)
-                for item, ranges in passages.leaks(words, share).items():
-                    spans = [(places[a][0], places[b - 1][1]) for a, b in ranges]
-                    out.append((key, item, [list(s) for s in spans]))
-            yield pd.DataFrame(out, columns=["doc_id", "item_id", "spans"])
-
-    return run
-
-
 _SCHEMA = "doc_id bigint, item_id bigint, spans array<array<int>>"
+_STRETCHES = "doc_id bigint, row bigint, item_id bigint, passage bigint, size int, stretch array<int>, places array<int>"
 
 
-def _candidates(documents: DataFrame, items: DataFrame) -> DataFrame:
-    """Documents that share at least two n-grams with some passage, found by a join on hashed n-grams, with those passages."""
-
-    def grams(key: str, text: str, distinct: bool):  # noqa: ANN202
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                keys, values = [], []
-                for k, t in zip(batch["key"], batch["text"]):
-                    w = words_of(t)[0]
-                    found = dict.fromkeys(" ".join(w[i : i + NGRAM]) for i in range(len(w) - NGRAM + 1))
-                    keys += [k] * len(found)
-                    values += list(found)
-                yield pd.DataFrame({"key": pd.Series(keys, dtype="int64"), "gram": pd.Series(values, dtype=object)})
+def _blocks(items: DataFrame, block_bytes: int) -> Iterator[Passages]:
+    """All items in blocks of at most `block_bytes`, an item with more words alone: counted first, then fetched block by block."""
 
-        return run
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"item_id": batch["item_id"], "n": [len(plain_words(t)) for t in batch["passage"]]})
+
+    most = max(1, block_bytes // WORD_BYTES)
+    counted = items.mapInPandas(count, "item_id bigint, n bigint")
+    total = counted.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    parts = -(-2 * total // most) if total > most else 1  # half full in the mean, so that none exceeds the bound by chance
+    for n in range(parts):
+        some = items if parts == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == n)
+        held, size = [], 0
+        for r in some.toLocalIterator():
+            words = len(plain_words(r["passage"]))
+            if held and size + words > most:
+                yield Passages(held)
+                held, size = [], 0
+            held.append((r["item_id"], r["passage"]))
+            size += words
+        if held:
+            yield Passages(held)
+
+
+def _scan(documents: DataFrame, passages: Passages, whole: bool, share: float) -> DataFrame:
+    """Of each document its leaks if the block is the whole, else its stretches."""
+    sent = documents.sparkSession.sparkContext.broadcast(passages)  # at most a block
 
-    def hashed(df: DataFrame, key: str, text: str) -> DataFrame:
-        given = df.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text"))
-        return given.mapInPandas(grams(key, text, True), "key bigint, gram string").select("key", F.xxhash64("gram").alias("gram"))
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        block, hashes = sent.value, _Hashes()
+        for batch in batches:
+            out = []
+            for key, row, text in batch.itertuples(index=False, name=None):
+                found = block.stretches(hashes.of(plain_words(text)))
+                if not found:
+                    continue
+                places = words_of(text)[1]
+                if whole:
+                    for item, ranges in decide(found, {s[0]: block.size(s[0]) for s in found}, share).items():
+                        out.append((key, int(block.keys[item]), [[places[a][0], places[b - 1][1]] for a, b in ranges]))
+                else:
+                    out += [(key, row, int(block.keys[s[0]]), block.marks[s[0]], block.size(s[0]), list(s[1:]), [places[s[3]][0], places[s[4] - 1][1]]) for s in found]
+            yield pd.DataFrame(out, columns=["doc_id", "item_id", "spans"] if whole else ["doc_id", "row", "item_id", "passage", "size", "stretch", "places"])
 
-    left = hashed(items, "item_id", "passage").select(F.col("key").alias("item_id"), "gram")
-    right = hashed(documents, "doc_id", "text").select(F.col("key").alias("doc_id"), "gram")
-    return right.join(left, "gram").groupBy("doc_id", "item_id").agg(F.count("*").alias("n")).where("n >= 2").select("doc_id", "item_id")
+    return documents.mapInPandas(run, _SCHEMA if whole else _STRETCHES)
 
 
-def find_leaks(documents: DataFrame, items: DataFrame, share: float = SHARE, broadcast_grams: int = BROADCAST_GRAMS) -> DataFrame:
+def find_leaks(documents: DataFrame, items: DataFrame, share: float = SHARE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, item_id, spans: documents that hold an item's passage, wholly or partly, and where (offsets in code points).
 
     Null and empty texts and passages leak nothing; passages of fewer than NGRAM words aren't found; rows with a null
-    id don't count. Rows of documents or items that are repeated give their pairs once for each row of a document.
+    id don't count. Repeated rows of an item count once. Rows of documents that are repeated give their pairs once each.
     """
-    bound = items.agg(F.coalesce(F.sum(F.size(F.split("passage", r"\s+"))), F.lit(0)).alias("n")).first()["n"]
-    docs = documents.select("doc_id", "text").where("doc_id IS NOT NULL")
-    tests = items.select("item_id", "passage").where("item_id IS NOT NULL")
-    if bound <= broadcast_grams:
-        passages = Passages([(r["item_id"], r["passage"]) for r in tests.collect()])
-        return docs.mapInPandas(_scan(passages, share), _SCHEMA)
-    met = _candidates(docs, tests).join(tests, "item_id").groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "passage")).alias("tests"))
-
-    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    docs = documents.where("doc_id IS NOT NULL").select("doc_id", F.monotonically_increasing_id().alias("row"), "text")
+    tests = items.where("item_id IS NOT NULL AND passage IS NOT NULL").select("item_id", "passage").distinct()
+    blocks = _blocks(tests, block_bytes)
+    first, second = next(blocks, None), next(blocks, None)
+    if first is None:
+        return documents.sparkSession.createDataFrame([], _SCHEMA)
+    if second is None:
+        return _scan(docs, first, True, share)
+    docs = cut_lineage(docs)  # the row numbers must be the same for every block
+    found = cut_lineage(_scan(docs, first, False, share)).unionByName(cut_lineage(_scan(docs, second, False, share)))
+    for block in blocks:
+        found = found.unionByName(cut_lineage(_scan(docs, block, False, share)))
+
+    def settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for key, text, some in zip(batch["doc_id"], batch["text"], batch["tests"]):
-                passages = Passages([(t["item_id"], t["passage"]) for t in some])
-                yield from _scan(passages, share)(iter([pd.DataFrame({"doc_id": [key], "text": [text]})]))
+            out = []
+            for key, rows in zip(batch["doc_id"], batch["rows"]):
+                stretches, item_of = [(r["passage"], *map(int, r["stretch"])) for r in rows], {r["passage"]: r["item_id"] for r in rows}
+                places = {(c, d): list(map(int, r["places"])) for (*_, c, d), r in zip(stretches, rows)}
+                for passage, ranges in decide(stretches, {r["passage"]: r["size"] for r in rows}, share).items():
+                    out.append((key, item_of[passage], [places[x] for x in ranges]))
+            yield pd.DataFrame(out, columns=["doc_id", "item_id", "spans"])
 
-    return docs.join(met, "doc_id").mapInPandas(verify, _SCHEMA)
+    gathered = found.groupBy("doc_id", "row").agg(F.collect_list(F.struct("item_id", "passage", "size", "stretch", "places")).alias("rows"))  # the stretches of one document
+    return gathered.select("doc_id", "rows").mapInPandas(settle, _SCHEMA)
 
 
 def leaking_pairs(documents: DataFrame, items: DataFrame) -> DataFrame:

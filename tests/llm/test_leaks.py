@@ -35,7 +35,7 @@ def test_both_ways_find_the_same(spark):
     items = spark.createDataFrame(ITEMS, "item_id bigint, question string, passage string")
     want = sorted((i, k) for i, _, keys in documents() for k in keys)
     assert pairs(leaks.find_leaks(docs, items)) == want
-    assert pairs(leaks.find_leaks(docs, items, broadcast_grams=0)) == want
+    assert pairs(leaks.find_leaks(docs, items, block_bytes=3000)) == want
     assert leaks.leaking_pairs(docs.unionByName(docs), items).count() == len(want)
 
 
@@ -49,3 +49,28 @@ def test_empty_tables(spark):
     docs, items = spark.createDataFrame([], "doc_id bigint, text string"), spark.createDataFrame([], "item_id bigint, question string, passage string")
     assert leaks.find_leaks(docs, items).count() == 0
     assert leaks.find_leaks(spark.createDataFrame([(1, "x")], "doc_id bigint, text string"), items).count() == 0
+
+
+def test_blocks_make_no_difference(spark):
+    """Random leaks with changes at every third to sixth word, so that some share a single n-gram with their passage."""
+    rng = random.Random(5)
+    items = [(i, passage(i, rng.choice([12, 30, 60]))) for i in range(40)] + [(3, passage(777)), (41, "一二三四五六七八九十百千万亿兆"), (42, passage(4, 30)[: 20 * 5])]
+    docs = []
+    for n in range(150):
+        words = rng.choice(items)[1].split()
+        step, start = rng.choice([3, 4, 6, 99]), rng.choice([0, 1, len(words) // 2])
+        body = [rng.choice(["other", "thing", ""]) if i % step == 2 else w for i, w in enumerate(words[start:])]
+        docs.append((n, " ".join([*rng.choices(WORDS, k=rng.choice([0, 40])), *body, "end"]), None))
+    docs += [(500, "alpha beta gamma QQQ epsilon zeta", None), (501, "前 一二三四五六七八九十百千 后", None), (502, passage(9) + " x " * 3000 + (passage(9) + " ") * 200, None)]
+    items.append((60, "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu"))
+    df = spark.createDataFrame(docs, "doc_id bigint, text string, item_id string").repartition(3)
+    tests = spark.createDataFrame(items, "item_id bigint, passage string")
+    one, many = ({(r.doc_id, r.item_id, tuple(map(tuple, r.spans))) for r in leaks.find_leaks(df, tests, block_bytes=b).collect()} for b in (1 << 20, 4000))
+    assert one == many and {(500, 60), (501, 41), (502, 9)} <= {x[:2] for x in one} and len(one) > 60
+    (spans,) = [x[2] for x in one if x[:2] == (502, 9)]
+    assert len(spans) == 201  # every copy
+
+
+def test_stretches_inside_longer_ones_of_other_items():
+    found = [(1, 0, 10, 0, 10), (2, 0, 10, 0, 10), (3, 0, 6, 2, 8), (4, 0, 6, 8, 14), (1, 0, 5, 9, 14)]
+    assert sorted(leaks._outermost(found)) == [(1, 0, 10, 0, 10), (2, 0, 10, 0, 10), (4, 0, 6, 8, 14)]
