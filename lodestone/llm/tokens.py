@@ -1,9 +1,9 @@
 """Encoding of a corpus with a public byte-level BPE vocabulary, each distinct word once.
 
-Texts are split into pre-tokens with their positions, and within blocks of documents the positions of
-equal words are put together before any shuffle, so that the commonest word is one row a block and not
-one row an occurrence. The distinct words of all blocks are encoded once each, their ids joined back to
-the blocks, and every block put together by position.
+Texts are split once into pre-tokens with their positions. Within blocks of documents each distinct word is
+listed once and a position holds its place in that list, so that the commonest word is one row a block and
+not one row an occurrence. The distinct words of all blocks are encoded once each, their ids joined back to
+the blocks' lists, and every block put together by position. Positions are written once and move once.
 """
 
 from __future__ import annotations
@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.session import cut_lineage
+
 #: Folder of the vocabulary files; they are read where the tasks run and never copied.
 VOCABULARIES = "/opt/tokenizers"
 #: The fixed pattern that cuts a text into pre-tokens, as published with this vocabulary.
@@ -43,10 +45,9 @@ def _blocks(batch: pd.DataFrame) -> Iterator[pd.DataFrame]:
 
 
 def postings(documents: DataFrame, key: str, text: str) -> DataFrame:
-    """block, word, docs (the block's keys, only in its row of the null word), at: word positions within the block.
+    """block, docs (the block's keys), counts (pre-tokens of each document), words (the block's distinct ones), at (of each position through the whole block the place of its word).
 
-    A position counts pre-tokens through the whole block; the row of the null word has the number of
-    pre-tokens of each document. Null and empty texts have none.
+    Null and empty texts have no pre-tokens.
     """
     key_type = documents.schema[key].dataType.simpleString()
 
@@ -59,28 +60,17 @@ def postings(documents: DataFrame, key: str, text: str) -> DataFrame:
         for batch in batches:
             for block in _blocks(batch):
                 name += 1
-                where: dict[str, list[int]] = {}
-                counts, at = [], 0
+                place: dict[str, int] = {}
+                counts, at = [], []
                 for value in block["text"]:
                     words = pattern.findall(value) if value else []
-                    for i, word in enumerate(words, at):
-                        if (seen := where.get(word)) is None:
-                            where[word] = [i]
-                        else:
-                            seen.append(i)
-                    at += len(words)
+                    at += [place.setdefault(w, len(place)) for w in words]
                     counts.append(len(words))
-                yield pd.DataFrame(
-                    {
-                        "block": name,
-                        "word": [None, *where],
-                        "docs": [list(block["key"]), *[None] * len(where)],
-                        "at": [np.array(counts, "<i4").tobytes(), *[np.array(x, "<i4").tobytes() for x in where.values()]],
-                    }
-                )
+                positions = np.array(at, "<u2" if len(place) < 65_536 else "<u4").tobytes()
+                yield pd.DataFrame({"block": name, "docs": [list(block["key"])], "counts": [np.array(counts, "<i4").tobytes()], "words": [list(place)], "at": [positions]})
 
     return documents.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInPandas(
-        split, f"block bigint, word string, docs array<{key_type}>, at binary"
+        split, f"block bigint, docs array<{key_type}>, counts binary, words array<string>, at binary"
     )
 
 
@@ -102,33 +92,33 @@ def encode_corpus(documents: DataFrame, key: str = "doc_id", text: str = "text",
 
     Every row gives one row, also rows with a null or repeated key; other columns are ignored, and an empty table gives none.
     """
-    rows = postings(documents, key, text)
-    words = encode_words(rows.where("word IS NOT NULL").select("word").distinct(), vocabulary)
-    joined = rows.join(words, "word", "left").select("block", "docs", "at", "ids")
+    blocks = cut_lineage(postings(documents, key, text))  # read twice, split once
+    listed = blocks.select("block", F.posexplode("words").alias("place", "word"))
+    words = encode_words(listed.select("word").distinct(), vocabulary)
+    found = listed.join(words, "word").groupBy("block").agg(F.collect_list(F.struct("place", "ids")).alias("ids"))  # the distinct words of one block
     key_type = documents.schema[key].dataType.simpleString()
 
-    def assemble(block: pd.DataFrame) -> pd.DataFrame:
-        head = block[block["docs"].notna()]
-        rest = block[block["docs"].isna()]
-        docs = list(head["docs"].iloc[0])
-        counts = np.frombuffer(head["at"].iloc[0], "<i4")
-        places = [np.frombuffer(x, "<i4") for x in rest["at"]]
-        total = int(counts.sum())
-        word_of = np.empty(total, np.int64)
-        if total:
-            word_of[np.concatenate(places)] = np.repeat(np.arange(len(places)), [len(p) for p in places])
-            sizes = np.array([len(x) // 4 for x in rest["ids"]], np.int64)
-            pool, begins = np.frombuffer(b"".join(rest["ids"]), "<i4"), np.cumsum(sizes) - sizes
-            each = sizes[word_of]
-            ends = np.cumsum(each)
-            flat = pool[np.repeat(begins[word_of] - (ends - each), each) + np.arange(int(ends[-1]))]
-            cuts = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
-        else:
-            flat, cuts = np.empty(0, np.int32), np.zeros(len(docs) + 1, np.int64)
-        out = pd.DataFrame({"key": pd.Series(docs, dtype=object), "ids": [flat[a:b] for a, b in zip(cuts[:-1], cuts[1:])]})
-        return out if out["key"].isna().any() else out.infer_objects()
-
-    ids = joined.groupBy("block").applyInPandas(assemble, f"key {key_type}, ids array<int>")
+    def assemble(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for docs, counts, at, ids in batch.itertuples(index=False, name=None):
+                cuts = np.concatenate([[0], np.cumsum(np.frombuffer(counts, "<i4"))])
+                flat = np.empty(0, np.int32)
+                if cuts[-1]:
+                    word_of = np.frombuffer(at, "<u2" if len(ids) < 65_536 else "<u4").astype(np.int64)
+                    pool = np.frombuffer(b"".join(x["ids"] for x in ids), "<i4")
+                    sizes = np.array([len(x["ids"]) // 4 for x in ids], np.int64)
+                    turn = np.empty(len(ids), np.int64)
+                    turn[[x["place"] for x in ids]] = np.arange(len(ids))
+                    begins = (np.cumsum(sizes) - sizes)[turn]
+                    each = sizes[turn][word_of]
+                    ends = np.cumsum(each)
+                    flat = pool[np.repeat(begins[word_of] - (ends - each), each) + np.arange(int(ends[-1]))]
+                    cuts = np.concatenate([[0], ends])[cuts]
+                out = pd.DataFrame({"key": pd.Series(list(docs), dtype=object), "ids": [flat[a:b] for a, b in zip(cuts[:-1], cuts[1:])]})
+                yield out if out["key"].isna().any() else out.infer_objects()
+
+    whole = blocks.select("block", "docs", "counts", "at").join(found, "block", "left").select("docs", "counts", "at", "ids")
+    ids = whole.mapInPandas(assemble, f"key {key_type}, ids array<int>")
     return ids.select(F.col("key").alias(key), "ids")
 
 
