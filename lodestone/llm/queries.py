@@ -61,6 +61,15 @@ def p3_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return splitting.split_oversized(table(spark, folder, "doc_chunks"))
 
 
+@query(
+    """SELECT project_id, count(*) AS chunks, sum(n)::BIGINT AS code_points, 0::BIGINT AS over_limit, 0::BIGINT AS gaps, 0::BIGINT AS long_overlaps FROM (
+        SELECT DISTINCT project_id, id, length(content) AS n FROM doc_chunks WHERE length(content) > 3600) GROUP BY project_id"""
+)
+def p3_cover(spark: SparkSession, folder: str) -> DataFrame:
+    """What the pieces of oversized chunks cover, and how many break a rule: none may."""
+    return splitting.coverage(splitting.split_oversized(table(spark, folder, "doc_chunks")))
+
+
 @query()
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     """Documents that hold a test passage, with the item given away."""

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.operators.markdown import atx_heading, fence_states
@@ -100,17 +100,23 @@ def _heading(lines: list[str], states: list[str]) -> list[str]:
     return out
 
 
-def split_text(text: str) -> tuple[list[int], list[tuple[int, int, int, int, str]]]:
-    """Boundary lines, and of each piece its range, first and last line (all from 0) and heading within the text."""
-    lines = re.findall(r"[^\n]*\n|[^\n]+\Z", text)
-    starts = np.concatenate([[0], np.cumsum([len(x) for x in lines])])[:-1].astype(np.int64)
-    found = boundaries(lines)
-    headings = _heading(lines, fence_states(lines))
-    out = []
-    for begin, end in cut_points(text, starts[found], starts[1:]):
-        first, last = (int(np.searchsorted(starts, p, "right")) - 1 for p in (begin, end - 1))
-        out.append((begin, end, first, last, headings[first]))
-    return found, out
+class Splitting:
+    """A text on its way to pieces: first the candidates, the natural boundaries that cuts snap to, then, if asked for, the pieces."""
+
+    def __init__(self, text: str) -> None:
+        self.text = text
+        self.lines = re.findall(r"[^\n]*\n|[^\n]+\Z", text)
+        self.starts = np.concatenate([[0], np.cumsum([len(x) for x in self.lines])])[:-1].astype(np.int64)
+        self.candidates = boundaries(self.lines)
+
+    def pieces(self) -> list[tuple[int, int, int, int, str]]:
+        """Of each piece its range, first and last line (all from 0) and heading within the text."""
+        headings = _heading(self.lines, fence_states(self.lines))
+        out = []
+        for begin, end in cut_points(self.text, self.starts[self.candidates], self.starts[1:]):
+            first, last = (int(np.searchsorted(self.starts, p, "right")) - 1 for p in (begin, end - 1))
+            out.append((begin, end, first, last, headings[first]))
+        return out
 
 
 def _over(rows: DataFrame, keys: list[str], schema: str, run) -> DataFrame:  # noqa: ANN001
@@ -119,7 +125,8 @@ def _over(rows: DataFrame, keys: list[str], schema: str, run) -> DataFrame:  # n
 
 
 def boundary_lines(chunks: DataFrame) -> DataFrame:
-    """id, line_no: the lines, counted from the row's start_line, at which a piece of an oversized chunk may begin.
+    """id, line_no: the lines, counted from the row's start_line, at which a piece of an oversized chunk may begin: the candidates
+    that content-defined chunking snaps its landmarks to. Which of them are cut at depends on the landmarks and is in `split_oversized`.
 
     Repeated rows of an id give its lines once; a null start_line counts as 1, a null id as an id.
     """
@@ -128,7 +135,7 @@ def boundary_lines(chunks: DataFrame) -> DataFrame:
         for batch in batches:
             ids, numbers = [], []
             for key, start, text in zip(batch["id"], batch["start_line"].fillna(1), batch["content"]):
-                found, _ = split_text(text)
+                found = Splitting(text).candidates
                 ids += [key] * len(found)
                 numbers += [int(start) + i for i in found]
             yield pd.DataFrame({"id": pd.Series(ids, dtype=object), "line_no": pd.Series(numbers, dtype="int64")})
@@ -151,7 +158,7 @@ def split_oversized(chunks: DataFrame) -> DataFrame:
             out = []
             for *head, heading, start, text in batch.itertuples(index=False, name=None):
                 start = 1 if pd.isna(start) else int(start)
-                for n, (begin, end, first, last, inner) in enumerate(split_text(text)[1], 1):
+                for n, (begin, end, first, last, inner) in enumerate(Splitting(text).pieces(), 1):
                     name = " > ".join(x for x in (heading, inner) if x) or None
                     out.append((*head, n, name, start + first, start + last, begin, text[begin:end]))
             frame = pd.DataFrame(out, columns=[*names, "piece", "heading", "start_line", "end_line", "begin", "content"])
@@ -159,3 +166,17 @@ def split_oversized(chunks: DataFrame) -> DataFrame:
 
     schema = "project_id string, id string, generation bigint, file_hash string, piece int, heading string, start_line bigint, end_line bigint, begin int, content string"
     return _over(chunks, [*names, "heading", "start_line", "content"], schema, run)
+
+
+def coverage(pieces: DataFrame) -> DataFrame:
+    """project_id, chunks, code_points (covered), over_limit, gaps, long_overlaps (pieces that break a rule) of the pieces of `split_oversized`; repeated rows count once."""
+    size = F.char_length("content")
+    once = pieces.select("project_id", "id", "piece", "begin", (F.col("begin") + size).alias("end"), size.alias("size")).distinct()
+    before = F.lag("end").over(Window.partitionBy("project_id", "id").orderBy("piece"))
+    marked = once.withColumn("before", F.coalesce(before, F.lit(0)))
+    chunks = marked.groupBy("project_id", "id").agg(
+        F.max("end").alias("n"), F.count_if(F.col("size") > LIMIT).alias("over"), F.count_if(F.col("begin") > F.col("before")).alias("gaps"), F.count_if(F.col("before") - F.col("begin") > OVERLAP).alias("long")
+    )
+    return chunks.groupBy("project_id").agg(
+        F.count("*").alias("chunks"), F.sum("n").alias("code_points"), F.sum("over").alias("over_limit"), F.sum("gaps").alias("gaps"), F.sum("long").alias("long_overlaps")
+    )

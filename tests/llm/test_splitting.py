@@ -20,7 +20,8 @@ def make(seed, blank="\n\n"):
 @pytest.mark.parametrize("seed", range(12))
 def test_pieces_cover_the_text_within_the_limit(seed):
     text = make(seed, "\r\n \r\n" if seed % 3 == 0 else "\n\n") if seed % 4 else "y" * 9000
-    found, pieces = splitting.split_text(text)
+    whole = splitting.Splitting(text)
+    found, pieces = whole.candidates, whole.pieces()
     starts = [0]
     for line in text.split("\n")[:-1]:
         starts.append(starts[-1] + len(line) + 1)
@@ -46,7 +47,7 @@ def test_an_edit_alters_only_neighbouring_pieces():
         text = "\n\n".join(make(seed + 100 * i) for i in range(3))
         at = len(text) // 2
         edited = text[:at] + " put in here " + text[at:]
-        before, after = ({t[a:b] for a, b, *_ in splitting.split_text(t)[1]} for t in (text, edited))
+        before, after = ({t[a:b] for a, b, *_ in splitting.Splitting(t).pieces()} for t in (text, edited))
         changed.append(len(before - after))
     assert sum(changed) / len(changed) <= 3
 
@@ -57,7 +58,9 @@ def test_rows_of_all_sorts(spark):
     df = spark.createDataFrame(rows, SCHEMA)
     lines = [tuple(r) for r in splitting.boundary_lines(df).collect()]
     assert len(lines) == len(set(lines)) and {k for k, _ in lines} == {"a"}
-    assert sorted(n for _, n in lines) == [10 + i for i in splitting.split_text(long)[0]]
+    assert sorted(n for _, n in lines) == [10 + i for i in splitting.Splitting(long).candidates]
     pieces = splitting.split_oversized(df).collect()
     assert {(r.id, r.piece, len(r.content), r.heading, r.start_line) for r in pieces if r.id in ("b", None)} >= {("b", 1, 3600, "T", 1), (None, 1, 3600, None, 1)}
+    (total,) = splitting.coverage(splitting.split_oversized(df)).collect()
+    assert tuple(total) == ("p", 3, len(long) + 3601 + 4000, 0, 0, 0)
     assert splitting.boundary_lines(spark.createDataFrame([], SCHEMA)).count() == splitting.split_oversized(spark.createDataFrame([], SCHEMA)).count() == 0
