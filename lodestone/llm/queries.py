@@ -37,6 +37,16 @@ def p2_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return neighbours.nearest(table(spark, folder, "doc_chunks").select("chunk_hash", "embedding"), "chunk_hash", "embedding")
 
 
+@query(
+    """WITH v AS (SELECT chunk_hash FROM doc_chunks WHERE chunk_hash IS NOT NULL AND len(embedding) = 64 AND list_aggregate(list_transform(embedding, lambda x: abs(x)), 'sum') > 0 GROUP BY 1)
+    SELECT true AS asked_enough, true AS found_enough WHERE (SELECT count(*) FROM v) > 0"""
+)
+def p2_recall(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether at least 95 in 100 of the true five nearest are found, measured on a fiftieth of all hashes as queries against all vectors."""
+    found = neighbours.measured_recall(table(spark, folder, "doc_chunks").select("chunk_hash", "embedding"), "chunk_hash", "embedding")
+    return found.select((F.col("queries") > 0).alias("asked_enough"), (F.col("found") >= 0.95 * F.col("pairs")).alias("found_enough"))
+
+
 @query()
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     """The ids of every document by byte_bpe_50k."""

@@ -57,3 +57,33 @@ def test_few_vectors(spark):
     assert neighbours.nearest(spark.createDataFrame([("a", [1.0, 2.0], 1)], SCHEMA), "h", "v").count() == 0
     two = neighbours.nearest(spark.createDataFrame([("a", [1.0, 2.0], 1), ("b", [1.0, 2.0], 1)], SCHEMA), "h", "v").collect()
     assert sorted((r.key, r.other, round(r.similarity, 3)) for r in two) == [("a", "b", 1.0), ("b", "a", 1.0)]
+
+
+def test_two_sets_of_centroids(spark, data, monkeypatch):
+    monkeypatch.setattr(neighbours, "COARSE_CELLS", 6)
+    monkeypatch.setattr(neighbours, "BLOCK_ROWS", 60)
+    rows = [d for d in data if d[1] and len(d[1]) == 64 and not np.isnan(d[1][0])]
+    got = {}
+    for r in neighbours.nearest(spark.createDataFrame(rows, SCHEMA), "h", "v", 5, cell_rows=50).collect():
+        got.setdefault(r.key, {})[r.other] = r.similarity
+    want = brute(rows, 5)
+    hits = sum(o in got[k] or any(abs(s - x) < 1e-3 for x in got[k].values()) for k, v in want.items() for o, s in v)
+    assert hits >= 0.9 * 5 * len(want)
+
+
+def test_a_third_of_all_vectors_are_equal(spark):
+    rng = np.random.default_rng(3)
+    rows = [(f"a{i:03d}", rng.standard_normal(64).tolist(), 1) for i in range(200)] + [(f"b{i:03d}", [1.0] * 64, 1) for i in range(100)] + [("c0", [2.0, 1.0] * 32, 1), ("c1", [4.0, 2.0] * 32, 1)]
+    got = {}
+    for r in neighbours.nearest(spark.createDataFrame(rows, SCHEMA), "h", "v", 3, cell_rows=60).collect():
+        got.setdefault(r.key, []).append((r.other, round(r.similarity, 3)))
+    assert {len(v) for v in got.values()} == {3} and len(got) == 302
+    assert sorted(got["b007"]) == [("b000", 1.0), ("b001", 1.0), ("b002", 1.0)] and sorted(got["b001"])[0] == ("b000", 1.0)
+    assert {("c1", 1.0), ("b000", 0.949), ("b001", 0.949)} == set(got["c0"])
+    assert neighbours.similar_pairs(spark.createDataFrame(rows, SCHEMA), "h", "v", 3).where("hash_a = 'b000' AND hash_b = 'b001'").count() == 1
+
+
+def test_measured_recall(spark, data):
+    (found,) = neighbours.measured_recall(spark.createDataFrame(data, SCHEMA), "h", "v", 5, share=10).collect()
+    assert found.queries > 100 and found.pairs == 5 * found.queries and found.found >= 0.95 * found.pairs
+    assert neighbours.measured_recall(spark.createDataFrame([], SCHEMA), "h", "v").collect()[0].queries == 0
