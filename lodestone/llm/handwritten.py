@@ -1,21 +1,23 @@
 """Files that nobody wrote by hand: generated, minified, third-party copies and data saved as code.
 
 Identifier models are trained on the whole table, one for each language: counts of character trigrams of
-each file's distinct identifiers. A file whose names are unlikely under its language's model (mean bits a
-character) has mangled names; a file that is long but has hardly any names besides its literals is data;
-names that repeat one template with little diversity are generated; names in another style than nearly
-all of the language's are foreign. Paths and header comments are judged as well, and texts that equal a
-third-party file but for comments and white space are its copies.
+each file's distinct identifiers, how many different trigrams a file of its size has, and the styles of
+its names. A file whose names are unlikely under its language's model (mean bits a character) has mangled
+names; names that repeat templates, so that they have few different trigrams for the language, are
+generated; names in another style than nearly all of the language's are foreign. A file that is long but
+has hardly any names besides its literals is data. Paths and header comments are judged as well, and texts
+that equal a third-party file but for comments and white space are its copies.
 """
 
 from __future__ import annotations
 
 import hashlib
-import math
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,11 +28,15 @@ from lodestone.session import cut_lineage
 MANGLED_TIMES, LEAST_NAMES = 1.5, 20
 #: Share of a text's characters in names below which a text of at least so many characters is data.
 DATA_SHARE, DATA_CHARS = 0.06, 300
-#: Share of names that one template covers, and share of names in a style that is otherwise rarer than RARE_STYLE.
-TEMPLATE_SHARE, FOREIGN_SHARE, RARE_STYLE = 0.9, 0.9, 0.05
-#: Languages with a model of their own; the model has at most 39 ** 3 trigrams a language.
-MAX_LANGUAGES = 64
+#: Part of the language's mean diversity below which names are generated (the mean is of distinct trigrams over all trigrams to the power GROWTH, at
+#: which their number grows with a text), and share of names in a style that is otherwise rarer than RARE_STYLE.
+LOW_DIVERSITY, GROWTH = 0.45, 0.75
+FOREIGN_SHARE, RARE_STYLE = 0.9, 0.05
+#: The languages with most names have a model of their own, all others one together. A model is 31 ** 3 numbers of 4 bytes, so all are at most 8 MB.
+OWN_MODELS = 64
 HEAD_LINES = 20
+#: Keys of files that may be sent to every task; more are met by a shuffle.
+SENT_KEYS = 200_000
 #: Names a task remembers before it settles or forgets them.
 CACHED_NAMES = 200_000
 
@@ -49,6 +55,9 @@ _STRINGS = re.compile(r"\"\"\".*?\"\"\"|'''.*?'''|`[^`]*`|\"(?:[^\"\\\n]|\\.)*\"
 _COMMENTS = re.compile(r"//[^\n]*|/\*.*?\*/|^\s*#[^\n]*", re.S | re.M)
 _NUMBERS = re.compile(r"(?<![A-Za-z_$])(?:0[xX][0-9a-fA-F_]+|\d[\w.]*)")
 _NAME = re.compile(r"[A-Za-z_$][\w$]*")
+#: Signs of trigrams: 0 and 1 for the ends.
+SIGNS = 31
+_SIGN = {"_": 2, "$": 2} | {c: 3 for c in "0123456789"} | {chr(97 + i): 4 + i for i in range(26)}
 #: Fixed: words of the languages themselves, which say nothing of naming.
 _KEYWORDS = set(
     "abstract and as assert async await bool boolean break byte case catch chan char class const continue def default defer del delete do elif else enum err error except export extends false final finally float for "
@@ -64,9 +73,20 @@ def names_of(text: str) -> tuple[list[str], int]:
     return names, sum(map(len, names))
 
 
-def trigrams(name: str) -> list[str]:
-    padded = f"^^{re.sub(r'[0-9]', '0', name.lower().replace('$', '_'))}$"
-    return [padded[i : i + 3] for i in range(len(padded) - 2)]
+@lru_cache(maxsize=CACHED_NAMES)
+def trigrams(name: str) -> tuple[int, ...]:
+    """Numbers below SIGNS ** 3 of the trigrams of a name: letters, one sign for all digits, one for "_" and "$", the ends, and one for everything else."""
+    signs = [0, 0, *(_SIGN.get(c, SIGNS - 1) for c in name.lower()), 1]
+    return tuple(a * SIGNS * SIGNS + b * SIGNS + c for a, b, c in zip(signs, signs[1:], signs[2:]))
+
+
+def diversity(names: set[str]) -> float:
+    """Different trigrams of the names, for their number; about the same for texts of all lengths."""
+    grams = [g for n in names for g in trigrams(n)]
+    return len(set(grams)) / len(grams) ** GROWTH
+
+
+STYLES = ["upper", "snake", "camel", "pascal"]
 
 
 def style_of(name: str) -> str:
@@ -81,7 +101,7 @@ def style_of(name: str) -> str:
 
 
 def train(files: DataFrame) -> DataFrame:
-    """language, kind ("gram" or "style"), key, n: counts over the distinct identifiers of every file.
+    """language, kind ("gram", "style" or "file"), key, n: counts over the distinct identifiers of every file, and files with their diversities added up (in thousandths).
 
     Each task adds up its own counts before the shuffle, so that a language holding most files sends no more than its alphabet allows.
     """
@@ -94,64 +114,60 @@ def train(files: DataFrame) -> DataFrame:
                 for g in trigrams(name):
                     total[language, "gram", g] += n
                 if style := style_of(name):
-                    total[language, "style", style] += n
+                    total[language, "style", STYLES.index(style)] += n
             seen.clear()
 
         for batch in batches:
             for language, text in zip(batch["language"], batch["text"]):
-                seen.update((language, name) for name in set(names_of(text)[0]) if name.isascii())
+                names = set(names_of(text)[0])
+                seen.update((language, name) for name in names)
+                if len(names) >= LEAST_NAMES:
+                    total[language, "file", 0] += 1
+                    total[language, "file", 1] += round(1000 * diversity(names))
                 if len(seen) > CACHED_NAMES:
                     settle()
         settle()
         yield pd.DataFrame([(*k, n) for k, n in total.items()], columns=["language", "kind", "key", "n"])
 
-    counted = files.select(F.coalesce("language", F.lit("")).alias("language"), "text").mapInPandas(count, "language string, kind string, key string, n bigint")
+    counted = files.select(F.coalesce("language", F.lit("")).alias("language"), "text").mapInPandas(count, "language string, kind string, key int, n bigint")
     return counted.groupBy("language", "kind", "key").agg(F.sum("n").alias("n"))
 
 
 class Models:
-    """Trigram models and style shares by language."""
+    """Trigram models, mean diversities and style shares by language; None stands for all languages without a model of their own."""
 
-    def __init__(self, rows: list[tuple[str, str, str, int]]) -> None:
-        self.gram: dict[str, Counter] = defaultdict(Counter)
-        self.start: dict[str, Counter] = defaultdict(Counter)
-        styles: dict[str, Counter] = defaultdict(Counter)
+    def __init__(self, rows: Iterable[tuple[str | None, str, int, int]]) -> None:
+        counts: dict[str | None, np.ndarray] = defaultdict(lambda: np.zeros(SIGNS**3, np.float64))
+        styles: dict[str | None, Counter] = defaultdict(Counter)
+        files: dict[str | None, Counter] = defaultdict(Counter)
         for language, kind, key, n in rows:
             if kind == "gram":
-                self.gram[language][key] += n
-                self.start[language][key[:2]] += n
+                counts[language][key] += n
             else:
-                styles[language][key] += n
-        self.styles = {lang: {s: n / max(1, sum(c.values())) for s, n in c.items()} for lang, c in styles.items()}
-
-        self.known: dict[tuple[str, str], float] = {}
-        self.mean = {lang: self._mean(lang) for lang in self.gram}
-
-    def _mean(self, language: str) -> float:
-        """Cross-entropy of the language's own names."""
-        gram, start = self.gram[language], self.start[language]
-        return -sum(n * math.log2((n + 0.05) / (start[g[:2]] + 0.05 * 39)) for g, n in gram.items()) / max(1, sum(gram.values()))
-
-    def bits(self, language: str, name: str) -> float:
-        """Mean bits a character of the name, with add-0.05 smoothing over 39 characters."""
+                (styles if kind == "style" else files)[language][key] += n
+        self.styles = {lang: {STYLES[s]: n / max(1, sum(c.values())) for s, n in c.items()} for lang, c in styles.items()}
+        self.diversity = {lang: c[1] / 1000 / max(1, c[0]) for lang, c in files.items()}
+        self.bits_of: dict[str | None, np.ndarray] = {}
+        self.mean: dict[str | None, float] = {}
+        self.known: dict[tuple[str | None, str], float] = {}
+        for language, n in counts.items():
+            start = np.repeat(n.reshape(-1, SIGNS).sum(1), SIGNS)
+            bits = -np.log2((n + 0.05) / (start + 0.05 * SIGNS))  # add-0.05 smoothing
+            self.bits_of[language], self.mean[language] = bits.astype(np.float32), float((bits * n).sum() / max(1, n.sum()))
+
+    def own(self, language: str) -> str | None:
+        return language if language in self.bits_of else None
+
+    def bits(self, language: str | None, name: str) -> float:
+        """Mean bits a character of the name."""
         if (known := self.known.get((language, name))) is not None:
             return known
         if len(self.known) > CACHED_NAMES:
             self.known.clear()
-        gram, start, grams = self.gram[language], self.start[language], trigrams(name)
-        found = -sum(math.log2((gram[g] + 0.05) / (start[g[:2]] + 0.05 * 39)) for g in grams) / len(grams)
-        self.known[language, name] = found
+        found = self.known[language, name] = float(self.bits_of[language][list(trigrams(name))].mean())
         return found
 
 
-def template_share(names: list[str]) -> float:
-    """Largest share of the distinct names that differ in nothing but numbers."""
-    distinct = set(names)
-    if len(distinct) < LEAST_NAMES:
-        return 0.0
-    return max(Counter(re.sub(r"\d+", "0", n) for n in distinct).values()) / len(distinct)
-
-
 def judge_path(path: str) -> str | None:
     if THIRD_PARTY.search(path):
         return "vendored"
@@ -182,24 +198,24 @@ def judge_head(text: str) -> str | None:
 
 
 def judge_names(text: str, language: str, models: Models) -> str | None:
+    """By the names alone. Languages that no model knows are judged as data or not at all."""
     names, size = names_of(text)
     if len(text) >= DATA_CHARS and size < DATA_SHARE * len(text):
         return "data"
-    if len(names) < LEAST_NAMES:
+    language = models.own(language)
+    if len(names) < LEAST_NAMES or language not in models.bits_of:
         return None
     counts = Counter(names)
-    mangled = sum(models.bits(language, n) * k for n, k in counts.items()) / len(names)
-    if mangled > MANGLED_TIMES * models.mean.get(language, math.inf):
-        return "minified"
-    if template_share(names) > TEMPLATE_SHARE:
+    if len(counts) >= LEAST_NAMES and diversity(set(counts)) < LOW_DIVERSITY * models.diversity.get(language, 0.0):
         return "generated"
-    if language not in models.styles:  # nothing is known of what is usual in it
-        return None
     styles = Counter(s for n in counts if (s := style_of(n)))
-    usual = models.styles[language]
+    usual = models.styles.get(language, {}) if language is not None else {s: 1 for s in STYLES}  # of several languages nothing is foreign
     foreign = sum(n for s, n in styles.items() if usual.get(s, 0) < RARE_STYLE)
-    if styles and sum(styles.values()) >= LEAST_NAMES and foreign > FOREIGN_SHARE * sum(styles.values()):
+    if sum(styles.values()) >= LEAST_NAMES and foreign > FOREIGN_SHARE * sum(styles.values()):
         return "vendored"
+    mangled = sum(models.bits(language, n) * k for n, k in counts.items()) / len(names)
+    if mangled > MANGLED_TIMES * models.mean[language]:
+        return "minified"
     return None
 
 
@@ -214,8 +230,12 @@ def file_texts(units: DataFrame) -> DataFrame:
     some = units.where("path IS NOT NULL").select("project_id", "path", "language", F.coalesce("source", F.lit("")).alias("text"), (F.col("kind") == "file").alias("whole"))
     whole = some.where("whole")
     key = ["project_id", "path"]
-    lacking = some.where("NOT coalesce(whole, false)").join(whole.where("text <> ''").select(*key).distinct(), key, "left_anti")
-    return whole.unionByName(lacking).select(*key, "language", "text")
+    parts = some.where("NOT coalesce(whole, false)")
+    lacking = cut_lineage(parts.select(*key).distinct().join(whole.where("text <> ''").select(*key).distinct(), key, "left_anti"))  # keys alone; no text moves
+    if lacking.count() <= SENT_KEYS:
+        lacking = F.broadcast(lacking)
+    same = parts["path"].eqNullSafe(lacking["path"]) & parts["project_id"].eqNullSafe(lacking["project_id"])
+    return whole.unionByName(parts.join(lacking, same, "left_semi")).select(*key, "language", "text")
 
 
 def judge(units: DataFrame) -> DataFrame:
@@ -226,10 +246,13 @@ def judge(units: DataFrame) -> DataFrame:
     """
     texts = file_texts(units)
     counted = cut_lineage(train(texts.where("text <> ''")))
-    top = [r["language"] for r in counted.groupBy("language").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "language").limit(MAX_LANGUAGES).collect()]
-    models = Models([tuple(r) for r in counted.where(F.col("language").isin(top)).collect()]) if top else Models([])
+    top = [r["language"] for r in counted.groupBy("language").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "language").limit(OWN_MODELS).collect()]
+    name = F.when(F.col("language").isin(top), F.col("language")) if top else F.lit(None).cast("string")
+    rows = counted.groupBy(name.alias("language"), "kind", "key").agg(F.sum("n").alias("n")).toArrow()  # at most a model's numbers a language
+    sent = units.sparkSession.sparkContext.broadcast(Models(zip(*(rows[c].to_pylist() for c in ("language", "kind", "key", "n")))))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        models = sent.value
         for batch in batches:
             out = []
             for project, path, language, text in batch.itertuples(index=False, name=None):

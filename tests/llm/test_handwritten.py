@@ -52,3 +52,22 @@ def test_marks_below_a_long_licence_and_languages_without_a_model():
     assert h.judge_head("package a\n" * 25 + "// Code generated by stringer. DO NOT EDIT.\n") is None
     names = "first_cat second_dog third_bird fourth_fish blue_sky green_leaf red_rose old_house new_road deep_lake tall_tree cold_wind warm_fire wide_field long_river soft_sand hard_rock dark_cave late_night early_dawn".split()
     assert h.judge_names("\n".join(names), "cobol", h.Models([])) is None
+    assert h.judge_names(plain(1), "ada", h.Models([("go", "gram", 5, 9)])) is None
+
+
+def test_the_models_decide_where_paths_and_headers_say_nothing(spark):
+    rng = random.Random(4)
+    made = "\n".join(f"  get{a}{b}Value() {{ return this.field{a}{b}; }}" for a in ("Left", "Right") for b in range(20))
+    foreign = "\n".join(f"  let {rng.choice(VERBS)}_{rng.choice(NOUNS)}_{rng.choice(NOUNS)} = {rng.choice(NOUNS)}_{rng.choice(VERBS)};" for _ in range(60))
+    rows = [("p", f"src/f{i}.ts", "typescript", "file", plain(i) + plain(i + 500), "x") for i in range(80)]
+    rows += [("p", f"src/g{i}.py", "python", "file", plain(i).replace("function", "def"), "x") for i in range(40)]
+    rows += [("p", "src/one.ts", "typescript", "file", made, "x"), ("p", "src/two.ts", "typescript", "file", foreign, "x"), ("p", "src/three.ts", "typescript", "file", minified(5), "x")]
+    found = {r.path: r.reason for r in handwritten.judge(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert found == {"src/one.ts": "generated", "src/two.ts": "vendored", "src/three.ts": "minified"}
+
+
+def test_languages_beyond_the_first_share_a_model(spark, monkeypatch):
+    monkeypatch.setattr(handwritten, "OWN_MODELS", 1)
+    rows = [("p", f"src/f{i}.ts", "typescript", "file", plain(i) + plain(i + 500), "x") for i in range(60)] + [("p", f"lib/f{i}.x", f"l{i % 3}", "file", plain(i), "x") for i in range(30)]
+    rows += [("p", "lib/odd.x", "l1", "file", minified(5), "x"), ("p", "lib/part.x", "l1", "function", minified(6), "x"), ("p", "src/f1.ts", "typescript", "function", minified(7), "x")]
+    assert {r.path: r.reason for r in handwritten.judge(spark.createDataFrame(rows, SCHEMA)).collect()} == {"lib/odd.x": "minified", "lib/part.x": "minified"}
