@@ -17,12 +17,15 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
+from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,8 +35,8 @@ from lodestone.session import cut_lineage
 SHARE = 0.25
 #: Numbers that terms are hashed to. With 12 subjects the table of a fit is at most 2 ** 18 x 20 numbers of 4 bytes (21 MB), whatever the corpus.
 SLOTS = 2**18
-#: Topics besides the subjects' own, passes over all documents, and rounds of estimating a document's proportions.
-BACKGROUND, PASSES, INNER = 8, 4, 5
+#: Topics besides the subjects' own, passes over all documents, and rounds of estimating a document's proportions while fitting and at last.
+BACKGROUND, PASSES, FITTING, INNER = 8, 4, 3, 5
 #: Priors of a document's proportions (subjects', background's) and of a topic's terms.
 PRIOR_SUBJECT, PRIOR_BACKGROUND, PRIOR_TERM = 0.02, 1.0, 0.01
 #: Times a label counts as a word of its document, and times the expected frequency that a subject's first terms must exceed.
@@ -52,9 +55,9 @@ STOPWORDS = {
     "es": set("el la los las no se de que y en una un con para si antes este esta esta por del al cada su más como".split()),
     "en": set("the and of is a to in for this that not are be with it on by as was from or we".split()),
 }
-_CODE = re.compile(r"`[^`\n]*`|\w+://\S+|\[\[[^\]\n]*\]\]|<[^<>\n]{1,200}>|\b\w*[_\d]\w*\b|&\w+;")
-#: Words, and ends of sentences.
-_TOKEN = re.compile(r"[^\W\d_]+|[.!?](?=\s)|[\n\r]|[。！？；]")
+_CODE = re.compile(r"`[^`\n]*`|\w+://\S+|\[\[[^\]\n]*\]\]|<[^<>\n]{1,200}>|&\w+;")
+#: Words, names and numbers, and ends of sentences.
+_TOKEN = re.compile(r"\w+|[.!?](?=\s)|[\n\r]|[。！？；]")
 _HAN = re.compile(r"[㐀-鿿]")
 _HIDDEN = re.compile("[­​-‏⁠﻿\x00-\x08\x0b-\x1f]")
 
@@ -71,58 +74,67 @@ def sentences_of(text: str) -> tuple[str, list[list[str]]]:
     if han * 5 > len(re.sub(r"\s", "", text)):
         language = "zh"
     else:
-        language = max(("en", "de", "es"), key=lambda x: sum(t in STOPWORDS[x] for t in tokens))
-    out: list[list[str]] = [[]]
+        language = max(("en", "de", "es"), key=lambda x: sum(map(STOPWORDS[x].__contains__, tokens)))
+    out: list[list[str]] = []
+    sentence: list[str] = []
     for t in tokens:
-        if not t[0].isalpha():
-            out.append([])
-        elif han and _HAN.match(t):
-            out[-1] += [t[i : i + 2] for i in range(len(t) - 1)]
-        elif len(t) > 2:
-            out[-1].append(t)
-    return language, [s for s in out if s]
-
-
-class _Numbers:
-    """Numbers of terms, with those met lately remembered."""
-
-    def __init__(self) -> None:
-        self.known: dict[str, dict[str, int]] = defaultdict(dict)
-
-    def of(self, language: str, sentence: list[str]) -> list[int]:
+        if t.isalpha():
+            if han and _HAN.match(t):
+                sentence += [t[i : i + 2] for i in range(len(t) - 1)]
+            elif len(t) > 2:
+                sentence.append(t)
+        elif sentence and not (t[0].isalnum() or t[0] == "_"):
+            out.append(sentence)
+            sentence = []
+    if sentence:
+        out.append(sentence)
+    return language, out
+
+
+class _Numbers(dict):
+    """Numbers of one language's terms, with those met lately remembered."""
+
+    def __init__(self, language: str) -> None:
         import xxhash
 
-        known = self.known[language]
-        if len(known) > CACHED_TERMS:
-            known.clear()
-        out = []
-        for term in sentence:
-            if (n := known.get(term)) is None:
-                n = known[term] = xxhash.xxh3_64_intdigest(f"{language} {term}") % SLOTS
-            out.append(n)
-        return out
+        self.language, self.hash = language, xxhash.xxh3_64_intdigest
+
+    def __missing__(self, term: str) -> int:
+        if len(self) > CACHED_TERMS:
+            self.clear()
+        n = self[term] = self.hash(f"{self.language} {term}") % SLOTS
+        return n
 
 
 def encode(documents: DataFrame, given: DataFrame, subjects: list[str]) -> DataFrame:
     """doc_id, language (its number), terms (numbers, sentence by sentence), sizes (terms of each sentence), marks (subjects given by hand, from 0)."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        numbers = _Numbers()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers = {language: _Numbers(language) for language in LANGUAGES}
         for batch in batches:
-            languages, terms, sizes = [], [], []
-            for text in batch["text"]:
+            languages, terms, sizes, ends, parts = [], [], [], [0], [0]
+            for text in batch["text"].to_pylist():
                 language, sentences = sentences_of(text)
                 languages.append(LANGUAGES.index(language))
-                terms.append([n for s in sentences for n in numbers.of(language, s)])
-                sizes.append([len(s) for s in sentences])
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "language": languages, "terms": terms, "sizes": sizes})
+                terms += map(numbers[language].__getitem__, chain.from_iterable(sentences))
+                sizes += map(len, sentences)
+                ends.append(len(terms))
+                parts.append(len(sizes))
+            lists = [pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.array(values, np.int32))) for at, values in ((ends, terms), (parts, sizes))]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(languages, pa.int32()), *lists], ["doc_id", "language", "terms", "sizes"])
 
     place = F.array_position(F.array(*map(F.lit, subjects)), F.col("subject")).cast("int") - 1
     marks = given.groupBy("doc_id").agg(F.sort_array(F.collect_set(place)).alias("marks"))
-    coded = documents.where("trim(text) <> ''").select("doc_id", "text").mapInPandas(run, "doc_id bigint, language int, terms array<int>, sizes array<int>")
+    coded = documents.where("trim(text) <> ''").select("doc_id", "text").mapInArrow(run, "doc_id bigint, language int, terms array<int>, sizes array<int>")
     return coded.where("size(terms) > 0").join(marks, "doc_id", "left")
 
 
+def _lists(column: pa.Array) -> list[np.ndarray]:
+    """The numbers of each row, without a copy; a null row has none."""
+    values, ends = column.values.to_numpy(), column.offsets.to_numpy()
+    return [values[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
+
+
 class _Sums:
     """Sums of rows of numbers by term, given out in sparse chunks, so that tasks add up before the shuffle."""
 
@@ -146,6 +158,7 @@ class _Sums:
 
 
 _CHUNKS = "chunk int, terms binary, sums binary"
+_ARROW = pa.schema([("chunk", pa.int32()), ("terms", pa.binary()), ("sums", pa.binary())])
 
 
 def _add_up(parts: DataFrame, rows: int, width: int) -> np.ndarray:
@@ -164,7 +177,7 @@ def _add_up(parts: DataFrame, rows: int, width: int) -> np.ndarray:
     return out
 
 
-@dataclass(frozen=True)
+@dataclass
 class Model:
     """Weights of the terms (SLOTS, then languages x subjects label words) in the topics (subjects' first, then background), and their sums by language."""
 
@@ -172,18 +185,23 @@ class Model:
     totals: np.ndarray
     subjects: list[str]
 
-    def label_term(self, language: int, subject: int) -> int:
+    def label_term(self, language: int, subject: int | np.ndarray) -> int | np.ndarray:
         return SLOTS + language * len(self.subjects) + subject
 
+    @cached_property
     def prior(self) -> np.ndarray:
         return np.r_[np.full(len(self.subjects), PRIOR_SUBJECT), np.full(BACKGROUND, PRIOR_BACKGROUND)].astype(np.float32)
 
-    def proportions(self, language: int, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    @cached_property
+    def start(self) -> np.ndarray:
+        return self.prior / self.prior.sum()
+
+    def proportions(self, language: int, terms: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
         """Topic proportions of a document, and its terms' shares in the topics."""
-        prior = self.prior()
+        prior = self.prior
         likely = self.weights[terms] / self.totals[language]
-        theta = prior / prior.sum()
-        for _ in range(INNER):
+        theta = self.start
+        for _ in range(rounds):
             theta = prior + theta * ((1 / (likely @ theta)) @ likely)
             theta /= theta.sum()
         shares = likely * theta
@@ -213,20 +231,21 @@ def _labelled(encoded: DataFrame, subjects: list[str]) -> np.ndarray:
     """Terms x (languages, then subjects): in how many documents of the language, and of those with the label, a term is, counted with repeats."""
     size, width = len(subjects), len(LANGUAGES) + len(subjects)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = _Sums(SLOTS, width)
-        for batch in batches:
-            for at in range(0, len(batch), BLOCK_DOCS):
-                part = batch.iloc[at : at + BLOCK_DOCS]
-                head = np.zeros((len(part), width), np.float32)
-                head[np.arange(len(part)), part["language"]] = 1
-                for i, marks in enumerate(part["marks"]):
-                    if marks is not None and len(marks):
-                        head[i, len(LANGUAGES) + np.asarray(marks)] = 1 / len(marks)
-                total.add(np.concatenate(list(part["terms"])), np.repeat(head, [len(t) for t in part["terms"]], axis=0))
-        yield total.rows()
-
-    found = _add_up(encoded.select("language", "terms", "marks").mapInPandas(run, _CHUNKS), SLOTS, width)
+        for whole in batches:
+            for at in range(0, whole.num_rows, BLOCK_DOCS):
+                batch = whole.slice(at, BLOCK_DOCS)
+                terms = _lists(batch["terms"])
+                head = np.zeros((len(terms), width), np.float32)
+                head[np.arange(len(terms)), batch["language"].to_numpy()] = 1
+                for i, marks in enumerate(_lists(batch["marks"])):
+                    if len(marks):
+                        head[i, len(LANGUAGES) + marks] = 1 / len(marks)
+                total.add(np.concatenate(terms), np.repeat(head, [len(t) for t in terms], axis=0))
+        yield pa.RecordBatch.from_pandas(total.rows(), _ARROW)
+
+    found = _add_up(encoded.select("language", "terms", "marks").mapInArrow(run, _CHUNKS), SLOTS, width)
     return found if size else found[:, : len(LANGUAGES)]
 
 
@@ -260,20 +279,20 @@ def fit_topics(encoded: DataFrame, subjects: list[str], passes: int = PASSES) ->
     for _ in range(passes):
         sent = spark.sparkContext.broadcast((model.weights, model.totals))  # at most SLOTS and a few rows, see SLOTS
 
-        def run(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:  # noqa: ANN001
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
             now, total = Model(*sent.value, subjects), _Sums(rows, width)
-            for batch in batches:
-                for at in range(0, len(batch), BLOCK_DOCS):
-                    part, terms, shares = batch.iloc[at : at + BLOCK_DOCS], [], []
-                    for language, words, marks in zip(part["language"], part["terms"], part["marks"]):
-                        if marks is not None and len(marks):
-                            words = np.r_[words, np.repeat([now.label_term(language, m) for m in marks], LABEL_TIMES)]
+            for whole in batches:
+                for at in range(0, whole.num_rows, BLOCK_DOCS):
+                    batch, terms, shares = whole.slice(at, BLOCK_DOCS), [], []
+                    for language, words, marks in zip(batch["language"].to_pylist(), _lists(batch["terms"]), _lists(batch["marks"])):
+                        if len(marks):
+                            words = np.r_[words, np.repeat(now.label_term(language, marks), LABEL_TIMES)]
                         terms.append(words)
-                        shares.append(now.proportions(language, words)[1])
+                        shares.append(now.proportions(language, words, FITTING)[1])
                     total.add(np.concatenate(terms), np.concatenate(shares))
-            yield total.rows()
+            yield pa.RecordBatch.from_pandas(total.rows(), _ARROW)
 
-        sums = _add_up(encoded.select("language", "terms", "marks").mapInPandas(run, _CHUNKS), rows, width)
+        sums = _add_up(encoded.select("language", "terms", "marks").mapInArrow(run, _CHUNKS), rows, width)
         sent.destroy()
         model = _model(sums, language_of_term, subjects)
     return model
@@ -284,20 +303,23 @@ def assign(encoded: DataFrame, model: Model) -> DataFrame:
     subjects = model.subjects
     sent = encoded.sparkSession.sparkContext.broadcast((model.weights, model.totals, model.subject_of_topics()))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, totals, meaning = sent.value
         now = Model(weights, totals, subjects)
         for batch in batches:
-            out = []
-            for key, language, terms, sizes in zip(batch["doc_id"], batch["language"], batch["terms"], batch["sizes"]):
-                shares = now.proportions(language, terms)[1] @ meaning[language]
+            out: list[tuple[int, str, float]] = []
+            for key, language, terms, sizes in zip(batch["doc_id"].to_pylist(), batch["language"].to_pylist(), _lists(batch["terms"]), _lists(batch["sizes"])):
+                shares = now.proportions(language, terms, INNER)[1] @ meaning[language]
                 held = np.add.reduceat(shares, np.cumsum(sizes) - sizes, axis=0)
                 about = (held >= BEARING) & (held >= NEARLY * held.max(1, keepdims=True))
-                bearing, count = int(about.any(1).sum()), about.sum(0)
-                out += [(key, subjects[s], count[s] / bearing) for s in np.flatnonzero((count > 0) & (count >= SHARE * bearing - 1e-9))]
-            yield pd.DataFrame(out, columns=["doc_id", "subject", "share"])
+                count = about.sum(0)
+                if count.any():
+                    bearing = int(about.any(1).sum())
+                    out += [(key, subjects[s], count[s] / bearing) for s in np.flatnonzero((count > 0) & (count >= SHARE * bearing - 1e-9))]
+            keys, names, parts = zip(*out) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(names, pa.string()), pa.array(parts, pa.float64())], ["doc_id", "subject", "share"])
 
-    return encoded.select("doc_id", "language", "terms", "sizes").mapInPandas(run, "doc_id bigint, subject string, share double")
+    return encoded.select("doc_id", "language", "terms", "sizes").mapInArrow(run, "doc_id bigint, subject string, share double")
 
 
 def _subject_names(subjects: DataFrame) -> list[str]:
@@ -357,12 +379,12 @@ def topic_terms(documents: DataFrame, subjects: DataFrame, labels: DataFrame, mo
     wanted = {(r[0], r[4]) for r in listed}  # topics x most
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        numbers, total = _Numbers(), Counter()
+        numbers, total = {language: _Numbers(language) for language in LANGUAGES}, Counter()
         for batch in batches:
             for text in batch["text"]:
                 language, sentences = sentences_of(text)
                 for s in sentences:
-                    total.update((language, x, term) for x, term in zip(numbers.of(language, s), s) if (language, x) in wanted)
+                    total.update((language, x, term) for term in s if (language, x := numbers[language][term]) in wanted)
         yield pd.DataFrame([(*k, n) for k, n in total.items()], columns=["language", "number", "term", "n"])
 
     counted = documents.where("trim(text) <> ''").select("text").mapInPandas(count, "language string, number int, term string, n bigint")
