@@ -96,21 +96,31 @@ def resolve_names(units: DataFrame, terms: DataFrame) -> DataFrame:
     return asked.select("project_id", "term", name.alias("tier"), found.alias("id"))
 
 
-def reverse_closure(links: DataFrame, seeds: DataFrame, rounds: int = 10_000) -> DataFrame:
+#: Rounds of a closure after which what was found is put together.
+TOGETHER = 8
+
+
+def reverse_closure(links: DataFrame, seeds: DataFrame, rounds: int | None = None) -> DataFrame:
     """group, node: the seeds and everything that depends on them, through (group, node, depends_on), cycles included.
 
-    Each round joins only the nodes that are new; lineage is cut as the closure grows. Null ends are ignored.
+    Each round joins and writes only the nodes that are new. Null ends are ignored. It ends when nothing is new; a chain of
+    more than `rounds`, if given, is an error, never a part of the closure.
     """
     back = links.where("node IS NOT NULL AND depends_on IS NOT NULL").select("group", "node", "depends_on").distinct()
     known = cut_lineage(seeds.select("group", "node").where("node IS NOT NULL").distinct())
-    front = known
-    for _ in range(rounds):
+    back = cut_lineage(back)
+    front, done = known, 0
+    while True:
         reached = front.withColumnRenamed("node", "depends_on").join(back, ["group", "depends_on"]).select("group", "node").distinct()
         front = cut_lineage(reached.join(known, ["group", "node"], "left_anti"))
         if front.isEmpty():
-            break
-        known = cut_lineage(known.unionByName(front))
-    return known
+            return known
+        done += 1
+        if rounds is not None and done > rounds:
+            raise ValueError(f"the closure isn't complete after {rounds} rounds")
+        known = known.unionByName(front)
+        if done % TOGETHER == 0:
+            known = cut_lineage(known)
 
 
 def path_imports(edges: DataFrame, units: DataFrame) -> DataFrame:

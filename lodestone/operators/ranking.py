@@ -3,33 +3,39 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.scalars import base_name
+from lodestone.session import cut_lineage
 
 #: Fixed values of the ranking.
 RRF_K, PER_PATH, CANDIDATE_TOKENS = 60, 3, 12_000
 STRONG, ENOUGH = 0.02, 5
+#: What makes two rows of lists the same candidate.
+IDENTITY = ["project_id", "type", "id", "path", "start_line"]
 
 _QUOTED = re.compile(r"[\"'`]([^\"'`]+)[\"'`]")
-_TITLE = re.compile(r"(?<![A-Za-z0-9_])[A-Z][A-Za-z0-9]*(?:[ \t]+[A-Z][A-Za-z0-9]*)+(?![A-Za-z0-9_])")
+_TITLE = re.compile(r"(?<![A-Za-z0-9_-])[A-Z][A-Za-z0-9_-]*(?:\s+[A-Z][A-Za-z0-9_-]*)+")
 _TOKEN = re.compile(r"[A-Za-z0-9_./-]+")
 _UNSAFE = re.compile(r"[\\/;|&$<>`\"'(){}\[\]*?!#~\x00-\x1f\x7f-\x9f]|\.\.")
 
 
 def question_terms(question: str) -> list[str]:
     """Terms of a question worth an exact look-up, in order of appearance: quoted strings, runs of capitalised words, tokens
-    that are dotted, slashed, underscored or of mixed case, and the parts of dotted ones."""
+    that are dotted, slashed, underscored or have a capital, and the parts of dotted ones that would do by themselves."""
     found = [m[1].strip() for m in _QUOTED.finditer(question)] + [m[0] for m in _TITLE.finditer(question)]
     for m in _TOKEN.finditer(question):
-        token = m[0].strip("./-")
-        mixed = re.search(r"[a-z0-9][A-Z]|[A-Z]{2,}[a-z]", token)
-        if len(token) > 1 and (mixed or re.search(r"\w[./_]\w", token)):
-            found.append(token)
-            if "." in token and "/" not in token:
-                found += [p for p in token.split(".") if len(p) > 1 and p[0].isupper()]
+        whole = m[0].strip("./-")
+        for token in [whole] if "/" in whole else re.split(r"-+", whole):
+            named = "/" in token or all(re.match(r"[A-Za-z_]", p) for p in token.split("."))
+            parts = [] if "/" in token else token.split(".")
+            if named and re.search(r"[A-Z_./]", token):
+                found.append(token)
+            if len(parts) > 1 or not named:
+                found += [p for p in parts if re.search(r"[A-Z_]", p)]
     return list(dict.fromkeys(t for t in found if t))
 
 
@@ -39,9 +45,9 @@ def safe_term(term: str) -> bool:
 
 
 def source_weight(path: Column, weight: Column) -> Column:
-    """The stored weight if positive, else 0.5 for type declarations, 0.6 for tests and 1 for everything else."""
-    test = path.rlike(r"(_test\.go|\.(test|spec)\.[cm]?[jt]sx?)$") | path.rlike(r"(^|/)(__tests__|tests?)/")
-    return F.when(weight > 0, weight).when(path.endswith(".d.ts"), 0.5).when(test, 0.6).otherwise(1.0)
+    """The stored weight if positive, else 0.5 for type declarations, 0.6 for files named as tests and 1 for everything else."""
+    test = F.lower(base_name(path)).rlike(r"_test\.|\.test\.|\.spec\.")
+    return F.when(weight > 0, weight).when(F.lower(path).endswith(".d.ts"), 0.5).when(test, 0.6).otherwise(1.0)
 
 
 def exact_match(terms: list[str], match: Column) -> Column:
@@ -99,6 +105,28 @@ def diversify(candidates: DataFrame, group: list[str], per_path: int = PER_PATH)
     return candidates.withColumn("_nth", nth).withColumn("_late", late).withColumn("place", again).drop("_nth", "_late")
 
 
+def placed_by_range(rows: DataFrame, group: list[str], order: list[str]) -> DataFrame:
+    """`place` from 1 within the group by `order`, without bringing a group into one task: rows are spread by range, and each
+    range's places begin behind those of the ranges before it. Equal rows of `order` are placed in an order of no meaning."""
+    spread = cut_lineage(rows.repartitionByRange(*group, *order).withColumn("_part", F.spark_partition_id()))
+    counts = spread.groupBy(*group, "_part").agg(F.count("*").alias("_n"))  # a row a group and range
+    before = F.sum("_n").over(Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.select(*[F.col(c).alias(f"_g_{c}") for c in group], F.col("_part").alias("_p"), F.coalesce(before, F.lit(0)).alias("_before"))
+    same = (F.col("_part") == F.col("_p")) & reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_g_{c}")) for c in group])
+    inside = F.row_number().over(Window.partitionBy("_part", *group).orderBy(*order))
+    return spread.join(starts, same).withColumn("place", inside + F.col("_before")).select(*[c for c in rows.columns if c != "place"], "place")
+
+
+def diversify_table(rows: DataFrame, group: list[str], per_path: int = PER_PATH) -> DataFrame:
+    """`diversify` for groups of any size: the first of each path are found with a limit before the shuffle, and places are given by range."""
+    first = Window.partitionBy(*group, "path").orderBy("place")
+    early = rows.where("coalesce(path, '') <> ''").select(*group, "path", "place").withColumn("_nth", F.row_number().over(first)).where(F.col("_nth") <= per_path)
+    early = early.select(*[F.col(c).alias(f"_g_{c}") for c in group], F.col("place").alias("_place"))
+    same = (F.col("place") == F.col("_place")) & reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_g_{c}")) for c in group])
+    marked = rows.join(early, same, "left").withColumn("_late", (F.coalesce("path", F.lit("")) != "") & F.col("_place").isNull()).withColumn("_old", F.col("place"))
+    return placed_by_range(marked.select(*rows.columns, "_late", "_old"), group, ["_late", "_old"]).drop("_late", "_old")
+
+
 def within_budget(candidates: DataFrame, group: list[str], tokens: str, budget: int | str = CANDIDATE_TOKENS) -> DataFrame:
     """Those that still fit when taken in order of `place`; one too large is skipped and smaller later ones may enter.
 

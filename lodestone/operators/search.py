@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.scalars import cosine_distance, normalized_text, query_tokens, text_tokens
+from lodestone.session import cut_lineage
 
 MOST = 50
 CANDIDATE = ["id", "type", "match", "language", "extension", "path", "symbol", "relation", "heading", "file_hash", "start_line", "end_line", "score", "weight", "content"]
@@ -49,6 +52,20 @@ def matches_any(text: Column, question: str) -> Column:
     return F.arrays_overlap(text_tokens(text), F.array(*map(F.lit, tokens))) if tokens else F.lit(False)
 
 
+#: Keys of best rows that may be sent to every task (about 200 bytes each).
+SENT_KEYS = 100_000
+
+
+def _with_content(best: DataFrame, candidates: DataFrame, key: list[str]) -> DataFrame:
+    """The candidates' other columns of the best rows (key, score and place), which are few a project: nothing else of them moves."""
+    best = cut_lineage(best)
+    wide = candidates.drop("text", "embedding", *[c for c in best.columns if c not in key])
+    keys = best.select(*[F.col(c).alias(f"_{c}") for c in key], *[c for c in best.columns if c not in key])
+    keys = F.broadcast(keys) if keys.count() <= SENT_KEYS else keys
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in key])
+    return wide.join(keys, same).drop(*[f"_{c}" for c in key]).dropDuplicates(key)
+
+
 def lexical_search(candidates: DataFrame, question: str, limit: int = MOST) -> DataFrame:
     """The best matches of each project, `place` from 1: by score, weight, path, first line and id.
 
@@ -59,10 +76,10 @@ def lexical_search(candidates: DataFrame, question: str, limit: int = MOST) -> D
     scored = (
         candidates.where(matches_any(F.col("text"), question))
         .withColumn("score", lexical_score(normalized_text(F.col("text")), question, F.coalesce("weight", F.lit(1.0))))
-        .drop("text", "embedding")
+        .select("project_id", "id", "path", "start_line", "score", "weight")
         .dropDuplicates(["project_id", "id", "path", "start_line"])
     )
-    return scored.withColumn("place", F.row_number().over(order)).where(F.col("place") <= clamp_limit(limit))
+    return _with_content(scored.withColumn("place", F.row_number().over(order)).where(F.col("place") <= clamp_limit(limit)), candidates, ["project_id", "id", "path", "start_line"])
 
 
 def vector_search(candidates: DataFrame, vector: list[float], limit: int = MOST) -> DataFrame:
@@ -72,8 +89,9 @@ def vector_search(candidates: DataFrame, vector: list[float], limit: int = MOST)
     """
     asked = F.array(*[F.lit(float(x)) for x in vector])
     near = Window.partitionBy("project_id").orderBy("distance", "id")
-    scored = candidates.withColumn("distance", cosine_distance(F.col("embedding"), asked)).where("distance IS NOT NULL").drop("text", "embedding").dropDuplicates(["project_id", "id"])
-    ranked = scored.withColumn("place", F.row_number().over(near)).where(F.col("place") <= clamp_limit(limit))
+    scored = candidates.withColumn("distance", cosine_distance(F.col("embedding"), asked)).where("distance IS NOT NULL")
+    slim = scored.select("project_id", "id", "distance").dropDuplicates(["project_id", "id"])
+    ranked = _with_content(slim.withColumn("place", F.row_number().over(near)).where(F.col("place") <= clamp_limit(limit)), candidates, ["project_id", "id"])
     return ranked.withColumn("score", 1 - F.col("distance")).withColumn("match", F.lit("vector")).drop("distance")
 
 

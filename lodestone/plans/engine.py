@@ -221,7 +221,7 @@ class Engine:
         rows = [x.select("project_id", *search.CANDIDATE, "place", F.lit(n).alias("list")) for n, x in enumerate(lists, 1)]
         if terms:
             rows.append(self._graph_list(units, manifest, terms).withColumn("list", F.lit(4)))
-        fused = ranking.fuse(reduce(DataFrame.unionByName, rows), ["project_id", "path", "start_line", "id"])
+        fused = ranking.fuse(reduce(DataFrame.unionByName, rows), ranking.IDENTITY)
         marked = fused.withColumn("match", ranking.exact_match(terms, F.col("match"))).withColumn("score", ranking.boosted(terms))
         order = ranking.diversify(ranking.ranked(marked, ["project_id"]), ["project_id"])
         kept = ranking.within_budget(order.withColumn("tokens", token_estimate(F.col("content"))), ["project_id"], "tokens")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import scalars
 from lodestone.operators import code, graph, markdown, ranking, search, visibility
 from lodestone.operators.change_feed import current_files
+from lodestone.session import cut_lineage
 from lodestone.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -224,41 +225,45 @@ def pending_paths(spark: SparkSession, folder: str) -> DataFrame:
     return visibility.pending_in_scope(table(spark, folder, "index_runs"))
 
 
-def _lexical_sql(source: str, text: str, weight: str, rest: str) -> str:
+def _lexical_ctes(name: str, source: str, text: str, weight: str, symbol: str, heading: str, content: str) -> str:
+    """Statements that end in the ranked list `name`."""
     words = sorted(set(QUESTION.split()))
     held = " + ".join(f"contains(n, '{w}')::INT" for w in words)
     tokens = ", ".join(f"'{t}'" for t in scalars.query_tokens(QUESTION))
-    return f"""{_MANIFEST}, texts AS (
-        SELECT DISTINCT ON (d.project_id, d.id, d.path, d.start_line) d.project_id, d.id, d.path, d.start_line, {weight} AS weight, {text} AS t FROM {source} d {_JOINED}
-    ), matched AS (
-        SELECT *, {_norm('t')} AS n FROM texts WHERE list_has_any(regexp_extract_all(lower(t), '{_TOKENS}'), [{tokens}])
-    ), scored AS (
-        SELECT *, ({held} + contains(n, '{QUESTION}')::INT)::DOUBLE * weight AS score FROM matched
-    )
-    SELECT project_id, id, path, start_line, score, weight, place FROM (
-        SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY score DESC, weight DESC, path, start_line, id) AS place FROM scored) WHERE place <= 50 {rest}"""
+    return f"""{name}_texts AS (
+        SELECT DISTINCT ON (d.project_id, d.id, d.path, d.start_line) d.project_id, d.id, d.path, d.start_line, {weight} AS weight, {symbol} AS symbol, {heading} AS heading, {content} AS content, {text} AS t FROM {source} d {_JOINED}
+    ), {name}_matched AS (
+        SELECT *, {_norm('t')} AS n FROM {name}_texts WHERE list_has_any(regexp_extract_all(lower(t), '{_TOKENS}'), [{tokens}])
+    ), {name}_scored AS (
+        SELECT *, ({held} + contains(n, '{QUESTION}')::INT)::DOUBLE * weight AS score FROM {name}_matched
+    ), {name} AS (SELECT * FROM (
+        SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY score DESC, weight DESC, path, start_line, id) AS place FROM {name}_scored) WHERE place <= 50)"""
+
+
+_CODE_CTES = _lexical_ctes("code", "code_units", "concat_ws(' ', d.search_text, d.source)", "coalesce(d.weight, 1.0)", "coalesce(nullif(d.qualified_name, ''), d.name)", "''", "coalesce(d.source, '')")
+_DOCS_CTES = _lexical_ctes("docs", "doc_chunks", "concat_ws(' ', d.path, d.heading, d.content)", "1.0::DOUBLE", "''", "coalesce(d.heading, '')", "coalesce(d.content, '')")
 
 
 _RANKED = ["project_id", "id", "path", "start_line", "score", "weight", "place"]
 
 
-def _code_list(spark: SparkSession, folder: str) -> DataFrame:
-    units = visibility.visible(table(spark, folder, "code_units"), _manifest(spark, folder))
+def _code_list(spark: SparkSession, folder: str, manifest: DataFrame | None = None) -> DataFrame:
+    units = visibility.visible(table(spark, folder, "code_units"), manifest or _manifest(spark, folder))
     return search.lexical_search(search.unit_candidates(units), QUESTION)
 
 
-def _docs_list(spark: SparkSession, folder: str) -> DataFrame:
-    chunks = visibility.visible(table(spark, folder, "doc_chunks"), _manifest(spark, folder))
+def _docs_list(spark: SparkSession, folder: str, manifest: DataFrame | None = None) -> DataFrame:
+    chunks = visibility.visible(table(spark, folder, "doc_chunks"), manifest or _manifest(spark, folder))
     return search.lexical_search(search.chunk_candidates(chunks), QUESTION)
 
 
-@query(_lexical_sql("code_units", "concat_ws(' ', d.search_text, d.source)", "coalesce(d.weight, 1.0)", ""))
+@query(f"{_MANIFEST}, {_CODE_CTES} SELECT project_id, id, path, start_line, score, weight, place FROM code")
 def lexical_code_topk(spark: SparkSession, folder: str) -> DataFrame:
     """The 50 units of each project that match the question best."""
     return _code_list(spark, folder).select(*_RANKED)
 
 
-@query(_lexical_sql("doc_chunks", "concat_ws(' ', d.path, d.heading, d.content)", "1.0::DOUBLE", ""))
+@query(f"{_MANIFEST}, {_DOCS_CTES} SELECT project_id, id, path, start_line, score, weight, place FROM docs")
 def lexical_docs_topk(spark: SparkSession, folder: str) -> DataFrame:
     """The 50 chunks of each project that match the question best."""
     return _docs_list(spark, folder).select(*_RANKED)
@@ -269,19 +274,19 @@ VECTOR = [1.0 if i % 2 == 0 else -1.0 for i in range(64)]
 _VECTOR_SQL = "[" + ", ".join(map(str, VECTOR)) + "]::DOUBLE[]"
 
 
-def _vector_list(spark: SparkSession, folder: str) -> DataFrame:
-    chunks = visibility.visible(table(spark, folder, "doc_chunks"), _manifest(spark, folder))
+def _vector_list(spark: SparkSession, folder: str, manifest: DataFrame | None = None) -> DataFrame:
+    chunks = visibility.visible(table(spark, folder, "doc_chunks"), manifest or _manifest(spark, folder))
     return search.vector_search(search.chunk_candidates(chunks), VECTOR)
 
 
-@query(
-    f"""{_MANIFEST}, vectors AS (
-        SELECT DISTINCT ON (d.project_id, d.id) d.project_id, d.id, d.path, d.embedding::DOUBLE[] AS v FROM doc_chunks d {_JOINED}
+_VECTOR_CTES = f"""vectors AS (
+        SELECT DISTINCT ON (d.project_id, d.id) d.project_id, d.id, d.path, d.start_line, coalesce(d.heading, '') AS heading, coalesce(d.content, '') AS content, d.embedding::DOUBLE[] AS v FROM doc_chunks d {_JOINED}
         WHERE len(d.embedding) = 64 AND list_aggregate(list_transform(d.embedding, lambda x: abs(x)), 'sum') > 0
-    ), scored AS (SELECT *, round(list_cosine_distance(v, {_VECTOR_SQL}), 6) AS d6, list_cosine_distance(v, {_VECTOR_SQL}) AS distance FROM vectors)
-    SELECT project_id, id, path, round(1 - distance, 6) + 0 AS score FROM (
-        SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY distance, id) AS place FROM scored) WHERE place <= 50"""
-)
+    ), near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY distance, id) AS place FROM (
+        SELECT *, list_cosine_distance(v, {_VECTOR_SQL}) AS distance FROM vectors)) WHERE place <= 50)"""
+
+
+@query(f"{_MANIFEST}, {_VECTOR_CTES} SELECT project_id, id, path, round(1 - distance, 6) + 0 AS score FROM near")
 def vector_topk(spark: SparkSession, folder: str) -> DataFrame:
     """The 50 chunks of each project nearest to a direction."""
     return _vector_list(spark, folder).select("project_id", "id", "path", (F.round("score", 6) + 0).alias("score"))
@@ -300,35 +305,64 @@ def vector_batch(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _lists(spark: SparkSession, folder: str) -> DataFrame:
-    """Code, documents and vectors, as lists 1, 2 and 3."""
-    lists = [_code_list(spark, folder), _docs_list(spark, folder), _vector_list(spark, folder)]
+    """Code, documents and vectors, as lists 1, 2 and 3. The manifest is made once."""
+    manifest = cut_lineage(_manifest(spark, folder))
+    lists = [_code_list(spark, folder, manifest), _docs_list(spark, folder, manifest), _vector_list(spark, folder, manifest)]
     rows = [x.select("project_id", *search.CANDIDATE, "place", F.lit(n).alias("list")) for n, x in enumerate(lists, 1)]
     return rows[0].unionByName(rows[1]).unionByName(rows[2])
 
 
-_KEY = ["project_id", "type", "id", "path", "start_line"]
+_KEY = ranking.IDENTITY
 _TERMS = ranking.question_terms("Where does open_session use SnapshotService and 'session'?")
 
 
+_TERMS_SQL = "(" + ", ".join("'" + t.replace("'", "''") + "'" for t in _TERMS) + ")"
+_RRF = f"""{_MANIFEST}, {_CODE_CTES}, {_DOCS_CTES}, {_VECTOR_CTES}, lists AS (
+        SELECT project_id, 'code' AS type, id, path, start_line, 'full_text' AS match, symbol, heading, weight, content, place, 1 AS list FROM code UNION ALL
+        SELECT project_id, 'doc', id, path, start_line, 'full_text', symbol, heading, weight, content, place, 2 FROM docs UNION ALL
+        SELECT project_id, 'doc', id, path, start_line, 'vector', '', heading, 1.0, content, place, 3 FROM near
+    ), rrf AS (
+        SELECT project_id, type, id, path, start_line, arg_min(match, list) AS match, arg_min(symbol, list) AS symbol, arg_min(heading, list) AS heading, arg_min(weight, list) AS weight,
+            arg_min(content, list) AS content, sum(1.0::DOUBLE / (60 + place) ORDER BY list) AS score FROM lists GROUP BY ALL
+    )"""
+_BOOSTED = f"""{_RRF}, marked AS (
+        SELECT * REPLACE (CASE WHEN path IN {_TERMS_SQL} OR string_split(path, '/')[-1] IN {_TERMS_SQL} THEN 'exact_path'
+            WHEN symbol IN {_TERMS_SQL} OR {" OR ".join(f"ends_with(symbol, '.{t}')" for t in _TERMS)} THEN 'exact_symbol' ELSE match END AS match) FROM rrf
+    ), boosted AS (
+        SELECT * REPLACE (round((score + greatest(CASE match WHEN 'exact_path' THEN 2.0 WHEN 'exact_symbol' THEN 1.5 ELSE 0.0 END, CASE WHEN {" OR ".join(f"contains(lower(heading), '{t.lower()}')" for t in _TERMS)} THEN 0.5 ELSE 0.0 END)::DOUBLE)
+            * (CASE WHEN weight > 0 THEN weight WHEN ends_with(lower(path), '.d.ts') THEN 0.5 WHEN regexp_matches(lower(string_split(path, '/')[-1]), '_test\\.|\\.test\\.|\\.spec\\.') THEN 0.6 ELSE 1.0 END)::DOUBLE, 12) AS score) FROM marked
+    ), ranked AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY score DESC, path, start_line, id) AS place FROM boosted)"""
+
+
 def _fused(spark: SparkSession, folder: str) -> DataFrame:
     fused = ranking.fuse(_lists(spark, folder), _KEY)
     marked = fused.withColumn("match", ranking.exact_match(_TERMS, F.col("match")))
     return marked.withColumn("score", F.round(ranking.boosted(_TERMS), 12))
 
 
-@query()
+@query(f"{_RRF} SELECT project_id, type, id, path, start_line, match, round(score, 12) AS score FROM rrf")
 def rrf_fusion(spark: SparkSession, folder: str) -> DataFrame:
     """Reciprocal rank fusion of the three lists."""
     return ranking.fuse(_lists(spark, folder), _KEY).select(*_KEY, "match", F.round("score", 12).alias("score"))
 
 
-@query()
+@query(f"{_BOOSTED} SELECT project_id, type, id, path, start_line, match, score, place FROM ranked")
 def boosted_rank(spark: SparkSession, folder: str) -> DataFrame:
     """Fused candidates with exact matches marked and boosted, in order."""
     return ranking.ranked(_fused(spark, folder), ["project_id"]).select(*_KEY, "match", "score", "place")
 
 
-@query()
+@query(
+    _BOOSTED.replace("WITH ", "WITH RECURSIVE ", 1)
+    + """, late AS (SELECT *, row_number() OVER (PARTITION BY project_id, path ORDER BY place) > 3 AND coalesce(path, '') <> '' AS held FROM ranked),
+    ordered AS (SELECT * EXCLUDE (place, held), (length(content) + 3) // 4 AS tokens, row_number() OVER (PARTITION BY project_id ORDER BY held, place) AS place FROM late),
+    fold AS (SELECT project_id, 0::BIGINT AS place, 0::BIGINT AS used, false AS kept FROM (SELECT DISTINCT project_id FROM ordered)
+        UNION ALL SELECT f.project_id, o.place, CASE WHEN f.used + o.tokens <= 12000 THEN f.used + o.tokens ELSE f.used END, f.used + o.tokens <= 12000
+        FROM fold f JOIN ordered o ON o.project_id = f.project_id AND o.place = f.place + 1)
+    SELECT o.project_id, type, id, path, start_line, symbol, heading, match, score, o.place, tokens,
+        CASE WHEN type = 'doc' THEN 'D' ELSE 'C' END || row_number() OVER (PARTITION BY o.project_id, type ORDER BY o.place) AS label
+    FROM ordered o JOIN fold f ON f.project_id = o.project_id AND f.place = o.place WHERE f.kept"""
+)
 def retrieved(spark: SparkSession, folder: str) -> DataFrame:
     """The whole retrieval: fused, boosted, diversified, cut to the token budget and labelled for citation."""
     order = ranking.diversify(ranking.ranked(_fused(spark, folder), ["project_id"]), ["project_id"])
@@ -337,7 +371,9 @@ def retrieved(spark: SparkSession, folder: str) -> DataFrame:
     return ranking.label_citations(kept, ["project_id"]).select(*_KEY, "symbol", "heading", "match", "score", "place", "tokens", "label")
 
 
-@query()
+@query(
+    f"""{_BOOSTED} SELECT project_id, NOT bool_or(match IN ('exact_path', 'exact_symbol')) AND count(*) FILTER (score > 0.02) < 5 AS weak FROM boosted GROUP BY project_id"""
+)
 def weak_recall(spark: SparkSession, folder: str) -> DataFrame:
     """Projects in which the question should be expanded once."""
     return ranking.weak_recall(_fused(spark, folder), ["project_id"])
@@ -350,7 +386,7 @@ def weak_recall(spark: SparkSession, folder: str) -> DataFrame:
 def diversify(spark: SparkSession, folder: str) -> DataFrame:
     """Documents of each source in order, those beyond three of a path behind all others."""
     docs = table(spark, folder, "documents").select("source", "doc_id", F.col("repo_path").alias("path"), F.col("doc_id").alias("place"))
-    return ranking.diversify(docs, ["source"]).select("source", "doc_id", "place")
+    return ranking.diversify_table(docs, ["source"]).select("source", "doc_id", "place")
 
 
 @query(
@@ -411,6 +447,19 @@ def graph_neighbors_d2(spark: SparkSession, folder: str) -> DataFrame:
     return graph.neighbours(graph.unique_edges(table(spark, folder, "code_edges")), _origins(spark, folder), 2).select("project_id", "origin", "id", "distance")
 
 
+@query(
+    f"""WITH {_EDGES}, steps AS (SELECT project_id, source_id AS node, target_id AS next, relation, path, start_line::VARCHAR AS line FROM edges UNION ALL SELECT project_id, target_id, source_id, relation, path, start_line::VARCHAR FROM edges),
+    origins AS (SELECT DISTINCT project_id, id AS origin FROM code_units WHERE start_line % 50 = 0),
+    one AS (SELECT o.project_id, origin, 1 AS distance, s.* EXCLUDE (project_id) FROM origins o JOIN steps s ON s.project_id = o.project_id AND s.node = origin WHERE next <> origin),
+    two AS (SELECT o.project_id, origin, 2 AS distance, s.* EXCLUDE (project_id) FROM (SELECT DISTINCT project_id, origin, next AS id FROM one) o JOIN steps s ON s.project_id = o.project_id AND s.node = o.id WHERE s.next <> origin)
+    SELECT project_id, origin, next AS id, distance, relation, path FROM (SELECT *, row_number() OVER (PARTITION BY project_id, origin, next
+        ORDER BY distance, node, relation NULLS FIRST, path NULLS FIRST, line NULLS FIRST) AS r FROM (SELECT * FROM one UNION ALL SELECT * FROM two)) WHERE r = 1"""
+)
+def graph_first_reach(spark: SparkSession, folder: str) -> DataFrame:
+    """The same with the relation and path of the edge that reaches each first."""
+    return graph.neighbours(graph.unique_edges(table(spark, folder, "code_edges")), _origins(spark, folder), 2)
+
+
 @query(
     f"""WITH {_UNITS}, {_EDGES}, origins AS (SELECT DISTINCT project_id, id AS origin FROM code_units WHERE start_line % 50 = 0),
     one AS (SELECT e.project_id, origin, target_id AS id FROM origins o JOIN edges e ON e.project_id = o.project_id AND e.source_id = origin WHERE target_id <> origin),

@@ -135,6 +135,8 @@ def test_question_terms_and_safe_terms():
     terms = ranking.question_terms("Where is 'src/a b.ts' used by crm.UserService.GetUser, user_id and src/http.tsx in the API Guide?")
     for t in ("src/a b.ts", "crm.UserService.GetUser", "UserService", "GetUser", "user_id", "src/http.tsx", "API Guide"):
         assert t in terms
+    assert ranking.question_terms("Handle") == ["Handle"] and "Handle" in ranking.question_terms("Where is Handle called?") and "Session" in ranking.question_terms("why does Session fail")
+    assert ranking.question_terms("the plain words of it, 1.5 times, a-b") == [] and ranking.question_terms("see My_Guide Two-Part") == ["My_Guide Two-Part", "My_Guide", "Two", "Part"]
     assert ranking.safe_term("customer handler") and not ranking.safe_term("../secret") and not ranking.safe_term("x; rm") and not ranking.safe_term("x")
 
 
@@ -151,8 +153,28 @@ def test_fusion_boost_and_exact_symbol(spark):
 
 
 def test_source_weights(spark):
-    df = spark.createDataFrame([("a.go", 0.0), ("a_test.go", 0.0), ("a.d.ts", None), ("a.ts", 2.0)], "path string, weight double")
-    assert [r[0] for r in df.select(ranking.source_weight(F.col("path"), F.col("weight"))).collect()] == [1.0, 0.6, 0.5, 2.0]
+    want = {"a.go": 1.0, "a_test.go": 0.6, "a.d.ts": 0.5, "tests/foo.go": 1.0, "foo_test.py": 0.6, "a.test.py": 0.6, "X.SPEC.tsx": 0.6, "a_test.d.ts": 0.5}
+    df = spark.createDataFrame([(p, 0.0) for p in want] + [("a.ts", 2.0), ("n.go", None)], "path string, weight double")
+    assert [r[0] for r in df.select(ranking.source_weight(F.col("path"), F.col("weight"))).collect()] == [*want.values(), 2.0, 1.0]
+
+
+def test_weights_distances_and_the_fourth_of_a_file(spark):
+    names = [("prod", "prod.go", "", 1.0), ("test", "prod_test.go", "", 0.6), ("decl", "types.d.ts", "", 0.5), ("near", "near.go", "graph_distance_1", 1.0), ("far", "far.go", "graph_distance_2", 1.0)]
+    names += [(f"same{i}", "same.go", "", 1.0) for i in range(1, 5)] + [("other", "other.go", "", 1.0)]
+    df = spark.createDataFrame([("p", i, "code", p, 1, m, "", "", w, 1, n, 0.0) for n, (i, p, m, w) in enumerate(names, 1)], CAND)
+    scored = ranking.fuse(df, ["project_id", "id"]).withColumn("score", ranking.boosted([]))
+    order = {r.id: (r.place, r.score) for r in ranking.diversify(ranking.ranked(scored, ["project_id"]), ["project_id"]).collect()}
+    assert order["prod"][1] > order["test"][1] > order["decl"][1] and order["near"][1] > order["far"][1] and order["other"][0] < order["same4"][0]
+
+
+def test_places_of_large_groups(spark):
+    rng = random.Random(2)
+    data = [(rng.choice(["hot", "hot", "hot", "s", None]), i, rng.choice(["a", "b", "", None]) if i % 3 else f"f{i % 40}") for i in range(600)]
+    df = spark.createDataFrame(data, "source string, place bigint, path string").repartition(4)
+    small = {(r.source, r.path, r._1): r.place for r in ranking.diversify(df.withColumn("_1", F.col("place")), ["source"]).collect()}
+    large = {(r.source, r.path, r._1): r.place for r in ranking.diversify_table(df.withColumn("_1", F.col("place")), ["source"]).collect()}
+    assert small == large and len(large) == 600
+    assert ranking.diversify_table(df.limit(0), ["source"]).count() == 0
 
 
 def test_diversify_holds_back_the_fourth_of_a_path(spark):
@@ -231,6 +253,14 @@ def test_headings_fences_tags_and_links():
     assert (second["heading"], second["start_line"]) == ("Overview > Database", 15)
 
 
+def test_a_closure_is_whole_or_an_error(spark):
+    links = spark.createDataFrame([("g", f"n{i + 1:02d}", f"n{i:02d}") for i in range(20)] + [("g", None, "n00")], "group string, node string, depends_on string")
+    seeds = spark.createDataFrame([("g", "n00")], "group string, node string")
+    assert graph.reverse_closure(links, seeds).count() == 21
+    with pytest.raises(ValueError):
+        graph.reverse_closure(links, seeds, rounds=5)
+
+
 def test_long_sections_overlap_by_a_paragraph():
     text = "".join(c * 1200 + "\n\n" for c in "abcde")
     got = parse(text)
