@@ -67,18 +67,20 @@ def go_facts(text: str) -> Iterator[tuple]:
     for m in _GO_IMPORT.finditer(text):
         for spec in re.findall(r"\"([^\"]+)\"", m[0]):
             yield ("import", "imports", "", spec.rsplit("/", 1)[-1], spec, None, line(m.start()), line(m.end()))
-    spans = []
+    spans, inits = [], 0
     for m in _GO_FUNC.finditer(plain):
         end = _block_end(plain, m.end())
         owner = (m[1] or "").split(".")[-1]
-        spans.append((m.start(), end, f"{owner}.{m[2]}" if owner else m[2]))
-        yield ("decl", "method" if owner else "function", owner, m[2], "", m[2][0].isupper(), line(m.start()), line(max(m.start(), end - 1)))
+        inits += m[2] == "init" and not owner
+        ordinal = f"#{inits}" if m[2] == "init" and not owner else ""  # a file may have several
+        spans.append((m.start(), end, f"{owner}.{m[2]}" if owner else m[2] + ordinal))
+        yield ("decl", "method" if owner else "function", owner, m[2], ordinal, m[2][0].isupper(), line(m.start()), line(max(m.start(), end - 1)))
     for m in _GO_TYPE.finditer(plain):
         kind = "interface" if m[2].startswith("interface") else "type"
         end = _block_end(plain, m.end() - 1) if m[2].startswith(("struct", "interface")) else m.end()
         yield ("decl", kind, "", m[1], "", m[1][0].isupper(), line(m.start()), line(max(m.start(), end - 1)))
         body = plain[plain.find("{", m.start(), end) + 1 : max(m.start(), end - 1)] if m[2].startswith(("struct", "interface")) else ""
-        for inner in body.split("\n"):
+        for inner in re.split(r"[\n;]", body):
             if kind == "interface" and (x := re.match(r"\s*(\w+)\s*\(", inner)):
                 yield ("member", "interface", m[1], x[1], "", None, line(m.start()), line(m.start()))
             elif x := re.match(r"\s*\*?((?:\w+\.)?\w+)\s*$", inner):
@@ -121,8 +123,10 @@ def source_facts(files: DataFrame) -> DataFrame:
         for batch in batches:
             out = []
             for project, path, language, text in batch.itertuples(index=False, name=None):
-                facts = go_facts(text) if language == "go" else script_facts(text)
-                out += [(project, path, *f) for f in facts]
+                try:
+                    out += [(project, path, *f) for f in (go_facts(text) if language == "go" else script_facts(text))]
+                except Exception as e:  # noqa: BLE001  one file that can't be read mustn't end the run
+                    out.append((project, path, "warning", "parse", "", type(e).__name__, str(e)[:500], None, 1, 1))
             columns = ["project_id", "path", *(c.split(" ")[0] for c in FACTS.split(", "))]
             yield pd.DataFrame(out, columns=columns)
 
@@ -131,11 +135,12 @@ def source_facts(files: DataFrame) -> DataFrame:
 
 
 def declared_units(facts: DataFrame) -> DataFrame:
-    """Units of all declarations with their stable ids: Go by package directory, scripts by path."""
+    """Units of all declarations with their stable ids: Go by package directory, scripts by path. Each `init` of a file has an id of its own, and
+    `caller` is how calls from the unit name it."""
     go = F.col("path").endswith(".go")
     qualified = F.when(F.col("owner") != "", F.concat_ws(".", "owner", "name")).otherwise(F.col("name"))
-    unit_id = F.when(go, stable_id("go:", dir_name(F.col("path")), F.col("kind"), F.col("owner"), qualified)).otherwise(stable_id("js:", F.col("path"), F.col("kind"), F.col("owner"), F.col("name")))
-    return facts.where("fact = 'decl'").select("project_id", unit_id.alias("id"), "name", qualified.alias("qualified_name"), "kind", "owner", "path", "exported", "start_line", "end_line")
+    unit_id = F.when(go & (F.col("target") != ""), stable_id("go:", F.col("path"), F.col("kind"), F.col("owner"), F.concat(qualified, "target"))).when(go, stable_id("go:", dir_name(F.col("path")), F.col("kind"), F.col("owner"), qualified)).otherwise(stable_id("js:", F.col("path"), F.col("kind"), F.col("owner"), F.col("name")))
+    return facts.where("fact = 'decl'").select("project_id", unit_id.alias("id"), "name", qualified.alias("qualified_name"), F.concat(qualified, F.coalesce("target", F.lit(""))).alias("caller"), "kind", "owner", "path", "exported", "start_line", "end_line")
 
 
 def holds_all(members: DataFrame, wanted: DataFrame, group: list[str]) -> DataFrame:

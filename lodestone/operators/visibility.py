@@ -81,10 +81,10 @@ def run_history(runs: DataFrame, limit: int = 50, *columns: str) -> DataFrame:
     return run_snapshots(runs, *columns).withColumn("place", F.row_number().over(newest_first)).where(F.col("place") <= limit)
 
 
-def latest_finished_run(runs: DataFrame) -> DataFrame:
+def latest_finished_run(runs: DataFrame, *columns: str) -> DataFrame:
     """Of each project the newest row in a finished state, which is asked for before recency."""
     done = runs.where(F.col("state").isin(FINISHED))
-    return done.groupBy("project_id").agg(F.max(F.struct("updated_at", "run_id", "state", "target_generation")).alias("s")).select("project_id", "s.*")
+    return done.groupBy("project_id").agg(F.max(F.struct("updated_at", "run_id", "state", "target_generation", *columns)).alias("s")).select("project_id", "s.*")
 
 
 def under(path: Column, scope: Column) -> Column:

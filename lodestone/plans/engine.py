@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 import os
+import subprocess
 import threading
 import time
 import uuid
@@ -25,11 +26,13 @@ from lodestone.functions.scalars import dir_name, token_estimate
 from lodestone.operators import code, graph, markdown, ranking, search, visibility
 from lodestone.operators.evidence import evidence
 from lodestone.session import cut_lineage
-from lodestone.sources import project
+from lodestone.sources import git, project
 from lodestone.sources.suite import Question, Settings
 
-PARSER_VERSION = "2"
-EMBED_BATCH = 16
+PARSER_VERSION = "3"
+EMBED_BATCH, EXPANSION = 16, 6
+#: Languages that rows are derived from; files of others are listed and counted as skipped.
+DERIVED = ["go", "typescript", "javascript", "markdown"]
 Embedder = Callable[[list[str]], list[list[float]]]
 
 #: Schemas of the stored relations.
@@ -39,7 +42,7 @@ SCHEMAS = {
     "code_edges": "project_id STRING, source_id STRING, target_id STRING, relation STRING, path STRING, start_line BIGINT, end_line BIGINT, resolution STRING, file_hash STRING, generation BIGINT",
     "code_facts": "project_id STRING, path STRING, fact STRING, kind STRING, owner STRING, name STRING, target STRING, exported BOOLEAN, start_line BIGINT, end_line BIGINT, file_hash STRING, generation BIGINT",
     "doc_chunks": "project_id STRING, id STRING, path STRING, extension STRING, heading STRING, start_line BIGINT, end_line BIGINT, content STRING, search_text STRING, tags ARRAY<STRING>, links ARRAY<STRING>, chunk_hash STRING, file_hash STRING, generation BIGINT, embedding ARRAY<FLOAT>",
-    "index_runs": "project_id STRING, run_id STRING, mode STRING, state STRING, started_at TIMESTAMP, finished_at TIMESTAMP, changed BIGINT, deleted BIGINT, error STRING, start_generation BIGINT, target_generation BIGINT, pending ARRAY<STRING>, updated_at TIMESTAMP",
+    "index_runs": "project_id STRING, run_id STRING, mode STRING, state STRING, started_at TIMESTAMP, finished_at TIMESTAMP, changed BIGINT, deleted BIGINT, skipped BIGINT, failed BIGINT, warnings ARRAY<STRING>, error STRING, start_generation BIGINT, target_generation BIGINT, git_head STRING, pending ARRAY<STRING>, updated_at TIMESTAMP",
 }
 
 
@@ -51,6 +54,9 @@ class SyncResult:
     generation: int
     changed: int
     deleted: int
+    skipped: int = 0
+    failed: int = 0
+    warnings: tuple[str, ...] = ()
 
 
 class Engine:
@@ -76,11 +82,16 @@ class Engine:
         rows.select(*columns).write.mode("append").partitionBy("project_id").parquet(f"{self.store}/{name}")
 
     def manifest(self) -> DataFrame:
-        return visibility.active(self.read("files"), "parser_version", "language", "extension")
+        return visibility.active(self.read("files"), "parser_version", "language", "extension", "size", "mtime_ns")
 
     # refresh
-    def sync(self, mode: str = "delta") -> SyncResult:
-        """Bring the relations up to date with the tree. One run at a time; a second caller waits for it and then runs."""
+    def sync(self, mode: str | None = None) -> SyncResult:
+        """Bring the relations up to date with the tree. One run at a time; a second caller waits for it and then runs.
+
+        Without a mode the first run, and one after a change of the parser, is full, every other a delta.
+        """
+        if mode is None:
+            mode = "full" if self.manifest().agg(F.coalesce(F.max(F.col("parser_version") != PARSER_VERSION), F.lit(True)).alias("other")).first()["other"] else "delta"
         if mode not in ("delta", "full"):
             raise ValueError("mode must be delta or full")
         with self._one_run:
@@ -90,29 +101,67 @@ class Engine:
         started, run_id = datetime.now(UTC), str(uuid.uuid4())
         current = visibility.next_generation([*((self.read(t), "generation") for t in ("files", "code_units", "code_edges", "code_facts", "doc_chunks")), (self.read("index_runs"), "target_generation")]).first()
         generation = current["next_generation"] if current else 1
+        head, dirty, warnings = self._git()
         try:
-            changed, deleted = self._write(mode, generation)
-            state, error = "ready", None
+            counts, pending = self._write(mode, generation, dirty)
         except Exception as e:
-            self._record(run_id, mode, "failed", started, 0, 0, generation, str(e)[:2000])
+            self._record(run_id, mode, "failed", started, {}, generation, str(e)[:2000], head, warnings, None)
             raise
-        self._record(run_id, mode, state, started, changed, deleted, generation, error)
-        return SyncResult(run_id, mode, state, generation, changed, deleted)
+        if self.embedder is not None:
+            lacking = visibility.pending_embeddings(self.read("doc_chunks"), self.manifest()).select("path")
+            pending = lacking if pending is None else pending.unionByName(lacking)
+        waiting = pending is not None and not pending.isEmpty()
+        state = "degraded" if waiting or warnings or counts.get("failed") else "ready"
+        self._record(run_id, mode, state, started, counts, generation, None, head, warnings, pending if waiting else None)
+        return SyncResult(run_id, mode, state, generation, counts.get("changed", 0), counts.get("deleted", 0), counts.get("skipped", 0), counts.get("failed", 0), tuple(warnings))
+
+    def _git(self) -> tuple[str | None, list[str] | None, list[str]]:
+        """HEAD, the paths that git calls changed since the last run, and warnings; None where there is no git or it can't tell, so that all files are read."""
+        if not os.path.exists(os.path.join(self.root, ".git")):
+            return None, None, []
+        last = visibility.latest_finished_run(self.read("index_runs"), "git_head").first()
+        try:
+            return *git.changed_since(self.root, last["git_head"] if last else None), []
+        except (OSError, subprocess.SubprocessError, ValueError) as e:
+            return None, None, [f"git: {e}"[:500]]
 
-    def _write(self, mode: str, generation: int) -> tuple[int, int]:
+    def _found(self, mode: str, dirty: list[str] | None) -> DataFrame:
+        """The files of the tree as the policy judges them. With git only those are read that are new, dirty, of another size or time, or lack embeddings."""
         s = self.settings
-        found = project.discover(project.scan(self.spark, self.root), s.max_file_bytes, dirs=s.exclude_dirs, names=s.exclude_names, prefixes=s.exclude_paths, include_tests=s.include_tests)
-        plan = cut_lineage(project.plan_changes(found, self.manifest(), PARSER_VERSION, full=mode == "full"))
+        policy = {"dirs": s.exclude_dirs, "names": s.exclude_names, "prefixes": s.exclude_paths, "include_tests": s.include_tests}
+        listed = project.scan(self.spark, self.root).drop("content")
+        read = cut_lineage(listed.where(project.refusal(F.col("path"), **policy).isNull()))
+        held = self.manifest().where(F.col("parser_version") == PARSER_VERSION).select("path", "size", "mtime_ns", F.col("file_hash").alias("known"))
+        if dirty is not None and mode == "delta":
+            changed = self.spark.createDataFrame([(p,) for p in dirty], "path string").unionByName(self._waiting())
+            same = cut_lineage(read.join(held, ["path", "size", "mtime_ns"]).join(changed, "path", "left_anti"))
+            read = read.join(same, "path", "left_anti")
+        else:
+            same = read.limit(0).withColumn("known", F.lit(None).cast("string"))
+        fresh = project.discover(project.read_files(self.spark, self.root, read), s.max_file_bytes, **policy)
+        kind = project.file_kind(F.col("path"))
+        as_known = same.select("path", "size", "mtime_ns", F.lit(None).cast("binary").alias("content"), kind["kind"].alias("kind"), kind["language"].alias("language"), kind["extension"].alias("extension"), F.col("known").alias("file_hash"), F.lit(None).cast("string").alias("reason"))
+        return fresh.unionByName(as_known)
+
+    def _waiting(self) -> DataFrame:
+        """Paths that the last runs left without embeddings or changed under."""
+        pending = visibility.pending_in_scope(self.read("index_runs")).select("path")
+        return pending if self.embedder is None else pending.unionByName(visibility.pending_embeddings(self.read("doc_chunks"), self.manifest()).select("path"))
+
+    def _write(self, mode: str, generation: int, dirty: list[str] | None) -> tuple[dict[str, int], DataFrame | None]:
+        found = self._found(mode, dirty)
+        plan = cut_lineage(project.plan_changes(found, self.manifest(), PARSER_VERSION, dirty=self._waiting(), full=mode == "full"))
         counts = {r["action"]: r["n"] for r in plan.groupBy("action").agg(F.count("*").alias("n")).collect()}
         if not counts:
-            return 0, 0
+            return {}, None
         stamp = [F.lit(self.project_id).alias("project_id"), F.lit(generation).cast("bigint").alias("generation")]
         inputs = cut_lineage(found.where("reason IS NULL").join(plan.where("action = 'changed'"), "path", "left_semi").select("*", *stamp, F.decode("content", "UTF-8").alias("source")))
         kept = cut_lineage(self.manifest().join(plan, "path", "left_anti"))
         facts = cut_lineage(self._facts(inputs, kept))
         edges = cut_lineage(self._edges(facts, kept.select("project_id", "path").unionByName(inputs.select("project_id", "path"))))
         affected = kept.join(self._affected(facts, edges, kept), "path", "left_semi").select("path", "file_hash")
-        again = found.where("reason IS NULL").join(affected, ["path", "file_hash"], "left_semi").select("*", *stamp, F.decode("content", "UTF-8").alias("source"))
+        again = project.discover(project.read_files(self.spark, self.root, affected), self.settings.max_file_bytes, include_tests=True)
+        again = again.where("reason IS NULL").join(affected, ["path", "file_hash"], "left_semi").select("*", *stamp, F.decode("content", "UTF-8").alias("source"))
         self._write_documents(inputs)
         inputs = cut_lineage(inputs.unionByName(again.select(*inputs.columns)))
         self._write_code(inputs, facts, edges)
@@ -120,8 +169,12 @@ class Engine:
         head = [F.lit(PARSER_VERSION).alias("parser_version"), F.lit(1.0).alias("weight"), F.current_timestamp().alias("activated_at")]
         live = inputs.select("project_id", "path", "kind", "language", "extension", "size", "mtime_ns", "file_hash", "generation", F.lit(False).alias("deleted"), *head)
         gone = tombstones.select(*stamp, "path", "deleted", *head)
-        self.append("files", live.unionByName(gone, allowMissingColumns=True))  # always the last write
-        return counts.get("changed", 0), counts.get("deleted", 0)
+        now = project.scan(self.spark, self.root).select("path", "size", "mtime_ns")  # a listing; no content is read
+        stable = cut_lineage(live.join(now, ["path", "size", "mtime_ns"], "left_semi"))  # what was written to meanwhile isn't announced
+        self.append("files", stable.unionByName(gone, allowMissingColumns=True))  # always the last write
+        counts["skipped"] = inputs.where(~F.coalesce(F.col("language").isin(*DERIVED), F.lit(False))).count()
+        counts["failed"] = facts.where("fact = 'warning'").count()
+        return counts, live.join(stable, "path", "left_anti").select("path")
 
     def _facts(self, inputs: DataFrame, kept: DataFrame) -> DataFrame:
         """Source facts of the whole tree: changed files are parsed, those of the kept ones are stored."""
@@ -134,7 +187,7 @@ class Engine:
         file_id = lambda path: F.concat(F.lit("file:"), F.sha2(path, 256))
         columns = ["project_id", "source_id", "target_id", "relation", "path", "start_line", "end_line", "resolution"]
         declared = code.declared_units(facts)
-        by_name = declared.select("project_id", "path", F.col("qualified_name").alias("caller"), F.col("id").alias("source_id")).dropDuplicates(["project_id", "path", "caller"])
+        by_name = declared.select("project_id", "path", "caller", F.col("id").alias("source_id")).dropDuplicates(["project_id", "path", "caller"])
         calls = code.call_edges(facts).join(by_name, ["project_id", "path", "caller"]).select("project_id", "source_id", F.coalesce("target", F.concat(F.lit("name:"), "callee")).alias("target_id"), F.lit("calls").alias("relation"), "path", "start_line", F.col("start_line").alias("end_line"), "resolution")
         contains = declared.select("project_id", file_id(F.col("path")).alias("source_id"), F.col("id").alias("target_id"), F.lit("contains").alias("relation"), "path", "start_line", "end_line", F.lit("local").alias("resolution"))
         found, go, known = facts.where("fact = 'import'"), F.col("path").endswith(".go"), paths.distinct()
@@ -189,26 +242,50 @@ class Engine:
         held = visibility.reusable_embeddings(self.read("doc_chunks"), self.settings.dim).select("chunk_hash", "embedding")
         if self.embedder is not None:
             fresh = chunks.select("chunk_hash", "content").dropDuplicates(["chunk_hash"]).join(held, "chunk_hash", "left_anti")
-            held = held.unionByName(embed(fresh, self.embedder, self.settings.dim))
+            held = held.unionByName(embed(fresh, self.embedder, self.settings.dim, strict=False))
         self.append("doc_chunks", chunks.join(held, "chunk_hash", "left"))
 
-    def _record(self, run_id: str, mode: str, state: str, started: datetime, changed: int, deleted: int, generation: int, error: str | None) -> None:
+    def _record(self, run_id: str, mode: str, state: str, started: datetime, counts: dict[str, int], generation: int, error: str | None, head: str | None, warnings: list[str], pending: DataFrame | None) -> None:
         now = datetime.now(UTC)
-        row = (self.project_id, run_id, mode, state, started, now, changed, deleted, error, generation - 1, generation, [], now)
-        self.append("index_runs", self.spark.createDataFrame([row], SCHEMAS["index_runs"]))
+        row = (self.project_id, run_id, mode, state, started, now, *(counts.get(k, 0) for k in ("changed", "deleted", "skipped", "failed")), warnings, error, generation - 1, generation, head, [], now)
+        record = self.spark.createDataFrame([row], SCHEMAS["index_runs"])
+        if pending is not None:
+            record = record.drop("pending").crossJoin(pending.agg(F.sort_array(F.collect_set("path")).alias("pending")))  # one row and one row
+        self.append("index_runs", record)
 
     def cleanup(self) -> None:
-        """Rewrite the derived relations of this project without obsolete rows, each into a new folder that then takes the place."""
-        manifest = self.manifest()
+        """Rewrite the derived relations of this project without obsolete rows, each into a new folder that then takes the place by renaming.
+
+        A job that fails leaves the relation as it was. A folder that was put aside is removed once the new one is in its place.
+        """
+        manifest, files = cut_lineage(self.manifest()), self._files()
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
         for name in ("code_units", "code_edges", "code_facts", "doc_chunks"):
-            kept = cut_lineage(visibility.visible(self.read(name), manifest))
             columns = [c.split(" ")[0] for c in SCHEMAS[name].split(", ")]
-            kept.select(*columns).drop("project_id").write.mode("overwrite").parquet(f"{self.store}/{name}/project_id={self.project_id}")
+            mark = uuid.uuid4().hex
+            new, old, live = f"{self.store}/_new_{mark}", path(f"{self.store}/_old_{mark}"), path(f"{self.store}/{name}/project_id={self.project_id}")
+            if not files.exists(live):
+                continue
+            visibility.visible(self.read(name), manifest).select(*columns).drop("project_id").write.parquet(new)
+            if not (files.rename(live, old) and files.rename(path(new), live)):
+                raise OSError(f"{name} couldn't be put in place; its rows are in {old} and {new}")
+            files.delete(old, True)
+
+    def purge(self) -> None:
+        """Remove all rows of this project, the manifest first, so that nothing is visible from then on."""
+        with self._one_run:
+            for name in ("files", "code_units", "code_edges", "code_facts", "doc_chunks", "index_runs"):
+                self._files().delete(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.store}/{name}/project_id={self.project_id}"), True)
+
+    def _files(self):  # noqa: ANN202  the file system of the store
+        context = self.spark.sparkContext
+        return context._jvm.org.apache.hadoop.fs.Path(self.store).getFileSystem(context._jsc.hadoopConfiguration())
 
     # questions
     def candidates(self, question: str, paths: list[str] | None = None, terms: list[str] | None = None) -> DataFrame:
         """Ranked, diversified and budgeted candidates: code, documents, vectors and graph, fused."""
-        s, manifest = self.settings, self.manifest()
+        self.warnings: list[str] = []
+        manifest = cut_lineage(self.manifest())
         if paths:
             scopes = self.spark.createDataFrame([(self.project_id, p) for p in paths], "project_id string, scope string")
             manifest = manifest.join(visibility.expand_scopes(manifest, scopes), ["project_id", "path"], "left_semi")
@@ -217,7 +294,10 @@ class Engine:
         units, chunks = visibility.visible(self.read("code_units"), manifest), visibility.visible(self.read("doc_chunks"), manifest)
         lists = [search.lexical_search(search.unit_candidates(units), asked), search.lexical_search(search.chunk_candidates(chunks), asked)]
         if self.embedder is not None:
-            lists.append(search.vector_search(search.chunk_candidates(chunks), self.embedder([question])[0]))
+            try:
+                lists.append(search.vector_search(search.chunk_candidates(chunks), self.embedder([question])[0]))
+            except Exception as e:  # noqa: BLE001  the other lists still hold
+                self.warnings.append(f"vector search: {e}"[:500])
         rows = [x.select("project_id", *search.CANDIDATE, "place", F.lit(n).alias("list")) for n, x in enumerate(lists, 1)]
         if terms:
             rows.append(self._graph_list(units, manifest, terms).withColumn("list", F.lit(4)))
@@ -236,13 +316,24 @@ class Engine:
         listed = rows.select("project_id", "id", "type", F.col("g.match").alias("match"), "language", "extension", "path", "symbol", F.col("g.relation").alias("relation"), "heading", "file_hash", "start_line", "end_line", F.lit(0.0).alias("score"), "weight", "content")
         return ranking.ranked(listed, ["project_id"]).where(F.col("place") <= search.MOST)
 
-    def search_context(self, question: str, paths: list[str] | None = None, max_tokens: int = 0, generate: Callable[[str], str] | None = None) -> dict:
-        """Evidence for a question within a budget of tokens, with a summary if `generate` is given. The tree is brought up to date first."""
+    def search_context(
+        self, question: str, paths: list[str] | None = None, max_tokens: int = 0, generate: Callable[[str], str] | None = None, expand: Callable[[str], list[str]] | None = None
+    ) -> dict:
+        """Evidence for a question within a budget of tokens, with a summary if `generate` is given. The tree is brought up to date first.
+
+        If recall is weak and `expand` is given, its terms, at most six safe ones, are asked for in one further round. The
+        summary keeps no marker of evidence that isn't given out.
+        """
         if not question.strip():
             raise ValueError("a question is required")
         result = self.sync()
         budget = self.settings.max_tokens if not max_tokens else min(max(max_tokens, 256), 12_000)
-        found = self.candidates(question, paths)
+        found = cut_lineage(self.candidates(question, paths))
+        if expand is not None:
+            weak = ranking.weak_recall(found, ["project_id"]).first()
+            terms = list(dict.fromkeys(t.strip() for t in expand(question) if ranking.safe_term(t.strip())))[:EXPANSION] if weak is None or weak["weak"] else []
+            if terms:
+                found = cut_lineage(self.candidates(question, paths, terms))
         files = project.scan(self.spark, self.root).join(self.manifest().select("path", "file_hash"), "path")
         rows = evidence(found, files).orderBy("place").collect()  # at most the candidates' budget of 12,000 tokens
         summary, cited = ranking.keep_citations(generate(question), {r["label"] for r in rows}) if generate else ("", [])
@@ -256,7 +347,11 @@ class Engine:
             if used + cost <= budget:
                 used += cost
                 kept.append({k: r[k] for k in ("label", "type", "path", "symbol", "heading", "start_line", "end_line", "snippet", "quote", "match", "score")})
-        return {"question": question, "summary": summary, "evidence": kept, "used_tokens": used, "truncated": len(kept) < len(rows), "generation": result.generation}
+        summary, _ = ranking.keep_citations(summary, {k["label"] for k in kept})
+        return {
+            "question": question, "summary": summary, "evidence": kept, "used_tokens": used, "truncated": len(kept) < len(rows), "generation": result.generation,
+            "state": result.state, "warnings": [*result.warnings, *self.warnings],
+        }
 
     def impact(self, symbol: str | None = None, path: str | None = None, direction: str = "both", depth: int = 2) -> DataFrame:
         """Units near a symbol or path, exactly one of which must be given; an unknown or ambiguous one is an error."""
@@ -277,28 +372,47 @@ class Engine:
         return {"project_id": self.project_id, "files": self.manifest().count(), "last_run": run.asDict() if run else None}
 
     def benchmark(self, suite: list[Question], retrievals: int = 30) -> dict:
-        """One full refresh, warm retrievals that cycle through the suite, nearest-rank 95th percentile, and budget violations."""
+        """One full refresh, a delta without changes, warm retrievals that cycle through the suite, nearest-rank 95th percentile, stale evidence and budget violations."""
         began = time.perf_counter()
         self.sync("full")
         full, took = time.perf_counter() - began, []
+        began = time.perf_counter()
+        self.sync("delta")
+        delta = time.perf_counter() - began
         for i in range(retrievals):
             began = time.perf_counter()
             self.candidates(suite[i % len(suite)].question).collect()
             took.append(time.perf_counter() - began)
-        over = sum(self.search_context(q.question, max_tokens=q.max_tokens)["used_tokens"] > (q.max_tokens or self.settings.max_tokens) for q in suite)
-        return {"full_index_s": full, "warm_p95_s": sorted(took)[math.ceil(0.95 * len(took)) - 1], "budget_violations": over}
+        answers = [(q, self.search_context(q.question, max_tokens=q.max_tokens)) for q in suite]
+        over = sum(a["used_tokens"] > (q.max_tokens or self.settings.max_tokens) for q, a in answers)
+        stale = sum(not self._fresh(e) for _, a in answers for e in a["evidence"])
+        return {"full_index_s": full, "delta_s": delta, "warm_p95_s": sorted(took)[math.ceil(0.95 * len(took)) - 1], "stale_evidence": stale, "budget_violations": over}
+
+    def _fresh(self, item: dict) -> bool:
+        """Whether an item of evidence is what the file holds now."""
+        try:
+            with open(os.path.join(self.root, item["path"]), encoding="utf-8", errors="replace", newline="") as file:
+                lines = file.read().replace("\r\n", "\n").split("\n")
+        except OSError:
+            return False
+        return "\n".join(lines[item["start_line"] - 1 : item["end_line"]]) == (item["snippet"] or item["quote"] or "")
 
 
-def embed(chunks: DataFrame, embedder: Embedder, dim: int) -> DataFrame:
-    """chunk_hash, embedding of distinct contents, in batches of EMBED_BATCH; a wrong count or length is an error."""
+def embed(chunks: DataFrame, embedder: Embedder, dim: int, strict: bool = True) -> DataFrame:
+    """chunk_hash, embedding of distinct contents, in batches of EMBED_BATCH; a wrong count or length is an error. If not `strict`, a batch that fails has no rows."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for i in range(0, len(batch), EMBED_BATCH):
                 part = batch.iloc[i : i + EMBED_BATCH]
-                vectors = embedder(list(part["content"]))
-                if len(vectors) != len(part) or any(len(v) != dim for v in vectors):
-                    raise ValueError("the embedder gave a wrong number of vectors or dimensions")
+                try:
+                    vectors = embedder(list(part["content"]))
+                    if len(vectors) != len(part) or any(len(v) != dim for v in vectors):
+                        raise ValueError("the embedder gave a wrong number of vectors or dimensions")
+                except Exception:
+                    if strict:
+                        raise
+                    continue
                 yield pd.DataFrame({"chunk_hash": part["chunk_hash"], "embedding": vectors})
 
     return chunks.select("chunk_hash", "content").mapInPandas(run, "chunk_hash string, embedding array<float>")

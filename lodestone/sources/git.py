@@ -18,6 +18,20 @@ def run_git(root: str, *args: str) -> str:
     return subprocess.run(["git", "-C", root, *args], check=True, capture_output=True, text=True, timeout=120).stdout
 
 
+def changed_since(root: str, last: str | None) -> tuple[str, list[str]]:
+    """HEAD, and paths that the working tree or commits since `last` have changed, old names of renames included.
+
+    Raises OSError, SubprocessError or ValueError where git can't tell, also if the root isn't the top of a working tree.
+    """
+    if posixpath.realpath(run_git(root, "rev-parse", "--show-toplevel").strip()) != posixpath.realpath(root):
+        raise ValueError("the project isn't the top of a working tree")
+    head = run_git(root, "rev-parse", "HEAD").strip()
+    changes = status_changes(run_git(root, "status", "--porcelain=v2", "--untracked-files=all", "-z"))
+    if last and last != head:
+        changes += diff_changes(run_git(root, "diff", "--name-status", "-z", last, head))
+    return head, sorted({p for pair in changes for p in pair if p})
+
+
 def tracked_paths(root: str) -> list[str]:
     """Tracked and untracked files that aren't ignored, first-seen, without unsafe paths."""
     out: dict[str, None] = {}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,14 +57,29 @@ def refusal(path: Column, dirs: tuple[str, ...] = (), names: tuple[str, ...] = (
     )
 
 
-def scan(spark: SparkSession, root: str) -> DataFrame:
-    """path (relative to the root), size, mtime_ns, content of all files under the root."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+#: Files that are read by their names; more are read by a scan of the whole tree.
+NAMED_FILES = 2000
+
+
+def scan(spark: SparkSession, root: str, names: list[str] | None = None) -> DataFrame:
+    """path (relative to the root), size, mtime_ns, content of all files under the root, or of those named. Contents are read only if they are used."""
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    if names is not None and not names:
+        return spark.createDataFrame([], "path string, size bigint, mtime_ns bigint, content binary")
     base = root.rstrip("/")
-    path = F.regexp_replace("path", f"^file:/*{base.lstrip('/')}/", "")
+    files = reader.load(root if names is None else [re.sub(r"([\[\]{}*?\\])", r"\\\1", f"{base}/{n}") for n in names])
+    path = F.regexp_replace("path", f"^file:/*{re.escape(base.lstrip('/'))}/", "")
     return files.select(path.alias("path"), F.col("length").alias("size"), (F.unix_micros("modificationTime") * 1000).alias("mtime_ns"), "content")
 
 
+def read_files(spark: SparkSession, root: str, paths: DataFrame) -> DataFrame:
+    """`scan` of the files in `paths` (path): few are read by name, many by a scan."""
+    some = [r["path"] for r in paths.select("path").distinct().limit(NAMED_FILES + 1).collect()]
+    if len(some) <= NAMED_FILES:
+        return scan(spark, root, some)
+    return scan(spark, root).join(paths.select("path").distinct(), "path", "left_semi")
+
+
 def discover(files: DataFrame, max_bytes: int = MAX_BYTES, **policy: object) -> DataFrame:
     """path, size, mtime_ns, content, kind, language, extension, file_hash, reason; reason is null for files that are taken.
 
