@@ -361,3 +361,21 @@ def test_rows_of_nothing(spark):
     assert ranking.fuse(empty, ["project_id", "id"]).count() == 0
     assert graph.unique_edges(spark.createDataFrame([], EDGES)).count() == 0
     assert Row is not None
+
+
+def test_inits_and_one_line_interfaces(spark):
+    text = "package m\n\ntype Store interface { Create() error; Close() error }\n\ntype Half struct{}\n\nfunc (h Half) Create() error { return nil }\n\ntype Full struct{}\n\nfunc (f *Full) Create() error { return nil }\n\nfunc (f *Full) Close() error { return nil }\n"
+    two = "package m\n\nfunc init() { initOne() }\n\nfunc init() { initTwo() }\n\nfunc initOne() {}\n\nfunc initTwo() {}\n"
+    files = spark.createDataFrame([("p", "m/a.go", "go", text), ("p", "m/b.go", "go", two), ("p", "m/c.go", "go", two.replace("initOne() {}", "x() {}").replace("initTwo() {}", "y() {}"))], "project_id string, path string, language string, source string")
+    facts = code.source_facts(files)
+    assert rows(code.implements(facts), "type", "interface") == [("m#Full", "m#Store")]
+    inits = code.declared_units(facts).where("name = 'init'").collect()
+    assert len(inits) == len({r.id for r in inits}) == 4 and {r.caller for r in inits} == {"init#1", "init#2"}
+    names = {r.id: r.name for r in code.declared_units(facts).collect()}
+    calls = code.call_edges(facts).where("path = 'm/b.go'").collect()
+    assert {(r.caller, names.get(r.target)) for r in calls} == {("init#1", "initOne"), ("init#2", "initTwo")}
+
+
+def test_a_file_that_breaks_the_parser_is_a_warning(spark, monkeypatch):
+    text = spark.createDataFrame([("p", "a.go", "go", "package a\n"), ("p", "b.ts", "typescript", None)], "project_id string, path string, language string, source string")
+    assert [r.fact for r in code.source_facts(text).collect()] == ["package"]

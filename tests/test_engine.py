@@ -86,3 +86,42 @@ def test_delta_gives_the_edges_of_a_full_refresh(spark, tmp_path):
         whole = Engine(spark, str(root), str(tmp_path / f"whole{n}"))
         whole.sync("full")
         assert edges(engine) == edges(whole)
+
+
+def test_git_pending_embeddings_and_purge(spark, tmp_path):
+    import os
+    import subprocess
+
+    from lodestone.sources.suite import Settings
+
+    root, store, flag = tmp_path / "tree", tmp_path / "store", tmp_path / "works"
+    root.mkdir()
+
+    def run(*args):
+        subprocess.run(["git", "-C", str(root), "-c", "user.name=a", "-c", "user.email=a@b.c", *args], check=True, capture_output=True)
+
+    def fails_at_first(texts):
+        if not os.path.exists(flag):
+            raise OSError("no server")
+        return embedder(texts)
+
+    run("init", "-q")
+    (root / "a.md").write_text("# One\n\nThe heron waits.\n")
+    (root / "b[1].md").write_text("# Two\n\nThe crane stands.\n")
+    run("add", "-A")
+    run("commit", "-qm", "x")
+    engine = Engine(spark, str(root), str(store), Settings(dim=8), fails_at_first)
+    first = engine.sync()
+    assert (first.mode, first.state, first.changed) == ("full", "degraded", 2)
+    assert [sorted(r.pending) for r in engine.read("index_runs").collect()] == [["a.md", "b[1].md"]]
+    flag.write_text("")
+    again = engine.sync()
+    assert (again.mode, again.state, again.changed) == ("delta", "ready", 2)
+    assert engine.sync().changed == 0
+    (root / "a.md").write_text("# One\n\nThe ibis waits.\n")
+    run("commit", "-qam", "y")
+    assert engine.sync().changed == 1
+    found = engine.search_context("where does the ibis wait", expand=lambda q: ["ibis bird", "../x"])
+    assert any("ibis" in e["quote"] for e in found["evidence"]) and found["state"] == "ready" and not found["warnings"]
+    engine.purge()
+    assert engine.manifest().count() == engine.read("doc_chunks").count() == 0
