@@ -11,7 +11,7 @@ from __future__ import annotations
 import base64
 import binascii
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -61,9 +61,11 @@ _PAIRS = [
     re.compile(rf"""{_VALUED}(?P<value>{_QUOTED})\s*,?\s*["']?{_NAMED}"""),
     re.compile(rf"""<\w[^<>]*{_NAMED}[^<>]*(?<!/)>\s*(?P<value>[^<>\s]+)\s*</"""),
 ]
+_VAL = re.compile(r"\b[Vv]al(?:ue)?\b")
 #: What may hold values under its name: a YAML key without a value of its own (or with a block), a list, a member with a `value`, a multi-line string, a here-document.
 _HOLDER = re.compile(r"^(?P<indent>[ \t]*(?:-[ \t]+)*)[\"']?(?P<key>[\w.-]+)[\"']?[ \t]*:[ \t]*(?P<block>[|>][+-]?\d?)?[ \t]*(?:#.*)?\r?$")
 _LIST = re.compile(r"(?P<key>[A-Za-z_][\w.-]*)[\"']?\s*(?::=|[:=])\s*(?:\[\](?:string|byte))?[\[{(](?P<inner>(?:\s*(?:\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`)\s*,?)+)\s*[\])}]")
+_LIST_HEAD = re.compile(r"(?P<key>[A-Za-z_][\w.-]*)[\"']?\s*(?::=|[:=])\s*(?:\[\](?:string|byte))?[\[{(]")
 _MEMBER = re.compile(rf"""(?P<key>[A-Za-z_][\w.-]*)["']?\s*(?::=|[:=])\s*{{[^{{}}]*?{_VALUED}(?P<value>{_QUOTED})""")
 _LONG = re.compile(r"(?P<key>[A-Za-z_][\w.-]*)[ \t]*=[ \t]*(?P<q>\"{3}|'{3})\s*(?P<value>[^\s\"']+)\s*(?P=q)|(?P<name>[A-Za-z_]\w*)=[\"']?\$\(cat <<-?[ \t]*[\"']?(?P<end>\w+)[\"']?[ \t]*\n[ \t]*(?P<held>\S+)[ \t]*\n[ \t]*(?P=end)\b")
 _ITEM = re.compile(r"^[ \t]*-[ \t]+(?P<q>[\"']?)(?P<value>[^\s\"'#]+)(?P=q)[ \t]*(?:#.*)?\r?$")
@@ -270,6 +272,28 @@ class _Reader:
         self.text, self.code = text, code
         self.found: dict[int, tuple[int, str]] = {}
         self.nested: _Nesting | None = None
+        self.wide: dict[re.Pattern, list[re.Match]] = {}
+        self.values: bool | None = None
+
+    def _may(self, pattern: re.Pattern) -> bool:
+        """Whether the text holds what the pattern can't match without."""
+        if pattern in (_XML, _PAIRS[2]):
+            return "</" in self.text
+        if pattern is _LONG:
+            return '"""' in self.text or "'''" in self.text or "$(cat" in self.text
+        if self.values is None:
+            self.values = bool(_VAL.search(self.text))
+        return self.values
+
+    def _begun(self, pattern: re.Pattern, begin: int, line: str) -> list[re.Match]:
+        """Matches, perhaps over several lines, of the pattern that begin on the line; a text is searched once."""
+        if pattern not in self.wide:
+            self.wide[pattern] = list(pattern.finditer(self.text)) if self._may(pattern) else []
+        found = self.wide[pattern]
+        if not found:
+            return []
+        low, high = bisect_left(found, begin, key=re.Match.start), bisect_right(found, begin + len(line), key=re.Match.start)
+        return found[low:high]
 
     def add(self, path: str, begin: int, end: int) -> None:
         if begin not in self.found or self.found[begin][0] < end:
@@ -311,7 +335,6 @@ class _Reader:
 
     def _held(self, begin: int, line: str) -> None:
         """What stands under a sensitive name on this line: items, blocks, members and multi-line strings."""
-        text, end = self.text, begin + len(line)
         strength = "word" if self.code else "strong"
         if (m := _HOLDER.match(line)) and holds(m["key"]):
             indent, name = len(m["indent"]), m["key"]
@@ -333,30 +356,24 @@ class _Reader:
                     break
                 if (x := _CHILD.match(below)) and live(x["value"], "strong"):
                     self.add(f"{m['name']}.value", at + x.start("value"), at + x.end("value"))
-        for m in _LIST.finditer(text, begin):
-            if m.start() > end:
-                break
-            if holds(m["key"]):
+        for head in _LIST_HEAD.finditer(line):
+            m = _LIST.match(self.text, begin + head.start()) if holds(head["key"]) else None
+            if m:
                 for x in re.finditer(_QUOTED, m["inner"]):
                     if live(_unquote(x[0]), "word"):
                         self.add(m["key"], m.start("inner") + x.start() + 1, m.start("inner") + x.end() - 1)
-        for m in _MEMBER.finditer(text, begin):
-            if m.start() > end:
-                break
+        for m in self._begun(_MEMBER, begin, line):
             if holds(m["key"]) and live(_unquote(m["value"]), strength):
                 self.add(f"{m['key']}.value", m.start("value") + 1, m.end("value") - 1)
-        for m in _LONG.finditer(text, begin):
-            if m.start() > end:
-                break
+        for m in self._begun(_LONG, begin, line):
             key, part = (m["key"], "value") if m["key"] else (m["name"], "held")
             if sensitive(key) == "strong" and live(m[part], "strong"):
                 self.add(key, m.start(part), m.end(part))
 
     def _apart(self, begin: int, line: str) -> None:
         """Values whose sensitive name is given as another attribute, member or line next to them."""
-        after = self.text.find("\n", begin + len(line) + 1)
         for pattern in _PAIRS:
-            for m in pattern.finditer(self.text, begin, len(self.text) if after < 0 else after):
+            for m in self._begun(pattern, begin, line):
                 quoted = m["value"][0] in "\"'`"
                 value = _unquote(m["value"]) if quoted else m["value"]
                 if sensitive(m["key"]) == "strong" and live(value, "word" if self.code else "strong"):
@@ -453,15 +470,12 @@ class _Reader:
             part = "value" if m["value"] else "second"
             if live(_unquote(m[part]), "word"):
                 self.add("fallback", begin + m.start(part) + 1, begin + m.end(part) - 1)
-        if "<" in line:
-            for m in _XML.finditer(text, begin):
-                if m.start() > begin + len(line):
-                    break
-                if not sensitive(m["key"]):
-                    continue
-                name = self._nesting().elements(m.start()) + m["key"]
-                if live(m["value"], sensitive(name)):
-                    self.add(name, m.start("value"), m.end("value"))
+        for m in self._begun(_XML, begin, line) if "<" in line else ():
+            if not sensitive(m["key"]):
+                continue
+            name = self._nesting().elements(m.start()) + m["key"]
+            if live(m["value"], sensitive(name)):
+                self.add(name, m.start("value"), m.end("value"))
         self._held(begin, line)
         self._apart(begin, line)
         if ";" in line and "=" in line:
