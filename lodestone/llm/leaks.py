@@ -24,13 +24,16 @@ from lodestone.session import cut_lineage
 
 #: Words of an n-gram, share of the passage a leak holds, and the fewest words of a stretch.
 NGRAM, SHARE, STRETCH = 3, 1 / 3, 5
-#: Bytes of a block of items in every task (words, n-grams and places, 28 bytes a word); more items are scanned for block after block.
-BLOCK_BYTES, WORD_BYTES = 64 << 20, 28
+#: Bytes of a block of items in every task (words, n-grams, places and items, 32 bytes a word); more items are scanned for block after block.
+BLOCK_BYTES, WORD_BYTES = 64 << 20, 32
 #: Words a task remembers the numbers of.
 CACHED_WORDS = 200_000
 
 _MARKUP = re.compile(r"</?[A-Za-z][^<>]{0,200}>|&(?:[a-z]{2,8}|#\d{1,7});|[­​-‏⁠﻿]")
 _WORD = re.compile(r"[^\W_]+")
+_SOME_HAN = re.compile(r"[\u3400-\u9fff]")
+_RUN = re.compile(r"[^\W_](?:\0*[^\W_])*")
+_HAN_RUN = re.compile(r"[\u3400-\u9fff]|(?:(?![\u3400-\u9fff])[^\W_])(?:\0*(?![\u3400-\u9fff])[^\W_])*")
 _HAN = re.compile(r"[\u3400-\u9fff]|[^\u3400-\u9fff]+")
 
 
@@ -45,7 +48,7 @@ def words_of(text: str | None) -> tuple[list[str], list[tuple[int, int]]]:
             words.append(m[0].lower())
             places.append(m.span())
         return words, places
-    for m in re.finditer(r"[\u3400-\u9fff]|(?:(?![\u3400-\u9fff])[^\W_])(?:\0*(?![\u3400-\u9fff])[^\W_])*", blank):
+    for m in (_HAN_RUN if _SOME_HAN.search(blank) else _RUN).finditer(blank):
         word = unicodedata.normalize("NFKC", m[0].replace("\0", "")).casefold()
         parts = [x for part in _WORD.findall(word) for x in _HAN.findall(part)]
         words += parts
@@ -55,9 +58,14 @@ def words_of(text: str | None) -> tuple[list[str], list[tuple[int, int]]]:
 
 def plain_words(text: str | None) -> list[str]:
     """The words alone, which is quicker for plain text."""
-    if text and text.isascii():
+    if not text:
+        return []
+    if text.isascii():
         return _WORD.findall(_MARKUP.sub(" ", text).lower())
-    return words_of(text)[0]
+    if not unicodedata.is_normalized("NFKC", text):
+        return words_of(text)[0]
+    words = _WORD.findall(_MARKUP.sub(lambda m: "" if len(m[0]) == 1 else " ", text).casefold())
+    return [x for w in words for x in _HAN.findall(w)] if _SOME_HAN.search(text) else words
 
 
 class _Hashes:
@@ -107,6 +115,7 @@ class Passages:
         places = np.concatenate([np.empty(0, np.int32), *[b + np.arange(max(0, len(n) - NGRAM + 1), dtype=np.int32) for b, n in zip(self.begins, numbers)]]).astype(np.int32)
         order = np.argsort(grams, kind="stable")
         self.grams, self.places = grams[order], places[order]
+        self.item_of = (np.searchsorted(self.begins, self.places, "right") - 1).astype(np.int32)
 
     def size(self, key_at: int) -> int:
         return int(self.begins[key_at + 1] - self.begins[key_at])
@@ -114,22 +123,27 @@ class Passages:
     def stretches(self, numbers: np.ndarray) -> list[Stretch]:
         """(index of the item, begin and end in the passage, begin and end in the document) of all maximal stretches."""
         grams = _grams(numbers)
-        low, high = np.searchsorted(self.grams, grams, "left"), np.searchsorted(self.grams, grams, "right")
-        hits = np.flatnonzero(high > low)
+        low = np.searchsorted(self.grams, grams)
+        hits = np.flatnonzero(self.grams[np.minimum(low, len(self.grams) - 1)] == grams) if len(self.grams) else ()
         if not len(hits):
             return []
+        high = np.searchsorted(self.grams, grams, "right")
         words, found = numbers.tolist(), []
-        active: dict[int, list[tuple[int, int, int, int]]] = defaultdict(list)
+        active: dict[int, list[tuple[int, int, int, int]]] = {}
+        begins = self.begins.tolist() if len(self.begins) < 10_000 else self.begins
         texts: dict[int, list[int]] = {}
         for j in hits.tolist():
-            for place in self.places[low[j] : high[j]].tolist():
-                item = int(np.searchsorted(self.begins, place, "right")) - 1
-                i = place - int(self.begins[item])
-                running = active[item] = [x for x in active[item] if x[3] > j]  # stretches that are past can't cover what follows
-                if any(a <= i < b and c <= j for a, b, c, _ in running):
-                    continue
+            for place, item in zip(self.places[low[j] : high[j]].tolist(), self.item_of[low[j] : high[j]].tolist()):
+                i = place - begins[item]
+                running = active.get(item)
+                if running is None:
+                    running = active[item] = []
+                elif running:
+                    if any(a <= i < b and c <= j < d for a, b, c, d in running):
+                        continue
+                    running = active[item] = [x for x in running if x[3] > j]  # stretches that are past can't cover what follows
                 if item not in texts:
-                    texts[item] = self.words[self.begins[item] : self.begins[item + 1]].tolist()
+                    texts[item] = self.words[begins[item] : begins[item + 1]].tolist()
                 text = texts[item]
                 if text[i : i + NGRAM] != words[j : j + NGRAM]:
                     continue
@@ -194,10 +208,11 @@ def _extend(text: list[int], words: list[int], i: int, j: int, step: int) -> tup
     def same(x: int, y: int, n: int) -> bool:
         return all(0 <= x + k * step < len(text) and 0 <= y + k * step < len(words) and text[x + k * step] == words[y + k * step] for k in range(n))
 
+    n, m = len(text), len(words)
     while True:
-        if same(i, j, 1):
+        while 0 <= i < n and 0 <= j < m and text[i] == words[j]:
             i, j = i + step, j + step
-        elif same(i + step, j + step, 2):  # a word was changed
+        if same(i + step, j + step, 2):  # a word was changed
             i, j = i + step, j + step
         elif same(i, j + step, 2):  # a word was put in
             j += step
