@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.scalars import base_name, canonical_path, dir_name, stable_id
+from lodestone.session import cut_lineage
 
 FACTS = "fact string, kind string, owner string, name string, target string, exported boolean, start_line bigint, end_line bigint"
 SCRIPTS = [".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs"]
@@ -28,6 +29,11 @@ _JS_FUNC = re.compile(r"^[ \t]*(export\s+(?:default\s+)?)?(?:async\s+)?function\
 _JS_CLASS = re.compile(r"^[ \t]*(export\s+(?:default\s+)?)?(?:abstract\s+)?(class|interface)\s+(\w+)(?:\s+extends\s+([\w.]+))?(?:<[^>{]*>)?(?:\s+implements\s+([\w.,\s]+))?", re.M)
 _JS_METHOD = re.compile(r"^[ \t]+(?:(?:public|private|protected|static|async|readonly|override|get|set)\s+)*(\w+)\s*\([^)]*\)\s*(?::[^{;]+)?\{", re.M)
 _JS_IMPORT = re.compile(r"(?:^|\n)\s*(?:import|export)\s[^;'\"\n]*?from\s*['\"]([^'\"]+)['\"]|\bimport\s*['\"]([^'\"]+)['\"]|\b(?:require|import)\(\s*['\"]([^'\"]+)['\"]\s*\)")
+_JS_BINDING = re.compile(r"\bimport\s+(?:type\s+)?(?:(?P<default>\w+)\s*,?\s*)?(?:\{(?P<named>[^}]*)\}|\*\s*as\s+(?P<space>\w+))?\s*from\s*['\"](?P<spec>[^'\"]+)['\"]")
+_JS_REQUIRED = re.compile(r"\b(?:const|let|var)\s+(?:(?P<space>\w+)|\{(?P<named>[^}]*)\})\s*=\s*require\(\s*['\"](?P<spec>[^'\"]+)['\"]\s*\)")
+_JS_EXPORT = re.compile(r"\bexport\s+(?:type\s+)?(?:\{(?P<named>[^}]*)\}|\*(?:\s*as\s+(?P<space>\w+))?)(?:\s*from\s*['\"](?P<spec>[^'\"]+)['\"])?")
+_JS_DEFAULT = re.compile(r"\bexport\s+default\s+(?:async\s+)?(?:(?:abstract\s+)?(?:function\s*\*?|class|interface)\s+)?(\w+)")
+_JS_COMMON = re.compile(r"(?<![\w.])(?:module\.)?exports\.(?P<name>\w+)\s*=\s*(?P<local>\w+)\s*(?:;|\n|$)|(?<![\w.])module\.exports\s*=\s*\{(?P<named>[^}]*)\}")
 _CALL = re.compile(r"(?<![\w.])((?:\w+\.)?\w+)\s*\(")
 #: Fixed: words before a parenthesis that are no calls.
 _NO_CALL = set("if for while switch catch func function return typeof await new range defer go select case else do with super import constructor".split())
@@ -88,9 +94,43 @@ def go_facts(text: str) -> Iterator[tuple]:
     yield from _calls(plain, spans, line)
 
 
+def _named(clause: str | None, mark: str) -> Iterator[tuple[str, str]]:
+    """(first, second) name of each item "a", "a as b" or "a: b" of a clause in braces."""
+    for item in (clause or "").split(","):
+        names = re.split(mark, item.strip().removeprefix("type "))
+        if re.fullmatch(r"\w+", names[0]) and re.fullmatch(r"\w+", names[-1]):
+            yield names[0], names[-1]
+
+
+def _module_facts(text: str, line: object) -> Iterator[tuple]:
+    """Names that a script binds by imports (kind "named" or "namespace", owner the imported name) and gives out: kind "local" (owner its own name),
+    "from" (owner the other module's name) or "star"."""
+    for pattern in (_JS_BINDING, _JS_REQUIRED):
+        for m in pattern.finditer(text):
+            at, got = line(m.start()), m.groupdict()
+            if got.get("default"):
+                yield ("binding", "named", "default", got["default"], m["spec"], None, at, at)
+            if got["space"]:
+                yield ("binding", "namespace", "*", got["space"], m["spec"], None, at, at)
+            for theirs, own in _named(got["named"], r"\s+as\s+|\s*:\s*"):
+                yield ("binding", "named", theirs, own, m["spec"], None, at, at)
+    for m in _JS_EXPORT.finditer(text):
+        at, spec = line(m.start()), m["spec"] or ""
+        if m["named"] is None and spec:
+            yield ("export", "from" if m["space"] else "star", "*", m["space"] or "*", spec, None, at, at)
+        for own, given in _named(m["named"], r"\s+as\s+"):
+            yield ("export", "from" if spec else "local", own, given, spec, None, at, at)
+    for m in _JS_DEFAULT.finditer(text):
+        yield ("export", "local", m[1], "default", "", None, line(m.start()), line(m.start()))
+    for m in _JS_COMMON.finditer(text):
+        for given, own in [(m["name"], m["local"])] if m["name"] else _named(m["named"], r"\s*:\s*"):
+            yield ("export", "local", own, given, "", None, line(m.start()), line(m.start()))
+
+
 def script_facts(text: str) -> Iterator[tuple]:
     plain = blanked(text)
     line = lambda at: plain.count("\n", 0, at) + 1
+    yield from _module_facts(re.sub(r"//[^\n]*|/\*.*?\*/", lambda m: re.sub(r"[^\n]", " ", m[0]), text, flags=re.S), line)
     for m in _JS_IMPORT.finditer(text):
         spec = m[1] or m[2] or m[3]
         yield ("import", "imports", "", spec.rsplit("/", 1)[-1], spec, None, line(m.start() + 1), line(m.end()))
@@ -204,18 +244,64 @@ def package_targets(imports: DataFrame, files: DataFrame) -> DataFrame:
     return found.withColumn("resolution", F.when(F.col("target").isNotNull(), "local").otherwise("external"))
 
 
-def call_edges(facts: DataFrame) -> DataFrame:
-    """project_id, path, caller, callee, target, resolution, fidelity of calls: in the same file first, then, for Go, in the same package.
+def exported_units(facts: DataFrame, modules: DataFrame) -> DataFrame:
+    """project_id, path, name, id: what each name that a script module gives out means, through re-exports and cycles of them.
+
+    Explicit exports come before those of a star; a name that several modules give through stars, or that means several
+    units, means nothing. `modules` is what `module_targets` gives.
+    """
+    key = ["project_id", "path", "name"]
+    scripts = facts.where(~F.col("path").endswith(".go"))
+    own = declared_units(scripts).where("owner = ''").select("project_id", "path", F.col("name").alias("local"), "id", "exported").distinct()
+    there = modules.where("target IS NOT NULL").select("project_id", "path", F.col("specifier").alias("spec"), F.col("target").alias("to_path"))
+    given = scripts.where("fact = 'export'").select("project_id", "path", "kind", F.col("owner").alias("local"), "name", F.col("target").alias("spec")).distinct()
+    bound = scripts.where("fact = 'binding' AND kind = 'named'").select("project_id", "path", F.col("name").alias("local"), F.col("owner").alias("to_name"), F.col("target").alias("spec")).distinct()
+    listed = given.where("kind = 'local'").select("project_id", "path", "local", "name")
+    direct = own.where("exported").select("project_id", "path", F.col("local").alias("name"), "id").unionByName(listed.join(own, ["project_id", "path", "local"]).select(*key, "id"))
+    onward = given.where("kind = 'from'").select(*key, "spec", F.col("local").alias("to_name")).unionByName(listed.join(bound, ["project_id", "path", "local"]).select(*key, "spec", "to_name"))
+    onward = cut_lineage(onward.join(there, ["project_id", "path", "spec"]).select(*key, "to_path", "to_name").distinct())
+    stars = cut_lineage(given.where("kind = 'star'").join(there, ["project_id", "path", "spec"]).select("project_id", "path", "to_path").distinct())
+    explicit = cut_lineage(direct.select(*key).unionByName(given.where("kind <> 'star'").select(*key)).distinct())
+    known = cut_lineage(direct.distinct())
+    front = known
+    while True:
+        reached = front.select("project_id", F.col("path").alias("to_path"), F.col("name").alias("to_name"), "id")
+        through = onward.join(reached, ["project_id", "to_path", "to_name"]).select(*key, "id")
+        by_star = stars.join(reached.where("to_name <> 'default'"), ["project_id", "to_path"]).select("project_id", "path", F.col("to_name").alias("name"), "id").join(explicit, key, "left_anti")
+        front = cut_lineage(through.unionByName(by_star).distinct().join(known, [*key, "id"], "left_anti"))
+        if front.isEmpty():
+            break
+        known = cut_lineage(known.unionByName(front))
+    return known.groupBy(*key).agg(F.count("*").alias("n"), F.min("id").alias("id")).where("n = 1").select(*key, "id")
+
+
+def imported_calls(facts: DataFrame, modules: DataFrame) -> DataFrame:
+    """project_id, path, whole, id: what calls of script files mean through the file's imports, `whole` being the name or "namespace.name" as written."""
+    there = modules.where("target IS NOT NULL").select("project_id", "path", F.col("specifier").alias("spec"), F.col("target").alias("to_path"))
+    bound = facts.where("fact = 'binding'").select("project_id", "path", "kind", F.col("owner").alias("to_name"), F.col("name").alias("local"), F.col("target").alias("spec")).distinct().join(there, ["project_id", "path", "spec"])
+    calls = facts.where("fact = 'call'").where(~F.col("path").endswith(".go")).select("project_id", "path", F.col("target").alias("whole"), F.substring_index("target", ".", 1).alias("local"), F.col("name").alias("last")).distinct()
+    met = calls.join(bound, ["project_id", "path", "local"]).where((F.col("kind") == "namespace") == F.contains("whole", F.lit(".")))
+    met = met.select("project_id", "path", "whole", "to_path", F.when(F.col("kind") == "namespace", F.col("last")).otherwise(F.col("to_name")).alias("to_name"))
+    means = exported_units(facts, modules).select("project_id", F.col("path").alias("to_path"), F.col("name").alias("to_name"), "id")
+    found = met.join(means, ["project_id", "to_path", "to_name"]).groupBy("project_id", "path", "whole").agg(F.count_distinct("id").alias("n"), F.min("id").alias("id"))
+    return found.where("n = 1").select("project_id", "path", "whole", "id")
+
+
+def call_edges(facts: DataFrame, modules: DataFrame | None = None) -> DataFrame:
+    """project_id, path, caller, callee, target, resolution, fidelity of calls: in the same file first, then, for Go, in the same package, for
+    scripts by what they import if `modules` (of `module_targets`) is given.
 
     A name that several declarations have within that reach stays unresolved.
     """
     area = F.when(F.col("path").endswith(".go"), dir_name(F.col("path"))).otherwise(F.col("path"))
     units = declared_units(facts).withColumn("area", area)
-    calls = facts.where("fact = 'call'").select("project_id", "path", F.col("owner").alias("caller"), F.col("name").alias("callee"), "start_line").withColumn("area", area).distinct()
+    calls = facts.where("fact = 'call'").select("project_id", "path", F.col("owner").alias("caller"), F.col("name").alias("callee"), F.col("target").alias("whole"), "start_line").withColumn("area", area).distinct()
     near = units.groupBy("project_id", "area", F.col("name").alias("callee")).agg(F.count("*").alias("n"), F.min("id").alias("target"))
-    joined = calls.join(near, ["project_id", "area", "callee"], "left")
-    local = F.col("n") == 1
-    return joined.select("project_id", "path", "caller", "callee", "start_line", F.when(local, F.col("target")).alias("target"), F.when(local, "local").otherwise("unresolved").alias("resolution"), F.lit("name").alias("fidelity"))
+    joined = calls.join(near, ["project_id", "area", "callee"], "left").withColumn("target", F.when(F.col("n") == 1, F.col("target")))
+    if modules is not None:
+        joined = joined.join(imported_calls(facts, modules), ["project_id", "path", "whole"], "left").withColumn("target", F.coalesce("target", "id"))
+    found = F.when(F.col("target").isNotNull(), "local").otherwise("unresolved").alias("resolution")
+    return joined.select("project_id", "path", "caller", "callee", "start_line", "target", found, F.lit("name").alias("fidelity")).distinct()
 
 
 def heritage_edges(facts: DataFrame, imported: DataFrame) -> DataFrame:

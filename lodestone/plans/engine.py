@@ -188,10 +188,10 @@ class Engine:
         columns = ["project_id", "source_id", "target_id", "relation", "path", "start_line", "end_line", "resolution"]
         declared = code.declared_units(facts)
         by_name = declared.select("project_id", "path", "caller", F.col("id").alias("source_id")).dropDuplicates(["project_id", "path", "caller"])
-        calls = code.call_edges(facts).join(by_name, ["project_id", "path", "caller"]).select("project_id", "source_id", F.coalesce("target", F.concat(F.lit("name:"), "callee")).alias("target_id"), F.lit("calls").alias("relation"), "path", "start_line", F.col("start_line").alias("end_line"), "resolution")
-        contains = declared.select("project_id", file_id(F.col("path")).alias("source_id"), F.col("id").alias("target_id"), F.lit("contains").alias("relation"), "path", "start_line", "end_line", F.lit("local").alias("resolution"))
         found, go, known = facts.where("fact = 'import'"), F.col("path").endswith(".go"), paths.distinct()
         modules, packages = code.module_targets(found.where(~go), known), code.package_targets(found.where(go), known)
+        calls = code.call_edges(facts, modules).join(by_name, ["project_id", "path", "caller"]).select("project_id", "source_id", F.coalesce("target", F.concat(F.lit("name:"), "callee")).alias("target_id"), F.lit("calls").alias("relation"), "path", "start_line", F.col("start_line").alias("end_line"), "resolution")
+        contains = declared.select("project_id", file_id(F.col("path")).alias("source_id"), F.col("id").alias("target_id"), F.lit("contains").alias("relation"), "path", "start_line", "end_line", F.lit("local").alias("resolution"))
         outside, first = F.concat(F.lit("external:"), "specifier"), F.lit(1).cast("bigint")
         imports = modules.withColumn("target_id", file_id(F.col("target"))).unionByName(packages.withColumn("target_id", code.package_id(F.col("target"))))
         imports = imports.select("project_id", file_id(F.col("path")).alias("source_id"), F.when(F.col("target").isNotNull(), F.col("target_id")).otherwise(outside).alias("target_id"), F.lit("imports").alias("relation"), "path", first.alias("start_line"), first.alias("end_line"), "resolution")

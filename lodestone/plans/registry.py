@@ -583,8 +583,10 @@ def code_declarations(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def code_calls(spark: SparkSession, folder: str) -> DataFrame:
-    """Calls in active files, resolved by name."""
-    return code.call_edges(_facts(spark, folder))
+    """Calls in active files, resolved by name, those of scripts through imports and re-exports as well."""
+    facts = cut_lineage(_facts(spark, folder))
+    modules = code.module_targets(facts.where("fact = 'import'").where(~F.col("path").endswith(".go")), _manifest(spark, folder))
+    return code.call_edges(facts, modules)
 
 
 @query()

@@ -379,3 +379,19 @@ def test_inits_and_one_line_interfaces(spark):
 def test_a_file_that_breaks_the_parser_is_a_warning(spark, monkeypatch):
     text = spark.createDataFrame([("p", "a.go", "go", "package a\n"), ("p", "b.ts", "typescript", None)], "project_id string, path string, language string, source string")
     assert [r.fact for r in code.source_facts(text).collect()] == ["package"]
+
+
+def test_calls_through_imports_and_re_exports(spark):
+    files = {
+        "a.ts": 'import { helper as h, twice, Own } from "./index";\nimport * as lib from "./lib";\nimport make from "./make";\nconst { old } = require("./old");\nexport function run() {\n  h();\n  twice();\n  lib.deep();\n  make();\n  old();\n  Own();\n}\n',
+        "index.ts": 'export { inner as helper } from "./lib";\nexport * from "./left";\nexport * from "./right";\nimport { inner } from "./lib";\nexport { inner as Own };\n// export { inner as ghost }\n',
+        "lib.ts": 'export function inner() {\n}\nexport function deep() {\n}\nexport * from "./index";\n', "left.ts": "export function twice() {\n}\n", "right.ts": "export function twice() {\n}\n",
+        "make.ts": "export default function build() {\n}\n", "old.js": "function gone() {\n}\nmodule.exports = { old: gone };\n",
+    }
+    df = spark.createDataFrame([("p", p, "typescript", s) for p, s in files.items()], "project_id string, path string, language string, source string")
+    facts = code.source_facts(df)
+    modules = code.module_targets(facts.where("fact = 'import'"), df)
+    names = {r.id: f"{r.path}:{r.name}" for r in code.declared_units(facts).collect()}
+    got = {r.callee: names.get(r.target) for r in code.call_edges(facts, modules).where("path = 'a.ts'").collect()}
+    assert got == {"h": "lib.ts:inner", "twice": None, "deep": "lib.ts:deep", "make": "make.ts:build", "old": "old.js:gone", "Own": "lib.ts:inner"}
+    assert not code.exported_units(facts, modules).where("name = 'ghost'").count()
