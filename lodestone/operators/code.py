@@ -261,17 +261,15 @@ def exported_units(facts: DataFrame, modules: DataFrame) -> DataFrame:
     onward = given.where("kind = 'from'").select(*key, "spec", F.col("local").alias("to_name")).unionByName(listed.join(bound, ["project_id", "path", "local"]).select(*key, "spec", "to_name"))
     onward = cut_lineage(onward.join(there, ["project_id", "path", "spec"]).select(*key, "to_path", "to_name").distinct())
     stars = cut_lineage(given.where("kind = 'star'").join(there, ["project_id", "path", "spec"]).select("project_id", "path", "to_path").distinct())
-    explicit = cut_lineage(direct.select(*key).unionByName(given.where("kind <> 'star'").select(*key)).distinct())
     known = cut_lineage(direct.distinct())
-    front = known
-    while True:
+    explicit = known.select(*key).unionByName(given.where("kind <> 'star'").select(*key)).distinct()
+    front = known if not (onward.isEmpty() and stars.isEmpty()) else known.limit(0)
+    while not front.isEmpty():
         reached = front.select("project_id", F.col("path").alias("to_path"), F.col("name").alias("to_name"), "id")
         through = onward.join(reached, ["project_id", "to_path", "to_name"]).select(*key, "id")
         by_star = stars.join(reached.where("to_name <> 'default'"), ["project_id", "to_path"]).select("project_id", "path", F.col("to_name").alias("name"), "id").join(explicit, key, "left_anti")
         front = cut_lineage(through.unionByName(by_star).distinct().join(known, [*key, "id"], "left_anti"))
-        if front.isEmpty():
-            break
-        known = cut_lineage(known.unionByName(front))
+        known = known.unionByName(front)
     return known.groupBy(*key).agg(F.count("*").alias("n"), F.min("id").alias("id")).where("n = 1").select(*key, "id")
 
 

@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.functions.scalars import cosine_distance, normalized_text, query_tokens, text_tokens
+from lodestone.functions.scalars import cosine_distance, normalized_text, query_tokens
+from lodestone.operators.visibility import visible
 from lodestone.session import cut_lineage
 
 MOST = 50
@@ -23,7 +24,7 @@ def unit_candidates(units: DataFrame) -> DataFrame:
     return units.select(
         "project_id", "id", F.lit("code").alias("type"), F.lit("full_text").alias("match"), "language", "extension", "path",
         F.coalesce(F.nullif("qualified_name", F.lit("")), "name").alias("symbol"), F.lit("").alias("relation"), F.lit("").alias("heading"),
-        "file_hash", "start_line", "end_line", "weight", F.coalesce("source", F.lit("")).alias("content"),
+        "file_hash", "generation", "start_line", "end_line", "weight", F.coalesce("source", F.lit("")).alias("content"),
         F.concat_ws(" ", "search_text", "source").alias("text"),
     )
 
@@ -33,7 +34,7 @@ def chunk_candidates(chunks: DataFrame) -> DataFrame:
     return chunks.select(
         "project_id", "id", F.lit("doc").alias("type"), F.lit("full_text").alias("match"), F.lit("markdown").alias("language"), "extension", "path",
         F.lit("").alias("symbol"), F.lit("").alias("relation"), F.coalesce("heading", F.lit("")).alias("heading"),
-        "file_hash", "start_line", "end_line", F.lit(1.0).alias("weight"), F.coalesce("content", F.lit("")).alias("content"),
+        "file_hash", "generation", "start_line", "end_line", F.lit(1.0).alias("weight"), F.coalesce("content", F.lit("")).alias("content"),
         F.concat_ws(" ", "path", "heading", "content").alias("text"), "embedding",
     )
 
@@ -47,15 +48,26 @@ def lexical_score(text: Column, question: str, weight: Column) -> Column:
 
 
 def matches_any(text: Column, question: str) -> Column:
-    """Whether the text shares a token with the question."""
+    """Whether the text shares a token with the question: a whole run of ASCII letters and digits, or a CJK character."""
     tokens = query_tokens(question)
-    return F.arrays_overlap(text_tokens(text), F.array(*map(F.lit, tokens))) if tokens else F.lit(False)
+    runs = [t for t in tokens if t.isascii()]
+    parts = [rf"(?<![a-z0-9])(?:{'|'.join(runs)})(?![a-z0-9])"] if runs else []
+    return F.lower(text).rlike("|".join([*parts, *(t for t in tokens if not t.isascii())])) if tokens else F.lit(False)
 
 
 #: Keys of best rows that may be sent to every task (about 200 bytes each).
 SENT_KEYS = 100_000
 
 
+def _version(manifest: DataFrame | None) -> list[str]:
+    return [] if manifest is None else ["file_hash", "generation"]
+
+
+def _active(rows: DataFrame, manifest: DataFrame | None) -> DataFrame:
+    """Rows of active versions; only keys and scores meet the manifest."""
+    return rows if manifest is None else visible(rows, manifest)
+
+
 def _with_content(best: DataFrame, candidates: DataFrame, key: list[str]) -> DataFrame:
     """The candidates' other columns of the best rows (key, score and place), which are few a project: nothing else of them moves."""
     best = cut_lineage(best)
@@ -66,8 +78,8 @@ def _with_content(best: DataFrame, candidates: DataFrame, key: list[str]) -> Dat
     return wide.join(keys, same).drop(*[f"_{c}" for c in key]).dropDuplicates(key)
 
 
-def lexical_search(candidates: DataFrame, question: str, limit: int = MOST) -> DataFrame:
-    """The best matches of each project, `place` from 1: by score, weight, path, first line and id.
+def lexical_search(candidates: DataFrame, question: str, limit: int = MOST, manifest: DataFrame | None = None) -> DataFrame:
+    """The best matches of each project, `place` from 1: by score, weight, path, first line and id; with a manifest only those of active versions.
 
     All matches are ranked before the cut. Rows of null text match nothing; a question without tokens finds nothing;
     repeated rows are one candidate.
@@ -76,13 +88,14 @@ def lexical_search(candidates: DataFrame, question: str, limit: int = MOST) -> D
     scored = (
         candidates.where(matches_any(F.col("text"), question))
         .withColumn("score", lexical_score(normalized_text(F.col("text")), question, F.coalesce("weight", F.lit(1.0))))
-        .select("project_id", "id", "path", "start_line", "score", "weight")
-        .dropDuplicates(["project_id", "id", "path", "start_line"])
+        .select("project_id", "id", "path", "start_line", *_version(manifest), "score", "weight")
     )
-    return _with_content(scored.withColumn("place", F.row_number().over(order)).where(F.col("place") <= clamp_limit(limit)), candidates, ["project_id", "id", "path", "start_line"])
+    scored = _active(scored, manifest).dropDuplicates(["project_id", "id", "path", "start_line"])
+    best = scored.withColumn("place", F.row_number().over(order)).where(F.col("place") <= clamp_limit(limit))
+    return _with_content(best, candidates, ["project_id", "id", "path", "start_line", *_version(manifest)])
 
 
-def vector_search(candidates: DataFrame, vector: list[float], limit: int = MOST) -> DataFrame:
+def vector_search(candidates: DataFrame, vector: list[float], limit: int = MOST, manifest: DataFrame | None = None) -> DataFrame:
     """The chunks of each project nearest to the vector by exact cosine; score = 1 - distance, ties by id.
 
     Null, empty and all-zero embeddings and those of another length aren't candidates.
@@ -90,8 +103,9 @@ def vector_search(candidates: DataFrame, vector: list[float], limit: int = MOST)
     asked = F.array(*[F.lit(float(x)) for x in vector])
     near = Window.partitionBy("project_id").orderBy("distance", "id")
     scored = candidates.withColumn("distance", cosine_distance(F.col("embedding"), asked)).where("distance IS NOT NULL")
-    slim = scored.select("project_id", "id", "distance").dropDuplicates(["project_id", "id"])
-    ranked = _with_content(slim.withColumn("place", F.row_number().over(near)).where(F.col("place") <= clamp_limit(limit)), candidates, ["project_id", "id"])
+    where = ["path", *_version(manifest)] if manifest is not None else []
+    slim = _active(scored.select("project_id", "id", *where, "distance"), manifest).dropDuplicates(["project_id", "id"])
+    ranked = _with_content(slim.withColumn("place", F.row_number().over(near)).where(F.col("place") <= clamp_limit(limit)), candidates, ["project_id", "id", *where])
     return ranked.withColumn("score", 1 - F.col("distance")).withColumn("match", F.lit("vector")).drop("distance")
 
 

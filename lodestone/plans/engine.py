@@ -291,11 +291,11 @@ class Engine:
             manifest = manifest.join(visibility.expand_scopes(manifest, scopes), ["project_id", "path"], "left_semi")
         terms = [*ranking.question_terms(question), *(terms or [])]
         asked = " ".join([question, *terms])
-        units, chunks = visibility.visible(self.read("code_units"), manifest), visibility.visible(self.read("doc_chunks"), manifest)
-        lists = [search.lexical_search(search.unit_candidates(units), asked), search.lexical_search(search.chunk_candidates(chunks), asked)]
+        units, chunks = visibility.visible(self.read("code_units"), manifest), search.chunk_candidates(self.read("doc_chunks"))
+        lists = [search.lexical_search(search.unit_candidates(self.read("code_units")), asked, manifest=manifest), search.lexical_search(chunks, asked, manifest=manifest)]
         if self.embedder is not None:
             try:
-                lists.append(search.vector_search(search.chunk_candidates(chunks), self.embedder([question])[0]))
+                lists.append(search.vector_search(chunks, self.embedder([question])[0], manifest=manifest))
             except Exception as e:  # noqa: BLE001  the other lists still hold
                 self.warnings.append(f"vector search: {e}"[:500])
         rows = [x.select("project_id", *search.CANDIDATE, "place", F.lit(n).alias("list")) for n, x in enumerate(lists, 1)]

@@ -248,13 +248,11 @@ _RANKED = ["project_id", "id", "path", "start_line", "score", "weight", "place"]
 
 
 def _code_list(spark: SparkSession, folder: str, manifest: DataFrame | None = None) -> DataFrame:
-    units = visibility.visible(table(spark, folder, "code_units"), manifest or _manifest(spark, folder))
-    return search.lexical_search(search.unit_candidates(units), QUESTION)
+    return search.lexical_search(search.unit_candidates(table(spark, folder, "code_units")), QUESTION, manifest=manifest or _manifest(spark, folder))
 
 
 def _docs_list(spark: SparkSession, folder: str, manifest: DataFrame | None = None) -> DataFrame:
-    chunks = visibility.visible(table(spark, folder, "doc_chunks"), manifest or _manifest(spark, folder))
-    return search.lexical_search(search.chunk_candidates(chunks), QUESTION)
+    return search.lexical_search(search.chunk_candidates(table(spark, folder, "doc_chunks")), QUESTION, manifest=manifest or _manifest(spark, folder))
 
 
 @query(f"{_MANIFEST}, {_CODE_CTES} SELECT project_id, id, path, start_line, score, weight, place FROM code")
@@ -275,8 +273,7 @@ _VECTOR_SQL = "[" + ", ".join(map(str, VECTOR)) + "]::DOUBLE[]"
 
 
 def _vector_list(spark: SparkSession, folder: str, manifest: DataFrame | None = None) -> DataFrame:
-    chunks = visibility.visible(table(spark, folder, "doc_chunks"), manifest or _manifest(spark, folder))
-    return search.vector_search(search.chunk_candidates(chunks), VECTOR)
+    return search.vector_search(search.chunk_candidates(table(spark, folder, "doc_chunks")), VECTOR, manifest=manifest or _manifest(spark, folder))
 
 
 _VECTOR_CTES = f"""vectors AS (
