@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from lodestone.functions.scalars import dir_name, token_estimate
 from lodestone.operators import code, graph, markdown, ranking, search, visibility
 from lodestone.operators.evidence import evidence
-from lodestone.session import cut_lineage
+from lodestone.session import cut_lineage, side_by_side
 from lodestone.sources import git, project
 from lodestone.sources.suite import Question, Settings
 
@@ -292,7 +292,8 @@ class Engine:
         terms = [*ranking.question_terms(question), *(terms or [])]
         asked = " ".join([question, *terms])
         units, chunks = visibility.visible(self.read("code_units"), manifest), search.chunk_candidates(self.read("doc_chunks"))
-        lists = [search.lexical_search(search.unit_candidates(self.read("code_units")), asked, manifest=manifest), search.lexical_search(chunks, asked, manifest=manifest)]
+        texts = [search.unit_candidates(self.read("code_units")), chunks]
+        lists = side_by_side(self.spark, *[lambda t=t: search.lexical_search(t, asked, manifest=manifest) for t in texts])
         if self.embedder is not None:
             try:
                 lists.append(search.vector_search(chunks, self.embedder([question])[0], manifest=manifest))

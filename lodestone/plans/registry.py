@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import scalars
 from lodestone.operators import code, graph, markdown, ranking, search, visibility
 from lodestone.operators.change_feed import current_files
-from lodestone.session import cut_lineage
+from lodestone.session import cut_lineage, side_by_side
 from lodestone.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -304,7 +304,7 @@ def vector_batch(spark: SparkSession, folder: str) -> DataFrame:
 def _lists(spark: SparkSession, folder: str) -> DataFrame:
     """Code, documents and vectors, as lists 1, 2 and 3. The manifest is made once."""
     manifest = cut_lineage(_manifest(spark, folder))
-    lists = [_code_list(spark, folder, manifest), _docs_list(spark, folder, manifest), _vector_list(spark, folder, manifest)]
+    lists = side_by_side(spark, *[lambda make=make: make(spark, folder, manifest) for make in (_code_list, _docs_list, _vector_list)])
     rows = [x.select("project_id", *search.CANDIDATE, "place", F.lit(n).alias("list")) for n, x in enumerate(lists, 1)]
     return rows[0].unionByName(rows[1]).unionByName(rows[2])
 

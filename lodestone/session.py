@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 #: Settings every query may rely on. AQE sizes the partitions after a shuffle and splits skewed ones.
@@ -53,6 +56,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def side_by_side(spark: SparkSession, *makers: Callable[[], DataFrame]) -> list[DataFrame]:
+    """What the makers give, made at the same time: their jobs are too small to keep a cluster busy one after another."""
+    with ThreadPoolExecutor(max(1, len(makers))) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(spark)(m)) for m in makers]]
+
+
 _shipped: set[str] = set()
 
 
