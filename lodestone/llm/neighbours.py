@@ -3,8 +3,8 @@
 Vectors are scaled to unit length and rotated at random; equal vectors are searched for once. A bounded
 sample gives centroids, and beyond COARSE_CELLS cells a second set of them, for what the first leave, so
 that cells keep their size while a vector is compared with about the square root of their number. Every
-vector is then indexed in the cell of its nearest centroid c by the signs of its rotated residual (one bit
-a dimension), the residual's length and the inner product f of the residual's direction with its code.
+vector is then indexed in the cells of its two nearest centroids c by the signs of its rotated residual (one
+bit a dimension), the residual's length and the inner product f of the residual's direction with its code.
 A query visits the nearest cells. There its residual is quantised to 4 bits, inner products with all
 codes are estimated with AND and popcount, and dividing by f makes the estimate unbiased, with an error
 of at most EPSILON * sqrt((1 - f*f) / f*f / (D - 1)) with high probability. Vectors whose upper bound
@@ -29,8 +29,10 @@ from lodestone.session import cut_lineage
 TRAIN_ROWS = 20_000
 #: Rows a cell should hold, and centroids of the first set (1024 x 64 floats are 256 kB). The second set has rows / CELL_ROWS / COARSE_CELLS.
 CELL_ROWS, COARSE_CELLS = 1024, 1024
-#: Cells a query visits in a collection of PROBE_CELLS cells; with more cells their fourth root more. Measured on 167k vectors: 95 % of the true five nearest, 99 % of those above 0.82.
-PROBES, PROBE_CELLS = 12, 163
+#: Cells a query visits in a collection of PROBE_CELLS cells; with more cells their fourth root more.
+PROBES, PROBE_CELLS = 11, 163
+#: Cells a row is held in where queries don't visit all: a neighbour beyond the border of a query's cells is mostly held on this side, too. A second home finds more than one more probe, and costs as much shuffle.
+HOMES = 2
 #: Cells of more rows are parted; parts of such a cell that a query visits; rows of a part that are scanned at a time, and queries.
 BLOCK_ROWS, PART_PROBES, BLOCK_QUERIES = 8192, 8, 32_768
 EPSILON = 1.9
@@ -263,6 +265,7 @@ def _search(vectors: DataFrame, dim: int, total: int, k: int, probes: int, cell_
     sample = np.frombuffer(b"".join(bytes(r["vec"]) for r in picked), np.float32).reshape(len(picked), -1) @ turn if picked else np.zeros((1, turn.shape[1]), np.float32)
     cells = Cells(sample, total, cell_rows)
     probes = min(round(probes * max(1.0, cells.count / PROBE_CELLS) ** 0.25), cells.count)
+    homes = min(HOMES, probes) if probes < cells.count else 1
 
     def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for whole in batches:
@@ -271,25 +274,28 @@ def _search(vectors: DataFrame, dim: int, total: int, k: int, probes: int, cell_
                 batch = whole.iloc[at : at + step]
                 vec = np.frombuffer(b"".join(batch["vec"]), np.float32).reshape(len(batch), -1) @ turn
                 near = cells.nearest(vec, probes)
-                bits, length, factor = encode(vec, np.stack([cells.centre(c) for c in near[:, 0]]))
+                held = near[:, :homes].ravel()
+                bits, length, factor = encode(np.repeat(vec, homes, axis=0), np.stack([cells.centre(c) for c in held]))
                 half = vec.astype(np.float16)
                 yield pd.DataFrame(
                     {
                         "id": batch["id"].to_numpy(),
                         "near": list(near.astype(np.int64)),
-                        "code": [b.tobytes() for b in bits],
-                        "length": length,
-                        "factor": factor,
+                        "code": [b.tobytes() for b in bits.reshape(len(batch), -1)],
+                        "length": list(length.reshape(-1, homes)),
+                        "factor": list(factor.reshape(-1, homes)),
                         "half": [h.tobytes() for h in half],
                     }
                 )
 
-    indexed = cut_lineage(vectors.mapInPandas(index, "id bigint, near array<bigint>, code binary, length float, factor float, half binary"))
+    indexed = cut_lineage(vectors.mapInPandas(index, "id bigint, near array<bigint>, code binary, length array<float>, factor array<float>, half binary"))
     nothing = [F.lit(None).cast(t).alias(n) for n, t in (("code", "binary"), ("length", "float"), ("factor", "float"))]
-    stored = indexed.select(F.col("near")[0].alias("cell"), "id", "half", "code", "length", "factor")
+    width = turn.shape[1] // 8
+    stored = indexed.select(F.posexplode(F.slice("near", 1, homes)).alias("n", "cell"), "id", "half", "code", "length", "factor")
+    stored = stored.select("cell", "id", "half", F.expr(f"substring(code, n * {width} + 1, {width})").alias("code"), F.expr("length[n]").alias("length"), F.expr("factor[n]").alias("factor"))
     asked = indexed.select(F.explode("near").alias("cell"), "id", "half", *nothing)
     both = stored.unionByName(asked)
-    sizes = indexed.select(F.posexplode("near").alias("place", "cell")).groupBy("cell").agg(F.count_if(F.col("place") == 0).alias("rows"), F.count("*").alias("asked"))
+    sizes = indexed.select(F.posexplode("near").alias("place", "cell")).groupBy("cell").agg(F.count_if(F.col("place") < homes).alias("rows"), F.count("*").alias("asked"))
     large = cut_lineage(sizes.where((F.col("rows") > BLOCK_ROWS) | (F.col("asked") > BLOCK_QUERIES)))
     if large.isEmpty():
         placed = both.select("cell", F.lit(0).alias("block"), F.lit(0).alias("salt"), "id", "half", "code", "length", "factor")
