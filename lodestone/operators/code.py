@@ -204,30 +204,102 @@ def implements(facts: DataFrame) -> DataFrame:
     return held.join(need, ["project_id", "interface"]).where("_held = _need").select("project_id", F.col("id").alias("type"), "interface", F.lit("name").alias("fidelity"))
 
 
-def module_targets(imports: DataFrame, files: DataFrame, aliases: list[tuple[str, str]] | None = None) -> DataFrame:
-    """project_id, path, specifier, target, resolution of script imports: relative ones and aliased ones (pattern with one "*", replacement).
+#: Settings of scripts are read from files of at most so many bytes.
+SETTING_BYTES = 1024 * 1024
 
-    Of the places a specifier may mean (as written, with each extension, as a directory's index) the first that exists holds.
-    What isn't found is external if it names a package, else unresolved. The most specific alias alone is tried.
+
+def _one_json(text: Column, schema: str) -> Column:
+    """`text` as a JSON object, or null where it is too long or anything else."""
+    return F.from_json(F.when(F.octet_length(text) <= SETTING_BYTES, text), schema, {"mode": "PERMISSIVE"})
+
+
+def module_rules(settings: DataFrame) -> DataFrame:
+    """project_id, pattern, head, tail, exact, base, targets: what the compiler's settings at a project's root say of specifiers.
+
+    `settings` holds project_id, path, source. tsconfig.json comes before jsconfig.json. A base folder is a rule of the empty
+    pattern, for what no other rule meets. Unreadable settings, patterns with two "*" and a base outside of the project give none.
+    """
+    read = settings.where("path IN ('tsconfig.json', 'jsconfig.json')").select(
+        "project_id", F.col("path").alias("_file"), _one_json(F.col("source"), "compilerOptions struct<baseUrl string, paths map<string, array<string>>>")["compilerOptions"].alias("o")
+    )
+    first = read.groupBy("project_id").agg(F.max_by("o", "_file").alias("o")).select("project_id", F.coalesce("o.baseUrl", F.lit("")).alias("base"), "o.paths")
+    first = first.where(~F.col("base").rlike(r"^/|(^|/)\.\.(/|$)"))
+    listed = first.select("project_id", "base", F.explode("paths").alias("pattern", "targets")).where("pattern <> '' AND length(pattern) - length(replace(pattern, '*', '')) <= 1")
+    based = first.where("base <> ''").select("project_id", "base", F.lit("").alias("pattern"), F.array(F.lit("*")).alias("targets"))
+    head = F.substring_index("pattern", "*", 1)
+    tail = F.when(F.contains("pattern", F.lit("*")), F.substring_index("pattern", "*", -1)).otherwise("")
+    exact = (F.col("pattern") != "") & ~F.contains("pattern", F.lit("*"))
+    return listed.unionByName(based).select("project_id", "pattern", head.alias("head"), tail.alias("tail"), exact.alias("exact"), "base", "targets")
+
+
+def package_entries(settings: DataFrame) -> DataFrame:
+    """project_id, folder, n, place: where the package.json of a folder says that the package begins, in the order in which to try.
+
+    The order is exports, if that is a text (conditions aren't read), module, main, types. Targets outside of their package
+    give none, nor do unreadable files.
     """
     folder = dir_name(F.col("path"))
-    relative = F.col("specifier").startswith("./") | F.col("specifier").startswith("../")
-    joined = F.when(relative, F.concat_ws("/", folder, F.col("specifier")))
-    for pattern, replacement in sorted(aliases or [], key=lambda x: len(x[0].split("*")[0])):
-        head, _, tail = pattern.partition("*")
-        inner = F.substring(F.col("specifier"), len(head) + 1, 1_000_000)
-        hit = F.col("specifier").startswith(head) & F.col("specifier").endswith(tail) if "*" in pattern else F.col("specifier") == pattern
-        inner = F.regexp_replace(inner, f"{re.escape(tail)}$", "") if tail else inner
-        joined = F.when(hit, F.concat(F.lit(replacement.split("*")[0]), inner if "*" in pattern else F.lit(""))).otherwise(joined)
-
-    stem = canonical_path(joined)
-    written = F.regexp_replace(stem, r"\.(js|jsx|mjs|cjs)$", "")
-    tries = [stem, *[F.concat(stem, F.lit(e)) for e in [".d.ts", *SCRIPTS]], *[F.concat(written, F.lit(e)) for e in SCRIPTS], *[F.concat(stem, F.lit(f"/index{e}")) for e in SCRIPTS]]
+    read = settings.where(base_name(F.col("path")) == "package.json").select(
+        "project_id", folder.alias("folder"), _one_json(F.col("source"), "main string, module string, types string, exports string").alias("p")
+    )
+    given = F.array("p.exports", "p.module", "p.main", "p.types")
+    each = read.select("project_id", "folder", F.posexplode(given).alias("n", "target")).where("target <> ''")
+    each = each.where(~F.col("target").rlike(r"^[/{\[]|(^|[/\\])\.\.([/\\]|$)"))
+    return each.select("project_id", "folder", "n", canonical_path(F.concat_ws("/", "folder", "target")).alias("place"))
+
+
+def _rule_stems(asked: DataFrame, rules: DataFrame) -> DataFrame:
+    """project_id, path, specifier, c, stem: the places that the most specific rule for a specifier names, in its order.
+
+    Rules are met by equality with the specifier's own beginnings, so that a project with many of both doesn't pair them all.
+    """
+    names = asked.select("project_id", "specifier").distinct()
+    heads = names.select("project_id", "specifier", F.explode(F.transform(F.sequence(F.lit(0), F.length("specifier")), lambda n: F.substring(F.col("specifier"), F.lit(1), n))).alias("head"))
+    fits = F.when(F.col("exact"), F.col("head") == F.col("specifier")).otherwise(F.col("specifier").endswith(F.col("tail")) & (F.length("specifier") >= F.length("head") + F.length("tail")))
+    rank = F.struct(F.when(F.col("exact"), 0).when(F.col("pattern") != "", 1).otherwise(2), -F.length("head"), "pattern")
+    best = heads.join(rules, ["project_id", "head"]).where(fits).groupBy("project_id", "specifier").agg(F.min_by(F.struct("head", "tail", "base", "targets"), rank).alias("r"))
+    inner = F.substring(F.col("specifier"), F.length("r.head") + 1, F.length("specifier") - F.length("r.head") - F.length("r.tail"))
+    stems = best.select("project_id", "specifier", inner.alias("inner"), "r.base", F.posexplode("r.targets").alias("c", "to"))
+    stems = stems.select("project_id", "specifier", "c", F.concat_ws("/", F.when(F.col("base") != "", F.col("base")), F.replace("to", F.lit("*"), F.col("inner"))).alias("stem"))
+    return asked.join(stems, ["project_id", "specifier"]).where(~F.col("stem").rlike(r"^/|(^|/)node_modules(/|$)")).select("project_id", "path", "specifier", "c", canonical_path(F.col("stem")).alias("stem"))
+
+
+def module_targets(imports: DataFrame, files: DataFrame, aliases: list[tuple[str, str]] | None = None, settings: DataFrame | None = None) -> DataFrame:
+    """project_id, path, specifier, target, resolution of script imports: relative ones and those that a rule meets.
+
+    Rules come from `settings` (project_id, path, source of tsconfig.json, jsconfig.json and package.json files) and `aliases`
+    (pattern with one "*", replacement), which hold for all projects. Of the places a specifier may mean (as written, with each
+    extension, as what the folder's package.json names, as a directory's index) the first that exists holds. What isn't
+    found is external if it names a package, else unresolved. The most specific rule alone is tried.
+    """
+    relative = F.col("specifier").startswith("./") | F.col("specifier").startswith("../") | F.col("specifier").isin(".", "..")
     asked = imports.select("project_id", "path", F.col("target").alias("specifier")).distinct()
-    places = asked.where(joined.isNotNull()).select("project_id", "path", "specifier", F.posexplode(F.array(*tries)).alias("priority", "place"))
+    stems = asked.where(relative).select("project_id", "path", "specifier", F.lit(0).alias("c"), canonical_path(F.concat_ws("/", dir_name(F.col("path")), "specifier")).alias("stem"))
+    outer = asked.where(~relative & ~F.col("specifier").startswith("/"))
+    parts = [(a, a.split("*")[0], a.partition("*")[2], "*" not in a, "", [r]) for a, r in aliases or []]
+    if parts:
+        names = ["pattern", "head", "tail", "exact", "base"]
+        given = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, p)], F.array(*map(F.lit, p[5])).alias("targets")) for p in parts])
+        stems = stems.unionByName(_rule_stems(outer, outer.select("project_id").distinct().select("project_id", F.inline(given))))
+    if settings is not None:
+        stems = stems.unionByName(_rule_stems(outer, module_rules(settings)))
+
+    def ways(stem: Column) -> list[Column]:
+        written = F.regexp_replace(stem, r"\.(js|jsx|mjs|cjs)$", "")
+        return [stem, *[F.concat(stem, F.lit(e)) for e in [".d.ts", *SCRIPTS]], *[F.concat(written, F.lit(e)) for e in SCRIPTS]]
+
+    def index(stem: Column) -> list[Column]:
+        return [F.concat_ws("/", F.when(stem != "", stem), F.lit(f"index{e}")) for e in SCRIPTS]
+
+    key = ["project_id", "path", "specifier"]
+    places = stems.select(*key, F.posexplode(F.array(*ways(F.col("stem")))).alias("w", "place"), "c", F.lit(0).alias("step"), F.lit(0).alias("n"))
+    places = places.unionByName(stems.select(*key, F.posexplode(F.array(*index(F.col("stem")))).alias("w", "place"), "c", F.lit(2).alias("step"), F.lit(0).alias("n")))
+    if settings is not None:
+        named = stems.join(package_entries(settings).withColumnRenamed("folder", "stem"), ["project_id", "stem"])
+        places = places.unionByName(named.select(*key, F.posexplode(F.array(*ways(F.col("place")), *index(F.col("place")))).alias("w", "to"), "c", F.lit(1).alias("step"), "n").withColumnRenamed("to", "place"))
     there = files.select("project_id", F.col("path").alias("place")).distinct()
-    first = places.join(there, ["project_id", "place"]).groupBy("project_id", "path", "specifier").agg(F.min(F.struct("priority", "place")).alias("s"))
-    found = asked.join(first.select("project_id", "path", "specifier", F.col("s.place").alias("target")), ["project_id", "path", "specifier"], "left")
+    first = places.join(there, ["project_id", "place"]).groupBy(*key).agg(F.min_by("place", F.struct("c", "step", "n", "w")).alias("target"))
+    found = asked.join(first, key, "left")
     outside = ~(relative | F.col("specifier").startswith("/"))
     return found.withColumn("resolution", F.when(F.col("target").isNotNull(), "local").when(outside, "external").otherwise("unresolved"))
 

@@ -189,7 +189,7 @@ class Engine:
         declared = code.declared_units(facts)
         by_name = declared.select("project_id", "path", "caller", F.col("id").alias("source_id")).dropDuplicates(["project_id", "path", "caller"])
         found, go, known = facts.where("fact = 'import'"), F.col("path").endswith(".go"), paths.distinct()
-        modules, packages = code.module_targets(found.where(~go), known), code.package_targets(found.where(go), known)
+        modules, packages = code.module_targets(found.where(~go), known, settings=self._settings(known)), code.package_targets(found.where(go), known)
         calls = code.call_edges(facts, modules).join(by_name, ["project_id", "path", "caller"]).select("project_id", "source_id", F.coalesce("target", F.concat(F.lit("name:"), "callee")).alias("target_id"), F.lit("calls").alias("relation"), "path", "start_line", F.col("start_line").alias("end_line"), "resolution")
         contains = declared.select("project_id", file_id(F.col("path")).alias("source_id"), F.col("id").alias("target_id"), F.lit("contains").alias("relation"), "path", "start_line", "end_line", F.lit("local").alias("resolution"))
         outside, first = F.concat(F.lit("external:"), "specifier"), F.lit(1).cast("bigint")
@@ -202,6 +202,12 @@ class Engine:
         implemented = met.join(wanted, ["project_id", "interface"]).select("project_id", "source_id", "target_id", F.lit("implements").alias("relation"), "path", "start_line", "end_line", F.lit("local").alias("resolution"))
         return reduce(DataFrame.unionByName, [x.select(*columns) for x in (calls, contains, imports, heritage, implemented)])
 
+    def _settings(self, paths: DataFrame) -> DataFrame:
+        """project_id, path, source of the files that say what script imports mean."""
+        named = paths.where(F.element_at(F.split("path", "/"), -1).isin(project.RESOLUTION["typescript"]))
+        read = project.read_files(self.spark, self.root, named)
+        return cut_lineage(read.where(F.col("size") <= code.SETTING_BYTES).select(F.lit(self.project_id).alias("project_id"), "path", F.decode("content", "UTF-8").alias("source")))
+
     def _affected(self, facts: DataFrame, edges: DataFrame, kept: DataFrame) -> DataFrame:
         """path: kept files whose edges or package unit are others than the stored ones, because files they depend on have changed."""
         paths = kept.select("project_id", "path")

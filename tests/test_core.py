@@ -321,6 +321,29 @@ def test_alias_is_most_specific_and_final(spark):
     assert rows(got.na.fill(""), "specifier", "target") == [("@app/a", "src/a.ts"), ("@app/none", ""), ("@feature", "src/feature/index.ts")]
 
 
+def test_settings_of_scripts_lead_to_modules(spark):
+    s = "project_id string, path string"
+    names = ["src/feature/index.ts", "src/a.ts", "lib/b.js", "src/pkg/entry.js", "src/bad/index.ts", "src/nest/main/index.js", "shared/c.ts", "src/.hidden.ts"]
+    files = spark.createDataFrame([("p", n) for n in names] + [("q", "src/a.ts"), ("s", "src/a.ts")], s)
+    options = '{"compilerOptions": {"baseUrl": ".", "paths": {"@app/*": ["gone/*", "src/*"], "@feature": ["src/feature"], "@*": ["lib/*"], "@x*y*": ["src/*"]}}}'
+    rows_ = [
+        ("p", "tsconfig.json", options), ("p", "jsconfig.json", '{"compilerOptions": {"paths": {"@app/*": ["lib/*"]}}}'),
+        ("p", "src/pkg/package.json", '{"main": "./none.js", "module": "./entry", "exports": {".": {"import": "./other"}}}'),
+        ("p", "src/bad/package.json", '{"main": "../a.ts"}'), ("p", "src/nest/package.json", '{"exports": "./main"}'), ("p", "lib/package.json", "{"),
+        ("q", "tsconfig.json", "not json"), ("q", "package.json", None), ("r", "tsconfig.json", '{"compilerOptions": {"baseUrl": "../up", "paths": {"@a": ["x"]}}}'),
+        ("s", "jsconfig.json", '{"compilerOptions": {"paths": {"~/*": ["./src/*"]}}}'),
+    ]
+    settings = spark.createDataFrame(rows_, s + ", source string")
+    asked = ["@app/a", "@feature", "@app/none", "@b", "shared/c", "react", "./src/pkg", "./src/bad", "./src/nest", "./src/a.js", "/src/a"]
+    imports = spark.createDataFrame([("p", "m.ts", x) for x in asked] + [("q", "m.ts", "@app/a"), ("q", "m.ts", "./src/a"), ("s", "m.ts", "~/a")], s + ", target string")
+    got = {(r.project_id, r.specifier): (r.target, r.resolution) for r in code.module_targets(imports, files, settings=settings).collect()}
+    want = {"@app/a": "src/a.ts", "@feature": "src/feature/index.ts", "@b": "lib/b.js", "shared/c": "shared/c.ts", "./src/pkg": "src/pkg/entry.js", "./src/bad": "src/bad/index.ts", "./src/nest": "src/nest/main/index.js", "./src/a.js": "src/a.ts"}
+    assert {k[1]: v[0] for k, v in got.items() if k[0] == "p" and v[0]} == want
+    assert got["p", "@app/none"] == (None, "external") and got["p", "react"] == (None, "external") and got["p", "/src/a"] == (None, "unresolved")
+    assert got["q", "@app/a"] == (None, "external") and got["q", "./src/a"] == got["s", "~/a"] == ("src/a.ts", "local")
+    assert not code.module_rules(settings.where("project_id IN ('q', 'r')")).count()
+
+
 def test_division_needs_every_member(spark):
     m = spark.createDataFrame([("p", "t", "a"), ("p", "t", "b"), ("p", "u", "a"), ("q", "t", "a")], "g string, id string, member string")
     assert rows(code.holds_all(m, spark.createDataFrame([("p", "a"), ("p", "b"), ("p", "b")], "g string, member string"), ["g"])) == [("p", "t")]

@@ -62,7 +62,8 @@ def test_delta_gives_the_edges_of_a_full_refresh(spark, tmp_path):
     a.write_text("package pkg\n\ntype Saver interface {\n\tSave(n string) error\n}\n\nfunc Open() error { return helper() }\n")
     b.write_text("package pkg\n\nfunc helper() error { return nil }\n")
     (root / "app" / "m.go").write_text('package app\n\nimport "x.org/m/pkg"\n\ntype Disk struct {\n\tpkg.Base\n}\n\nfunc (d *Disk) Save(n string) error { return nil }\n')
-    (root / "app" / "v.ts").write_text('import { Base } from "./base";\nexport class View extends Base {\n}\n')
+    (root / "tsconfig.json").write_text('{"compilerOptions": {"paths": {"#ui/*": ["app/*"]}}}')
+    (root / "app" / "v.ts").write_text('import { Base } from "#ui/base";\nexport class View extends Base {\n}\n')
     engine = Engine(spark, str(root), str(store))
     engine.sync("full")
 
